@@ -1,0 +1,309 @@
+"""Usage, facts, turns, tasks."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import text as tx
+from ..operators import memory, tasks, usage
+from ..operators.firstwins import keep_first_wins
+from ..operators.ordering import suffix_within
+from ..sources import views as v
+from .registry import query
+
+_BY_TOOL = """
+    SELECT tool, count(*) AS calls, CAST(sum(in_chars) AS BIGINT) AS in_chars,
+           CAST(sum(out_chars) AS BIGINT) AS out_chars,
+           CAST(sum(coalesce(baseline_chars, 0)) AS BIGINT) AS baseline_chars
+    FROM usage GROUP BY tool"""
+
+
+@query("usage", _BY_TOOL)
+def usage_by_tool(spark, path):
+    return usage.by_tool(v.usage(spark, path))
+
+
+@query(
+    "usage",
+    """SELECT CAST(CAST("at" AS DATE) AS VARCHAR) AS day, CAST(sum(out_chars) AS BIGINT) AS out_chars,
+              CAST(sum(coalesce(baseline_chars, 0)) AS BIGINT) AS baseline_chars, count(*) AS calls
+       FROM usage GROUP BY 1 ORDER BY day DESC LIMIT 14""",
+)
+def usage_daily(spark, path):
+    return usage.daily(v.usage(spark, path)).withColumn("day", F.col("day").cast("string"))
+
+
+# Clicks stand for the calls that know what they consumed.
+_MEASURED = ("click",)
+
+
+@query(
+    "usage",
+    f""", by_tool AS ({_BY_TOOL})
+        SELECT CAST(sum(greatest(CASE WHEN tool = 'click' THEN in_chars ELSE baseline_chars END - out_chars, 0))
+                    AS BIGINT) AS avoided_chars FROM by_tool""",
+)
+def usage_avoided(spark, path):
+    return usage.avoided(v.usage(spark, path), _MEASURED)
+
+
+@query(
+    "usage",
+    f""", by_tool AS ({_BY_TOOL}),
+        based AS (SELECT *, CASE WHEN tool = 'click' THEN greatest(in_chars, 1) ELSE baseline_chars END AS base
+                  FROM by_tool)
+        SELECT tool, calls, CAST(floor(in_chars / 4 + 0.5) AS BIGINT) AS in_tokens,
+               CAST(floor(out_chars / 4 + 0.5) AS BIGINT) AS out_tokens,
+               CAST(floor(baseline_chars / 4 + 0.5) AS BIGINT) AS baseline_tokens,
+               CASE WHEN base > 0 THEN CAST(floor((1 - out_chars / base) * 100 + 0.5) AS BIGINT) END AS smaller_pct
+        FROM based""",
+)
+def usage_tokens(spark, path):
+    return usage.report(v.usage(spark, path), _MEASURED)
+
+
+@query(
+    "facts turns tasks pending",
+    """SELECT 'facts' AS layer, count(*) FILTER (superseded_by IS NULL) AS rows FROM facts
+       UNION ALL SELECT 'turns', count(*) FROM turns
+       UNION ALL SELECT 'open_tasks', count(*) FILTER (state = 'open') FROM tasks
+       UNION ALL SELECT 'pending', count(*) FILTER (state = 'pending') FROM pending""",
+)
+def store_counts(spark, path):
+    return usage.store_counts(
+        v.facts(spark, path), v.turns(spark, path), v.tasks(spark, path), v.pending(spark, path)
+    )
+
+
+@query("pending", "SELECT state, count(*) AS proposals FROM pending GROUP BY state")
+def pending_tally(spark, path):
+    return v.pending(spark, path).groupBy("state").agg(F.count(F.lit(1)).alias("proposals"))
+
+
+@query("pending", "SELECT id, session_id FROM pending WHERE state = 'pending' ORDER BY id LIMIT 20")
+def pending_queue(spark, path):
+    return memory.pending_queue(v.pending(spark, path)).select("id", "session_id")
+
+
+@query(
+    "facts",
+    "SELECT verify_state, count(*) AS facts FROM facts WHERE superseded_by IS NULL GROUP BY verify_state",
+)
+def verify_tally(spark, path):
+    return memory.verify_tally(v.facts(spark, path))
+
+
+@query("facts", "SELECT id, kind, context, priority FROM facts WHERE superseded_by IS NULL")
+def facts_live(spark, path):
+    return memory.live(v.facts(spark, path)).select("id", "kind", "context", "priority")
+
+
+@query(
+    "facts",
+    """SELECT id, kind, context FROM facts WHERE superseded_by IS NULL AND content ILIKE '%tion%the%'
+       ORDER BY id DESC LIMIT 60""",
+)
+def facts_search_like(spark, path):
+    return memory.search_like(v.facts(spark, path), "tion%the").select("id", "kind", "context")
+
+
+@query(
+    "facts",
+    """SELECT context AS path, count(*) AS facts FROM facts WHERE starts_with(context, 'src1')
+       GROUP BY context ORDER BY path""",
+)
+def facts_prefix(spark, path):
+    sources = v.facts(spark, path).groupBy(F.col("context").alias("path")).agg(F.count(F.lit(1)).alias("facts"))
+    return memory.list_prefix(sources, "src1")
+
+
+@query(
+    "facts",
+    """SELECT id, kind, context, priority FROM facts
+       WHERE superseded_by IS NULL AND verify_state IS DISTINCT FROM 'stale' ORDER BY priority DESC, id DESC LIMIT 6""",
+)
+def facts_recent(spark, path):
+    return memory.recent(v.facts(spark, path)).select("id", "kind", "context", "priority")
+
+
+@query(
+    "tasks",
+    """SELECT id, title, repo, strftime(updated_at, '%Y-%m-%d') AS updated FROM tasks
+       WHERE state = 'open' ORDER BY updated_at DESC, id DESC LIMIT 20""",
+)
+def task_list(spark, path):
+    out = tasks.listing(v.tasks(spark, path))
+    return out.select("id", "title", "repo", F.date_format("updated_at", "yyyy-MM-dd").alias("updated"))
+
+
+@query(
+    "task_events",
+    """SELECT task_id, id, kind, detail, rank FROM (
+         SELECT *, CAST(row_number() OVER (PARTITION BY task_id ORDER BY "at" DESC, id DESC) AS INTEGER) AS rank
+         FROM task_events) WHERE rank <= 20""",
+)
+def task_resume(spark, path):
+    return tasks.event_tail(v.task_events(spark, path)).select("task_id", "id", "kind", "detail", "rank")
+
+
+@query(
+    "task_events tasks",
+    """, latest AS (SELECT task_id, max("at") AS last_at, max_by(detail, id) FILTER (kind = 'error') AS last_error
+                    FROM task_events GROUP BY task_id)
+       SELECT id, CASE WHEN last_error IS NULL THEN state ELSE last_error END AS state,
+              CAST(epoch(greatest(updated_at, coalesce(last_at, updated_at))) AS BIGINT) AS touched
+       FROM tasks LEFT JOIN latest ON task_id = id""",
+)
+def task_touch(spark, path):
+    events = v.task_events(spark, path).withColumn(
+        "kind", F.when(F.col("kind") == "error", "state").otherwise("note")
+    )
+    out = tasks.touched(v.tasks(spark, path), events)
+    return out.select("id", "state", F.floor(F.unix_timestamp("updated_at")).alias("touched"))
+
+
+_NOW = "TIMESTAMP '2024-01-31 00:00:00'"
+
+
+@query(
+    "task_events",
+    f"""SELECT CAST("at" AS DATE)::VARCHAR AS day, count(*) AS kept FROM task_events
+        WHERE "at" >= {_NOW} - INTERVAL 10 DAY GROUP BY 1""",
+)
+def turns_retention_age(spark, path):
+    kept = memory.within_age(v.task_events(spark, path), F.expr(_NOW), days=10, at="at")
+    return kept.groupBy(F.to_date("at").cast("string").alias("day")).agg(F.count(F.lit(1)).alias("kept"))
+
+
+@query(
+    "turns",
+    """SELECT session_id, count(*) AS kept FROM turns WHERE id IN (SELECT id FROM turns ORDER BY id DESC LIMIT 100)
+       GROUP BY session_id""",
+)
+def turns_retention_cap(spark, path):
+    kept = memory.newest(v.turns(spark, path), 100)
+    return kept.groupBy("session_id").agg(F.count(F.lit(1)).alias("kept"))
+
+
+@query("turns", "SELECT session_id, count(*) AS turns FROM turns GROUP BY session_id HAVING count(*) >= 6")
+def turns_worth_capturing(spark, path):
+    return memory.worth_capturing(v.turns(spark, path))
+
+
+@query(
+    "turns",
+    """SELECT id, session_id FROM (
+         SELECT id, session_id, sum(length(content)) OVER (PARTITION BY session_id ORDER BY turn DESC) AS total
+         FROM turns) WHERE total <= 1500""",
+)
+def transcript_suffix_budget(spark, path):
+    sized = v.turns(spark, path).select("id", "session_id", "turn", F.length("content").alias("chars"))
+    return suffix_within(sized, "session_id", "turn", "chars", 1500).select("id", "session_id")
+
+
+@query(
+    "turns",
+    """SELECT session_id, max_by(role, turn) AS role, max_by(length(content), turn) AS chars,
+              count(*) AS version FROM turns GROUP BY session_id""",
+)
+def scenario_upsert_latest(spark, path):
+    writes = v.turns(spark, path).select("session_id", "turn", "role", F.length("content").cast("bigint").alias("chars"))
+    return memory.upsert_latest(writes, "session_id", "turn").select("session_id", "role", "chars", "version")
+
+
+@query("turns", "SELECT max_by(content, id) AS content FROM turns")
+def persona_latest(spark, path):
+    return memory.current_persona(v.turns(spark, path))
+
+
+_FLAT = "trim(regexp_replace(lower({}), '[^a-z0-9]+', ' ', 'g'))"
+
+
+@query(
+    "facts",
+    f"SELECT min(id) AS id, count(*) AS copies FROM facts GROUP BY {_FLAT.format('content')}",
+)
+def facts_flatten_dedup(spark, path):
+    keyed = v.facts(spark, path).select("id", tx.flat_key("content").alias("flat"))
+    return keyed.groupBy("flat").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies")).select("id", "copies")
+
+
+@query(
+    "facts pending",
+    f""", known AS (SELECT DISTINCT {_FLAT.format('content')} AS flat FROM facts
+                    WHERE superseded_by IS NULL AND kind = 'en')
+        SELECT min(id) AS id FROM facts WHERE superseded_by IS NULL
+          AND {_FLAT.format('content')} NOT IN (SELECT flat FROM known) GROUP BY {_FLAT.format('content')}""",
+)
+def facts_merge_antijoin(spark, path):
+    """A bundle of every fact merged into a store that already has the English ones."""
+    bundle = v.facts(spark, path)
+    return memory.merge_facts(bundle.filter("kind = 'en'"), bundle).select("id")
+
+
+@query(
+    "facts pending",
+    f""", known AS (SELECT {_FLAT.format('content')} AS flat FROM pending WHERE state = 'pending'
+                    UNION SELECT {_FLAT.format('content')} FROM facts WHERE superseded_by IS NULL)
+        SELECT min(id) AS id, any_value(session_id) AS session_id FROM pending
+        WHERE {_FLAT.format('content')} NOT IN (SELECT flat FROM known)
+        GROUP BY {_FLAT.format('content')}""",
+)
+def proposals_new(spark, path):
+    waiting = v.pending(spark, path)
+    out = memory.new_proposals(waiting, waiting, v.facts(spark, path))
+    return out.select("id", "session_id")
+
+
+@query()
+def vectors_first_wins(spark, path):
+    """Vectors resembling no earlier kept one; sequential by nature, so checked by brute force in the tests."""
+    return keep_first_wins(v.vectors(spark, path), None, 0.35).select("id", "label")
+
+
+@query(
+    "facts",
+    r"""SELECT id, regexp_replace(content,
+             '(?i)\b([A-Za-z0-9_]*(?:SECRET|TOKEN|PASSWORD|PASSWD|APIKEY|API_KEY|ACCESS_KEY|CREDENTIAL|PRIVATE_KEY)[A-Za-z0-9_]*)\s*[:=]\s*["'']?([^\s"''`,;]{6,})',
+             '\1=[redacted]', 'g') AS content FROM facts""",
+)
+def facts_redacted(spark, path):
+    return v.facts(spark, path).select("id", tx.redact("content").alias("content"))
+
+
+@query(
+    "turns",
+    "SELECT id, session_id, substr(content, 1, 4000) AS content FROM turns",
+)
+def turns_captured(spark, path):
+    return memory.capture(v.turns(spark, path)).select("id", "session_id", "content")
+
+
+@query(
+    "facts",
+    """SELECT f.id, CASE WHEN f.superseded_by IS NULL AND f.kind = 'fr' AND f.id <> 0 THEN 0 ELSE f.superseded_by END
+              AS superseded_by FROM facts f""",
+)
+def facts_supersede(spark, path):
+    """Fact 0 replaces every French fact that nothing has replaced yet."""
+    facts = v.facts(spark, path)
+    out = memory.supersede(facts, 0, facts.filter("kind = 'fr'").select("id"))
+    return out.select("id", F.col("superseded_by").cast("bigint").alias("superseded_by"))
+
+
+@query(
+    "facts",
+    """, named AS (SELECT * FROM facts WHERE kind = 'de')
+       SELECT id, (SELECT max(id) FROM facts) + row_number() OVER (ORDER BY id) AS fact_id FROM named""",
+)
+def proposals_accepted(spark, path):
+    """German facts taken as accepted proposals: the ids they get as facts."""
+    from ..operators.ordering import dense_index
+
+    facts = v.facts(spark, path)
+    top = facts.agg(F.max("id").alias("m")).scalar()
+    return dense_index(facts.filter("kind = 'de'").select("id"), "id", "n").select(
+        "id", (top + F.col("n")).alias("fact_id")
+    )
+
+
