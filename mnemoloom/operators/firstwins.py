@@ -127,36 +127,46 @@ def nearest_known(
 ) -> DataFrame:
     """For a bounded set of new rows: up to `top` known rows at or above the threshold, best first.
 
-    Each partition of the known table reports its own best `top` per new row, so
-    the ranking shuffle is small. Raises when `new` is larger than one batch.
+    One scan of the known table. Each partition reports its own best `top` per new
+    row, so the ranking shuffle is small. Raises when `new` is larger than one batch.
     """
     rows = new.select("id", "embedding").limit(batch + 1).toArrow()
     if rows.num_rows > batch:
         raise ValueError(f"more than {batch} new rows: split them into batches")
+    new_type = new.schema["id"].dataType.simpleString()
+    known_type = known.schema["id"].dataType.simpleString()
+    schema = f"new_id {new_type}, id {known_type}, score double"
     ids = rows.column("id").to_pylist()
     shared = known.sparkSession.sparkContext.broadcast(_matrix(rows.column("embedding")))
 
     def scan(batches):
-        best: list[list[tuple[float, int]]] = [[] for _ in ids]
+        best_ids = best_scores = None
         for part in batches:
-            known_ids = part.column(0).to_pylist()
-            scores = _matrix(part.column(1)) @ shared.value.T if len(known_ids) and ids else np.zeros((0, 0))
-            for j in range(scores.shape[1]):
-                hits = [
-                    (-scores[i, j], known_ids[i])
-                    for i in np.flatnonzero(scores[:, j] >= threshold)
-                    if known_ids[i] != ids[j]
-                ]
-                best[j] = sorted(best[j] + hits)[:top]
-        flat = [(ids[j], other, -s) for j in range(len(ids)) for s, other in best[j]]
-        columns = list(zip(*flat)) if flat else [(), (), ()]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64())],
-            ["new_id", "id", "score"],
-        )
+            if part.num_rows == 0 or not ids:
+                continue
+            part_ids = np.array(part.column(0).to_pylist(), dtype=object)
+            by_id = np.argsort(part_ids, kind="stable")
+            part_ids = part_ids[by_id]
+            scores = (_matrix(part.column(1)) @ shared.value.T)[by_id]
+            scores[(scores < threshold) | (part_ids[:, None] == np.array(ids, dtype=object)[None, :])] = -np.inf
+            grid = np.repeat(part_ids[:, None], len(ids), axis=1)
+            if best_ids is not None:
+                grid, scores = np.vstack([best_ids, grid]), np.vstack([best_scores, scores])
+            # Score first, then id: two stable sorts, the deciding one last.
+            first = np.argsort(grid, axis=0, kind="stable")
+            grid, scores = np.take_along_axis(grid, first, 0), np.take_along_axis(scores, first, 0)
+            pick = np.argsort(-scores, axis=0, kind="stable")[:top]
+            best_ids, best_scores = np.take_along_axis(grid, pick, 0), np.take_along_axis(scores, pick, 0)
+        flat = []
+        if best_ids is not None:
+            for k, j in np.argwhere(np.isfinite(best_scores)):
+                flat.append((ids[j], best_ids[k, j], float(best_scores[k, j])))
+        yield pa.RecordBatch.from_pylist([dict(zip(("new_id", "id", "score"), r)) for r in flat], arrow_schema)
+
+    from pyspark.sql.pandas.types import to_arrow_schema
 
     from .ordering import top_per
 
     found = known.filter("embedding is not null").select("id", "embedding")
-    found = found.mapInArrow(scan, "new_id bigint, id bigint, score double")
-    return top_per(found, ["new_id"], [F.col("score").desc(), F.col("id")], top)
+    arrow_schema = to_arrow_schema(known.sparkSession.createDataFrame([], schema).schema)
+    return top_per(found.mapInArrow(scan, schema), ["new_id"], [F.col("score").desc(), F.col("id")], top)

@@ -102,7 +102,9 @@ def supersede_candidates(
     own = new.select("id").scalar()
     return (
         facts.filter(F.col("embedding").isNotNull() & (F.col("id") != own))
-        .withColumn("score", vx.dot(F.col("embedding"), vec))
+        .withColumn("_asked", vec)
+        .withColumn("score", vx.dot("embedding", "_asked"))
+        .drop("_asked")
         .filter(F.col("score") >= threshold)
         .orderBy(F.col("score").desc(), "id")
         .limit(top)

@@ -65,15 +65,18 @@ def next_in_group(df: DataFrame, key: str, value: str, out: str, block: int = 10
     )
 
 
-def dense_index(df: DataFrame, order: str, out: str) -> DataFrame:
-    """Number rows 1, 2, 3... in `order`, over range partitions instead of one global window."""
-    ranged = cut(df.repartitionByRange(order).withColumn("_part", F.spark_partition_id()))
+def dense_index(df: DataFrame, order: str | list[Column], out: str) -> DataFrame:
+    """Number rows 1, 2, 3... in `order`, over range partitions instead of one global window.
+
+    The range shuffle is materialised once, because its partition sizes and its
+    rows have to come from the same split.
+    """
+    by = [F.col(order)] if isinstance(order, str) else order
+    ranged = cut(df.repartitionByRange(*by).withColumn("_part", F.spark_partition_id()))
+    # One row per partition of the range shuffle: bounded by the partition count.
     sizes = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"))
-    # One row per partition of the range shuffle.
-    offsets = sizes.select(
-        "_part", (F.sum("_size").over(W.orderBy("_part")) - F.col("_size")).alias("_offset")
-    )
-    inside = F.row_number().over(W.partitionBy("_part").orderBy(order))
+    offsets = sizes.select("_part", (F.sum("_size").over(W.orderBy("_part")) - F.col("_size")).alias("_offset"))
+    inside = F.row_number().over(W.partitionBy("_part").orderBy(*by))
     return (
         ranged.withColumn("_row", inside)
         .join(F.broadcast(offsets), "_part")

@@ -151,7 +151,7 @@ def task_resume(spark, path):
     """, latest AS (SELECT task_id, max("at") AS last_at, max_by(detail, id) FILTER (kind = 'error') AS last_error
                     FROM task_events GROUP BY task_id)
        SELECT id, CASE WHEN last_error IS NULL THEN state ELSE last_error END AS state,
-              CAST(epoch(greatest(updated_at, coalesce(last_at, updated_at))) AS BIGINT) AS touched
+              CAST(floor(epoch(greatest(updated_at, coalesce(last_at, updated_at)))) AS BIGINT) AS touched
        FROM tasks LEFT JOIN latest ON task_id = id""",
 )
 def task_touch(spark, path):
