@@ -1,6 +1,6 @@
 """Every registered query, by importing the modules that register them."""
 
-from . import memory_plans, retrieval_plans  # noqa: F401
+from . import graph_plans, memory_plans, retrieval_plans  # noqa: F401
 from .registry import CATALOGUE
 
 __all__ = ["CATALOGUE"]
