@@ -10,22 +10,21 @@ from . import graph
 from .spans import enclosing, in_ranges, symbol_spans
 
 
-def workspace(parts: dict[str, tuple[DataFrame, DataFrame]]) -> tuple[DataFrame, DataFrame]:
-    """One graph from the services' graphs: ids become service::id, files service/file."""
-    all_symbols, all_edges = None, None
-    for service, (symbols, edges) in sorted(parts.items()):
-        prefix = F.lit(f"{service}::")
-        place = F.when(F.coalesce("file", F.lit("")) == "", F.lit("")).otherwise(
-            F.concat(F.lit(f"{service}/"), F.translate("file", "\\", "/"))
-        )
-        s = symbols.withColumn("node_id", F.concat(prefix, F.col("node_id").cast("string")))
-        s = s.withColumn("file", place).withColumn("service", F.lit(service))
-        e = edges.withColumn("src", F.concat(prefix, F.col("src").cast("string")))
-        e = e.withColumn("dst", F.concat(prefix, F.col("dst").cast("string")))
-        e = e.withColumn("file", place) if "file" in edges.columns else e
-        all_symbols = s if all_symbols is None else all_symbols.unionByName(s, allowMissingColumns=True)
-        all_edges = e if all_edges is None else all_edges.unionByName(e, allowMissingColumns=True)
-    return all_symbols, all_edges
+def workspace(symbols: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """One graph from tables holding several services': ids become service::id, files service/file.
+
+    Both tables carry a `service` column; two services may use the same ids.
+    """
+
+    def relocated(df: DataFrame, ids: list[str]) -> DataFrame:
+        for c in ids:
+            df = df.withColumn(c, F.concat("service", F.lit("::"), F.col(c).cast("string")))
+        if "file" not in df.columns:
+            return df
+        place = F.concat("service", F.lit("/"), F.translate("file", "\\", "/"))
+        return df.withColumn("file", F.when(F.coalesce("file", F.lit("")) == "", F.lit("")).otherwise(place))
+
+    return relocated(symbols, ["node_id"]), relocated(edges, ["src", "dst"])
 
 
 def with_contracts(edges: DataFrame, symbols: DataFrame, contracts: DataFrame) -> DataFrame:

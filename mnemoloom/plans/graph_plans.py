@@ -232,20 +232,14 @@ def communities_topk(spark, path):
 
 @query(
     "symbols edges",
-    """SELECT service || '::' || node_id AS node_id, service || '/' || file AS file,
-              count(*) FILTER (e.src IS NOT NULL) AS calls
-       FROM symbols LEFT JOIN (SELECT DISTINCT src, dst, line FROM edges) e ON src = node_id
-       WHERE service IN ('Brand#1', 'Brand#2') GROUP BY ALL""",
+    """SELECT service || '::' || node_id AS node_id, service || '/' || file AS file, count(e.src) AS calls
+       FROM symbols LEFT JOIN edges e ON src = node_id GROUP BY ALL""",
 )
 def workspace_union(spark, path):
-    """Two services' graphs as one, with the calls each symbol makes."""
+    """Every service's graph in one, with the calls each symbol makes."""
     symbols, edges = _graph(spark, path)
-    edges = edges.distinct()
-    parts = {}
-    for service in ("Brand#1", "Brand#2"):
-        mine = symbols.filter(F.col("service") == service)
-        parts[service] = (mine, edges.join(mine.select(F.col("node_id").alias("src")), "src", "left_semi"))
-    nodes, links = explore.workspace(parts)
+    owner = symbols.select(F.col("node_id").alias("src"), "service")
+    nodes, links = explore.workspace(symbols, edges.join(owner, "src"))
     calls = links.groupBy(F.col("src").alias("node_id")).agg(F.count(F.lit(1)).alias("calls"))
     return nodes.join(calls, "node_id", "left").select("node_id", "file", F.coalesce("calls", F.lit(0)).alias("calls"))
 

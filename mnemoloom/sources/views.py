@@ -153,7 +153,7 @@ def routes(spark: SparkSession, path: str) -> DataFrame:
     url = F.col("url")
     host = F.regexp_extract(url, "://([^/]+)", 1)
     wrapper = (F.col("side") == "consumes") & F.col("file").rlike(r"^(m|blog)\.")
-    whole = tx.normalise_path(F.regexp_replace(F.regexp_replace(url, "#.*$", ""), r"/[0-9]+", "/:id"))
+    whole = tx.normalise_path(F.regexp_replace(F.regexp_replace(url, "#.*$", ""), r"/[0-9]{3,}", "/:id"))
     return (
         table(spark, path, "pages")
         .select(
@@ -173,6 +173,23 @@ def routes(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def source_files(spark: SparkSession, path: str) -> DataFrame:
+    """A small module per page: https pages declare their route, http pages fetch theirs."""
+    url = F.col("url")
+    host = F.regexp_extract(url, "://([^/]+)", 1)
+    raw = F.regexp_extract(url, r"://[^/]+(/[^?#]*)", 1)
+    declares = F.concat(
+        F.lit('// router.get("/left/out", handler)\nimport handler from "./handler"\nrouter.post("'),
+        F.regexp_replace(raw, "/[0-9]+", "/:id"), F.lit('", handler)\n'),
+    )
+    calls = F.concat(F.lit("async function load() {\n  return fetch(`${BILLING_URL}"), raw, F.lit("`)\n}\n"))
+    return table(spark, path, "pages").select(
+        F.regexp_extract(host, r"([a-z0-9-]+\.[a-z]+)$", 1).alias("service"),
+        F.concat(host, F.lit("/p"), F.col("page_id").cast("string"), F.lit(".js")).alias("file"),
+        F.when(url.startswith("https:"), declares).otherwise(calls).alias("text"),
+    )
+
+
 def questions(spark: SparkSession, path: str) -> DataFrame:
     return table(spark, path, "benchmark").select(F.col("item_id").alias("qid"), "text")
 
@@ -295,7 +312,7 @@ def sql_normalise_path(expr: str) -> str:
 
 SQL["routes"] = SQL["routes"].replace(
     "{normalised}",
-    sql_normalise_path("regexp_replace(regexp_replace(url, '#.*$', ''), '/[0-9]+', '/:id', 'g')"),
+    sql_normalise_path("regexp_replace(regexp_replace(url, '#.*$', ''), '/[0-9]{3,}', '/:id', 'g')"),
 )
 
 
