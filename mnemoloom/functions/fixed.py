@@ -162,6 +162,9 @@ SIZING_LONG_RUN = r"\b(unattended|overnight|autonomous|without supervision|end t
 TIERS = ["light", "standard", "deep", "hardest"]
 DEFAULT_TIER = "deep"
 
+# Directories holding build output.
+BUILD_DIR = r"(?i)^(build|build[-.].*|.*\.build|cmake-build-.*|out|target|node_modules)$"
+
 # Task event kinds.
 TASK_KINDS = ["note", "decision", "blocker", "test", "commit", "state"]
 

@@ -208,6 +208,72 @@ def log_lines(spark: SparkSession, path: str) -> DataFrame:
     ).select("run", (F.col("event_id") * 3 + F.col("k")).alias("n"), "text")
 
 
+def task_texts(spark: SparkSession, path: str) -> DataFrame:
+    """A task in words for every order, its urgency deciding what is asked."""
+    key = F.col("o_orderkey").cast("string")
+    p = F.col("o_orderpriority")
+    text = (
+        F.when(p == "1-URGENT", F.concat(F.lit("Redesign and migrate shipment "), key, F.lit(" unattended, overnight")))
+        .when(p == "2-HIGH", F.concat(F.lit("Investigate why shipment "), key, F.lit(" is late")))
+        .when(p == "3-MEDIUM", F.concat(F.lit("Rename the label of shipment "), key))
+        .when(p == "5-LOW", F.concat(F.lit("What does shipment "), key, F.lit(" contain")))
+        .otherwise(F.concat(F.lit("Build shipment "), key))
+    )
+    long = F.when(F.col("o_orderstatus") == "P", F.repeat(F.lit(" and then the next one"), 5)).otherwise("")
+    return table(spark, path, "orders").select(F.col("o_orderkey").alias("id"), F.concat(text, long).alias("task"), F.col("o_orderstatus").alias("mode"))
+
+
+def worktrees(spark: SparkSession, path: str) -> DataFrame:
+    """Customers as registered work streams in every state."""
+    seg = F.col("c_mktsegment")
+    return table(spark, path, "customer").select(
+        F.col("c_custkey").alias("id"),
+        (F.col("c_nationkey") != 3).alias("exists"), (F.col("c_nationkey") == 5).alias("dirty"),
+        (seg == "MACHINERY").alias("pinned"), (seg == "BUILDING").alias("merged"),
+        (F.col("c_acctbal") < 1000).alias("untouched"), (seg == "HOUSEHOLD").alias("evaluated"),
+        F.lit("2024-01-05T10:00:00Z").alias("evaluated_at"), F.floor(F.col("c_acctbal") / 100).cast("int").alias("age_days"),
+        F.when(seg == "FURNITURE", 0).otherwise(F.col("c_nationkey") * 1000).alias("build_bytes"),
+        F.col("c_nationkey").alias("unmerged_commits"), F.lit("main").alias("base"),
+    )
+
+
+def path_facts(spark: SparkSession, path: str) -> DataFrame:
+    """Facts naming paths: where each page is served from, and where it is copied to."""
+    raw = F.regexp_extract("url", r"://[^/]+(/[^?#]*)", 1)
+    text = F.concat(
+        F.lit("Served from "), raw, F.lit(". Copied to C:\\site\\"), F.col("page_id").cast("string"),
+        F.lit(" and (/srv/www"), raw, F.lit("), see /start, http://h/a/b and /path/to/it"),
+    )
+    return table(spark, path, "pages").select(
+        F.col("page_id").alias("id"), text.alias("content"), F.lit(None).cast("bigint").alias("superseded_by")
+    )
+
+
+def known_paths(spark: SparkSession, path: str) -> DataFrame:
+    """An inventory of paths: one per document, under its language."""
+    return table(spark, path, "documents").select(
+        F.concat(F.lit("/"), "lang", F.lit("/"), F.col("doc_id").cast("string")).alias("path")
+    )
+
+
+def spec_files(spark: SparkSession, path: str) -> DataFrame:
+    """A story specification per order, more or less complete."""
+    n = F.substring("o_orderpriority", 1, 1).cast("int")
+    state = F.when(F.col("o_orderstatus") == "F", "done").when(F.col("o_orderstatus") == "P", "in-review # soon")
+    criteria = F.array_join(
+        F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(F.lit("- [ ] Given case "), i.cast("string"))), "\n"
+    )
+    command = F.when(n <= 2, "- `make check`").otherwise("- `COMMAND`")
+    text = F.concat(
+        F.lit("---\ntitle: 'Order'\nstatus: "), state.otherwise("ready"), F.lit("\n---\n\n## Code Map\n- `src/"),
+        F.col("o_custkey").cast("string"), F.lit(".js` -- read\n- `FILE`\n\n## Tasks & Acceptance\n\n**Tasks:**\n- [x] one\n\n"),
+        F.lit("**Acceptance Criteria:**\n"), criteria, F.lit("\n\n## Verification\n\n**Commands:**\n"), command, F.lit("\n"),
+    )
+    return table(spark, path, "orders").select(
+        F.concat(F.lit("stories/"), F.col("o_orderkey").cast("string"), F.lit(".md")).alias("file"), text.alias("text")
+    )
+
+
 def tool_events(spark: SparkSession, path: str) -> DataFrame:
     """Each user turn as a tool call, each assistant turn as the result for the turn before it."""
     t = turns(spark, path)
