@@ -190,6 +190,36 @@ def source_files(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def code_symbols(spark: SparkSession, path: str) -> DataFrame:
+    """The same symbols under names that can be written in code."""
+    return symbols(spark, path).withColumn("name", F.concat(F.lit("part"), F.col("node_id").cast("string"))).withColumn(
+        "label", F.concat("name", F.lit("()"))
+    )
+
+
+def call_sites(spark: SparkSession, path: str) -> DataFrame:
+    """Every valid link with its recorded call site, wrong for the last line of an order, and the true one."""
+    parts = code_symbols(spark, path)
+    src = parts.select(F.col("node_id").alias("src"), "file")
+    dst = parts.select(F.col("node_id").alias("dst"), "name", "callable")
+    true_line = (F.lit(1000) + F.col("dst") * 10 + F.col("l")).cast("int")
+    links_ = links(spark, path).withColumnRenamed("line", "l")
+    return links_.join(src, "src").join(dst, "dst").select(
+        "src", "dst", "file", "name", "callable", true_line.alias("true_line"),
+        F.when(F.col("l") == 7, F.lit(9) - true_line).otherwise(true_line).alias("line"),
+    )
+
+
+def source_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Definitions at their lines, calls at theirs; an uncallable symbol is only called through an object."""
+    parts = code_symbols(spark, path)
+    definition = F.concat(F.lit("function "), "name", F.lit("(a) {}"))
+    defs = parts.groupBy("file", "line").agg(F.array_join(F.array_sort(F.collect_set(definition)), " ").alias("text"))
+    call = F.concat(F.when(F.col("callable"), "  ").otherwise("  x."), "name", F.lit("(y)"))
+    calls = call_sites(spark, path).select("file", F.col("true_line").alias("line"), call.alias("text")).distinct()
+    return defs.unionByName(calls)
+
+
 def questions(spark: SparkSession, path: str) -> DataFrame:
     return table(spark, path, "benchmark").select(F.col("item_id").alias("qid"), "text")
 
