@@ -58,7 +58,7 @@ def usage_from(events: DataFrame) -> DataFrame:
     measured = F.col("event_type").isin("view", "click")
     return events.select(
         F.col("event_id").alias("id"),
-        F.col("ts").alias("at"),
+        F.col("ts").cast("timestamp").alias("at"),
         F.col("event_type").alias("tool"),
         F.col("user_id"),
         F.get_json_object("props", "$.k").cast("bigint").alias("in_chars"),
