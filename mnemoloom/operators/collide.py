@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
 from .spans import in_ranges, symbol_spans
 from .traversal import merge_order as _layers
 
@@ -17,54 +18,28 @@ from .traversal import merge_order as _layers
 def stream_changes(ranges: DataFrame, symbols: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(files, symbols) per stream from its changed ranges (stream, file, lo, hi)."""
     files = ranges.select("stream", "file").distinct()
-    return files, in_ranges(ranges, symbol_spans(symbols), ["stream"])
-
-
-def _per_key(rows: DataFrame, key: str) -> DataFrame:
-    """(key, streams): the sorted streams touching each key; as many as there are streams at most."""
-    return rows.select("stream", key).distinct().groupBy(key).agg(F.array_sort(F.collect_set("stream")).alias("streams"))
-
-
-def _pairs_of(grouped: DataFrame, name: str) -> DataFrame:
-    """(a, b, name): how many keys two streams share, counted map-side.
-
-    Keys touched by the same streams are counted once with their number.
-    """
-    sets = grouped.groupBy("streams").agg(F.count(F.lit(1)).alias("_n")).filter(F.size("streams") > 1)
-    pairs = F.flatten(
-        F.transform(
-            "streams",
-            lambda a, i: F.transform(
-                F.slice("streams", i + 2, F.size("streams")), lambda b: F.struct(a.alias("a"), b.alias("b"))
-            ),
-        )
-    )
-    return sets.select(F.explode(pairs).alias("p"), "_n").groupBy("p.a", "p.b").agg(F.sum("_n").alias(name))
+    # Every comparison below reads both tables several times, so they are written out once.
+    return cut(files), cut(in_ranges(ranges, symbol_spans(symbols), ["stream"]))
 
 
 def shared(files: DataFrame, changes: DataFrame) -> DataFrame:
     """(a, b, shared_symbols, shared_files) of every two streams that meet, a < b.
 
-    A shared file counts only where the two share none of its symbols.
+    A shared file counts only where the two share none of its symbols. A symbol or file
+    brings each stream once, so no key meets more rows than there are streams, and the
+    pairs are counted before they are shuffled.
     """
-    symbols = _pairs_of(_per_key(changes, "node_id"), "shared_symbols")
-    all_files = _pairs_of(_per_key(files, "file"), "_files")
-    # Files in which two streams share at least one symbol: pairs per symbol, distinct by file.
-    by_symbol = changes.groupBy("file", "node_id").agg(F.array_sort(F.collect_set("stream")).alias("streams"))
-    sets = by_symbol.select("file", "streams").distinct().filter(F.size("streams") > 1)
-    pairs = F.flatten(
-        F.transform(
-            "streams",
-            lambda a, i: F.transform(
-                F.slice("streams", i + 2, F.size("streams")), lambda b: F.struct(a.alias("a"), b.alias("b"))
-            ),
-        )
-    )
-    fought = sets.select("file", F.explode(pairs).alias("p")).select("file", "p.a", "p.b").distinct()
-    fought = fought.groupBy("a", "b").agg(F.count(F.lit(1)).alias("_fought"))
-    out = symbols.join(all_files, ["a", "b"], "full").join(fought, ["a", "b"], "left")
+
+    def met(rows: DataFrame, key: str, extra: list[str]) -> DataFrame:
+        once = rows.select("stream", key, *extra).distinct()
+        other = once.select(F.col("stream").alias("b"), F.col(key).alias("_k"))
+        return once.withColumnRenamed("stream", "a").join(other, (F.col(key) == F.col("_k")) & (F.col("a") < F.col("b")))
+
+    by_file = met(changes, "node_id", ["file"]).groupBy("a", "b", "file").agg(F.count(F.lit(1)).alias("_n"))
+    symbols = by_file.groupBy("a", "b").agg(F.sum("_n").alias("shared_symbols"), F.count(F.lit(1)).alias("_fought"))
+    all_files = met(files, "file", []).groupBy("a", "b").agg(F.count(F.lit(1)).alias("_files"))
     zero = lambda c: F.coalesce(c, F.lit(0))
-    return out.select(
+    return symbols.join(all_files, ["a", "b"], "full").select(
         "a", "b", zero("shared_symbols").alias("shared_symbols"), (zero("_files") - zero("_fought")).alias("shared_files")
     )
 
@@ -72,28 +47,18 @@ def shared(files: DataFrame, changes: DataFrame) -> DataFrame:
 def dependencies(changes: DataFrame, edges: DataFrame) -> DataFrame:
     """(name, needs, callees): streams whose changed code calls symbols another stream changed.
 
-    Each side is brought down to one row per symbol, holding its streams, before the
-    call edges join them; distinct callees are counted from pairs of streams.
+    Calls are first brought down to (stream, symbol called), each once, whichever and
+    however many of its callers the stream changed.
     """
-    callers = _per_key(changes, "node_id").select(F.col("node_id").alias("src"), F.col("streams").alias("_from"))
-    callees = _per_key(changes, "node_id").select(F.col("node_id").alias("dst"), F.col("streams").alias("_to"))
+    touched = changes.select("stream", "node_id").distinct()
     calls = edges.select("src", "dst").distinct()
-    # Streams calling a symbol, whichever of its callers they changed.
     reaching = (
-        calls.join(callers, "src")
-        .select("dst", F.explode("_from").alias("name"))
+        calls.join(touched.select(F.col("node_id").alias("src"), F.col("stream").alias("name")), "src")
+        .select("name", "dst")
         .distinct()
-        .groupBy("dst")
-        .agg(F.array_sort(F.collect_set("name")).alias("_from"))
-    )
-    sets = reaching.join(callees, "dst").groupBy("_from", "_to").agg(F.count(F.lit(1)).alias("_n"))
-    return (
-        sets.select(F.explode("_from").alias("name"), "_to", "_n")
-        .select("name", F.explode("_to").alias("needs"), "_n")
-        .filter("name <> needs")
-        .groupBy("name", "needs")
-        .agg(F.sum("_n").alias("callees"))
     )
+    changed = touched.select(F.col("node_id").alias("dst"), F.col("stream").alias("needs"))
+    return reaching.join(changed, "dst").filter("name <> needs").groupBy("name", "needs").agg(F.count(F.lit(1)).alias("callees"))
 
 
 def compare(files: DataFrame, changes: DataFrame, edges: DataFrame) -> DataFrame:

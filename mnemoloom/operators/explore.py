@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..session import cut
 from . import graph
 from .spans import enclosing, in_ranges, symbol_spans
 
@@ -111,7 +112,7 @@ def tree(symbols: DataFrame, under: str = "", depth: int = 1) -> DataFrame:
 
     An unknown branch has no rows.
     """
-    rows = tree_rows(symbols)
+    rows = cut(tree_rows(symbols))
     level = cur = rows.filter(F.col("path") == under).withColumn("level", F.lit(0))
     for d in range(1, depth + 1):
         above = cur.select(F.col("path").alias("parent"))

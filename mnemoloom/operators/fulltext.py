@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions import text as tx
+from ..session import cut, send
 from .ordering import top_per
 
 
@@ -33,38 +34,50 @@ def question_terms(questions: DataFrame) -> DataFrame:
     )
 
 
+def matched_postings(docs: DataFrame, asked: DataFrame, rows: int, key: str, fields: list[str]) -> DataFrame:
+    """(key, doc_len, term, tf) of the asked terms only, plus one row per document under the empty term.
+
+    The empty term carries the lengths of all documents, so word statistics come out
+    of the same single pass over the texts.
+    """
+    terms = F.concat(F.array(F.lit("")), F.col("_tokens"))
+    wanted = asked.select("term").distinct().unionByName(asked.sparkSession.createDataFrame([("",)], "term string"))
+    return (
+        docs.select(key, _tokens_of(fields).alias("_tokens"))
+        .select(key, F.size("_tokens").alias("doc_len"), F.explode(terms).alias("term"))
+        .join(send(wanted, rows), "term", "left_semi")
+        .groupBy(key, "doc_len", "term")
+        .agg(F.count(F.lit(1)).alias("tf"))
+    )
+
+
 def bm25(docs: DataFrame, questions: DataFrame, key: str, fields: list[str]) -> DataFrame:
     """(qid, key, score) for every document sharing a word with a question.
 
-    Only tokens some question asks for survive the explode, so the shuffle holds
-    matching postings and not the corpus. Document frequencies are counted over
-    the same postings.
+    The texts are read once. The postings that matter are written out, and document
+    frequencies, mean length and scores are all taken from them.
     """
-    asked = question_terms(questions)
-    tokens = docs.select(key, _tokens_of(fields).alias("_tokens"))
-    totals = tokens.select(F.size("_tokens").alias("_len")).agg(
-        F.struct(F.count(F.lit(1)).alias("docs"), F.avg("_len").alias("mean_len")).alias("t")
+    asked = cut(question_terms(questions))
+    rows = asked.count()
+    found = cut(matched_postings(docs, asked, rows, key, fields))
+    totals = found.filter("term = ''").agg(
+        F.struct(F.count(F.lit(1)).alias("docs"), F.avg("doc_len").alias("mean_len")).alias("t")
     ).scalar()
-    hits = (
-        tokens.select(key, F.size("_tokens").alias("doc_len"), F.explode("_tokens").alias("term"))
-        .join(asked.select("term").distinct(), "term", "left_semi")
-        .groupBy(key, "doc_len", "term")
-        .agg(F.count(F.lit(1)).alias("tf"))
+    hits = found.filter("term <> ''")
+    idf = F.log((F.col("_t.docs") - F.col("_df") + 0.5) / (F.col("_df") + 0.5))
+    weights = (
+        hits.groupBy("term").agg(F.count(F.lit(1)).alias("_df"))
         .withColumn("_t", totals)
-    )
-    frequency = hits.groupBy("term").agg(F.count(F.lit(1)).alias("_df"), F.first("_t.docs").alias("_n"))
-    idf = F.log((F.col("_n") - F.col("_df") + 0.5) / (F.col("_df") + 0.5))
-    weights = asked.join(frequency, "term").select(
-        "qid", "term", (F.col("qtf") * F.greatest(idf, F.lit(fixed.BM25_MIN_IDF))).alias("_weight")
+        .join(asked, "term")
+        .select("qid", "term", "_t", (F.col("qtf") * F.greatest(idf, F.lit(fixed.BM25_MIN_IDF))).alias("_weight"))
     )
     k1, b = fixed.BM25_K1, fixed.BM25_B
     saturated = (F.col("tf") * (k1 + 1)) / (F.col("tf") + k1 * (1 - b + b * F.col("doc_len") / F.col("_t.mean_len")))
     return (
-        hits.withColumn("_tf", saturated)
-        .join(weights, "term")
+        hits.join(send(weights, rows), "term")
         .groupBy("qid", key)
         # Rounded so that copies of a text tie whatever order their terms were added in.
-        .agg(F.round(F.sum(F.col("_weight") * F.col("_tf")), 9).alias("score"))
+        .agg(F.round(F.sum(F.col("_weight") * saturated), 9).alias("score"))
     )
 
 

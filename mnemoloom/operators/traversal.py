@@ -14,15 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..session import cut
-
-# Frontiers up to this many rows are sent to the edges; larger ones shuffle.
-BROADCAST_ROWS = 100_000
-
-
-def _send(frontier: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(frontier) if rows <= BROADCAST_ROWS else frontier
-
+from ..session import cut, send
 
 def _steps(edges: DataFrame, direction: str, carry: list[str]) -> DataFrame:
     """Edges as (at, to, back, *carry): `forward` along calls, `backward` to callers, `both`."""
@@ -58,7 +50,7 @@ def _bfs(
     for hop in range(1, depth + 1):
         here = frontier.select(F.col("node_id").alias("at"), *[F.col(c).alias(f"_{c}") for c in state])
         reached = (
-            steps.join(_send(here, rows), "at")
+            steps.join(send(here, rows), "at")
             .groupBy(F.col("to").alias("node_id"))
             .agg(*[fold().alias(c) for c, fold in reduce.items()], F.count(F.lit(1)).alias("_visits"))
             .join(visited.select("node_id"), "node_id", "left_anti")
@@ -66,7 +58,8 @@ def _bfs(
         if allowed is not None:
             reached = reached.join(allowed, "node_id", "left_semi")
         fresh = cut(reached.select("node_id", F.lit(hop).alias("distance"), *state))
-        rows = fresh.count()
+        found = F.count_if(F.col("node_id") == F.lit(until)) if until is not None else F.lit(0)
+        rows, arrived = fresh.agg(F.count(F.lit(1)), found).first()
         if limit is not None and total + rows > limit:
             capped = True
             fresh = cut(fresh.orderBy("node_id").limit(max(limit - total, 0)))
@@ -77,7 +70,7 @@ def _bfs(
         # Levels are materialised one by one, so their union costs nothing to carry along.
         visited = visited.unionByName(fresh)
         frontier = fresh
-        if until is not None and not fresh.filter(F.col("node_id") == F.lit(until)).isEmpty():
+        if arrived:
             break
     return visited, capped
 
@@ -182,15 +175,19 @@ def merge_order(names: DataFrame, before: DataFrame) -> DataFrame:
     `before` is (name, needs): `name` has to come after `needs`. Names inside a
     layer are ordered alphabetically by whoever reads them.
     """
-    remaining = cut(names.select("name").distinct())
+    every = cut(names.select("name").distinct())
     pending = cut(before.select("name", "needs").distinct())
-    placed, layer = None, 0
+    count = every.count()
+    placed, remaining, layer = every.filter(F.lit(False)).withColumn("layer", F.lit(0)), every, 0
     while True:
-        blocked = pending.join(remaining.select(F.col("name").alias("needs")), "needs", "left_semi").select("name")
-        ready = cut(remaining.join(blocked.distinct(), "name", "left_anti").withColumn("layer", F.lit(layer)))
+        waits_on = send(remaining.select(F.col("name").alias("needs")), count)
+        blocked = send(pending.join(waits_on, "needs", "left_semi").select("name").distinct(), count)
+        # One materialised layer per round; what is left follows from the layers so far.
+        ready = cut(remaining.join(blocked, "name", "left_anti").withColumn("layer", F.lit(layer)))
         if ready.isEmpty():
-            rest = remaining.withColumn("layer", F.lit(None).cast("int"))
-            return rest if placed is None else placed.unionByName(rest)
-        placed = ready if placed is None else cut(placed.unionByName(ready))
-        remaining = cut(remaining.join(ready, "name", "left_anti"))
+            return placed.unionByName(remaining.withColumn("layer", F.lit(None).cast("int")))
+        placed = placed.unionByName(ready)
+        if layer % 8 == 7:
+            placed = cut(placed.coalesce(1) if layer < 64 else placed)
+        remaining = every.join(send(placed, count), "name", "left_anti")
         layer += 1

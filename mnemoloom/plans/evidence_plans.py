@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import evidence
+from ..session import cut
 from ..sources import views as v
 from .registry import query
 
@@ -16,9 +17,14 @@ _SITES = """
                                 WHEN callable OR file = target THEN 'moved' ELSE 'absent' END AS verdict FROM sites)"""
 
 
+def _lines(spark, path):
+    """Source lines are a stored table in use; here they are written out once per query."""
+    return cut(v.source_lines(spark, path))
+
+
 def _judged(spark, path):
     sites = v.call_sites(spark, path).select("src", "dst", "file", "line")
-    return evidence.edge_verdicts(sites, v.code_symbols(spark, path), v.source_lines(spark, path))
+    return evidence.edge_verdicts(sites, v.code_symbols(spark, path), _lines(spark, path))
 
 
 @query("symbols edges", f", {_SITES} SELECT src, dst, line, verdict FROM verdicts")
@@ -40,13 +46,15 @@ def callers_rejected(spark, path):
         FROM symbols s JOIN src_lines l ON l.file = s.file AND l.line BETWEEN s.line AND s.line + 13 GROUP BY node_id, s.line""",
 )
 def symbol_slices(spark, path):
-    return evidence.slices(v.code_symbols(spark, path), v.source_lines(spark, path)).select("node_id", "line", "text")
+    return evidence.slices(v.code_symbols(spark, path), _lines(spark, path)).select("node_id", "line", "text")
 
 
 @query()
 def evidence_packet(spark, path):
     """Source and verified neighbours of the symbols each brand's code is most called through."""
-    symbols, judged = v.code_symbols(spark, path), _judged(spark, path)
-    return evidence.packet(symbols.select("node_id"), symbols, evidence.verified_edges(judged), v.source_lines(spark, path)).select(
+    symbols, lines = v.code_symbols(spark, path), _lines(spark, path)
+    sites = v.call_sites(spark, path).select("src", "dst", "file", "line")
+    good = cut(evidence.verified_edges(evidence.edge_verdicts(sites, symbols, lines)))
+    return evidence.packet(symbols.select("node_id"), symbols, good, lines).select(
         "node_id", "header", "chars"
     )

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import explore, graph, spans, symbols as sym, traversal
+from ..session import cut
 from ..sources import views as v
 from .registry import query
 
@@ -15,6 +16,12 @@ def _graph(spark, path):
     return symbols, graph.valid_edges(v.links(spark, path), symbols)
 
 
+def _stored(spark, path):
+    """The same with edges written out, as a store would hold them: traversals read them once per hop."""
+    symbols, edges = _graph(spark, path)
+    return symbols, cut(edges.select("src", "dst"))
+
+
 @query("links symbols", """SELECT src, dst, line FROM links WHERE src IN (SELECT node_id FROM symbols)
                            AND dst IN (SELECT node_id FROM symbols)""")
 def edges_valid(spark, path):
@@ -86,7 +93,7 @@ _START = 7
         SELECT node_id, min(d) AS distance FROM walk GROUP BY node_id""",
 )
 def khop_neighbourhood(spark, path):
-    symbols, edges = _graph(spark, path)
+    symbols, edges = _stored(spark, path)
     nodes, _, _ = traversal.neighbourhood(edges, symbols, _START, depth=2, limit=None)
     return nodes
 
@@ -102,7 +109,7 @@ def khop_neighbourhood(spark, path):
            OR (dst IN (FROM core) AND src IN (SELECT node_id FROM inside))""",
 )
 def khop_links(spark, path):
-    symbols, edges = _graph(spark, path)
+    symbols, edges = _stored(spark, path)
     _, links, _ = traversal.neighbourhood(edges, symbols, _START, depth=2, limit=None)
     return links
 
@@ -114,7 +121,7 @@ _IMPACT = f"""RECURSIVE , walk(node_id, d) AS (
 
 @query("edges symbols", f"{_IMPACT} SELECT node_id, distance, false AS via_contract FROM reached")
 def reverse_impact(spark, path):
-    symbols, edges = _graph(spark, path)
+    symbols, edges = _stored(spark, path)
     return traversal.impact(edges, symbols, _START, depth=3, limit=None)[0]
 
 
@@ -124,7 +131,7 @@ def reverse_impact(spark, path):
         FROM reached JOIN symbols USING (node_id) GROUP BY service""",
 )
 def impact_by_service(spark, path):
-    symbols, edges = _graph(spark, path)
+    symbols, edges = _stored(spark, path)
     reached, _ = traversal.impact(edges, symbols, _START, depth=3, limit=None)
     return traversal.impact_by_service(reached, symbols)
 
@@ -136,7 +143,7 @@ def impact_by_service(spark, path):
         SELECT min(d) AS hops, true AS directed FROM walk WHERE node_id = 42""",
 )
 def shortest_path_len(spark, path):
-    symbols, edges = _graph(spark, path)
+    symbols, edges = _stored(spark, path)
     found = traversal.shortest_path(edges, symbols, 1, 42)
     return spark.createDataFrame([(found["hops"], found["directed"])], "hops int, directed boolean")
 

@@ -8,6 +8,7 @@ from ..functions import text as tx
 from ..functions import vectors as vx
 from ..operators import evaluate, fulltext, fusion, lexical, memory, recall
 from ..operators.ordering import top_per
+from ..session import spread
 from ..sources import views as v
 from .dialect import sql_bm25, sql_index_tokens, sql_keyword_terms, sql_stem, sql_tokens, sql_words
 from .registry import query
@@ -22,7 +23,7 @@ _SCENARIO_TOKENS = (
 
 def _scenarios(spark, path):
     host = F.regexp_extract("url", "://([^/]+)", 1)
-    pages = v.table(spark, path, "pages")
+    pages = spread(v.table(spark, path, "pages").select("page_id", "url", "html"), "page_id")
     return pages.select(F.col("url").alias("path"), host.alias("summary"), F.col("html").alias("content"))
 
 

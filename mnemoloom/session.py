@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Runtime SQL settings the operators rely on. They are only set where the
 # session has not been given a value of its own.
@@ -15,6 +16,9 @@ _RUNTIME = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # Split a skewed join partition even where that costs one more shuffle.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Explodes here are of arrays computed from texts; a filter inferred from the explode would
+    # compute each of them a second time, and ahead of any repartitioning.
+    "spark.sql.optimizer.excludedRules": "org.apache.spark.sql.catalyst.optimizer.InferFiltersFromGenerate",
     # Merge sessions map-side, so one hot key does not ship every event.
     "spark.sql.sessionWindow.merge.sessions.in.local.partition": "true",
 }
@@ -63,3 +67,28 @@ def cut(df: DataFrame) -> DataFrame:
     """
     _ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+# Tables up to this many rows are sent to every executor; larger ones are shuffled.
+BROADCAST_ROWS = 200_000
+
+
+def send(df: DataFrame, rows: int) -> DataFrame:
+    """Mark a table of a counted size for broadcast, if that size is small."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
+# Inputs of more splits than this are spread well enough by themselves.
+SMALL_SPLITS = 32
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Give every core a share of a small input that one or two splits would keep to themselves.
+
+    Only for scans feeding heavy per-row work. An input of any size keeps the splits it has.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    splits = df.rdd.getNumPartitions()
+    if splits >= cores or splits > SMALL_SPLITS:
+        return df
+    return df.repartition(cores, *keys)

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..session import spread
 
 
 def table(spark: SparkSession, path: str, name: str) -> DataFrame:
@@ -18,7 +19,7 @@ def table(spark: SparkSession, path: str, name: str) -> DataFrame:
 
 
 def facts(spark: SparkSession, path: str) -> DataFrame:
-    docs, labels = table(spark, path, "documents"), table(spark, path, "labels")
+    docs, labels = spread(table(spark, path, "documents"), "doc_id"), table(spark, path, "labels")
     return docs.join(labels, "doc_id", "left").select(
         F.col("doc_id").alias("id"),
         F.col("lang").alias("kind"),
@@ -31,7 +32,7 @@ def facts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def turns(spark: SparkSession, path: str) -> DataFrame:
-    return table(spark, path, "conversations").select(
+    return spread(table(spark, path, "conversations"), "conv_id", "turn").select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("id"),
         F.col("conv_id").alias("session_id"),
         F.col("turn").alias("turn"),
@@ -183,7 +184,7 @@ def source_files(spark: SparkSession, path: str) -> DataFrame:
         F.regexp_replace(raw, "/[0-9]+", "/:id"), F.lit('", handler)\n'),
     )
     calls = F.concat(F.lit("async function load() {\n  return fetch(`${BILLING_URL}"), raw, F.lit("`)\n}\n"))
-    return table(spark, path, "pages").select(
+    return spread(table(spark, path, "pages").select("page_id", "url"), "page_id").select(
         F.regexp_extract(host, r"([a-z0-9-]+\.[a-z]+)$", 1).alias("service"),
         F.concat(host, F.lit("/p"), F.col("page_id").cast("string"), F.lit(".js")).alias("file"),
         F.when(url.startswith("https:"), declares).otherwise(calls).alias("text"),
@@ -250,7 +251,7 @@ def task_texts(spark: SparkSession, path: str) -> DataFrame:
         .otherwise(F.concat(F.lit("Build shipment "), key))
     )
     long = F.when(F.col("o_orderstatus") == "P", F.repeat(F.lit(" and then the next one"), 5)).otherwise("")
-    return table(spark, path, "orders").select(F.col("o_orderkey").alias("id"), F.concat(text, long).alias("task"), F.col("o_orderstatus").alias("mode"))
+    return spread(table(spark, path, "orders"), "o_orderkey").select(F.col("o_orderkey").alias("id"), F.concat(text, long).alias("task"), F.col("o_orderstatus").alias("mode"))
 
 
 def worktrees(spark: SparkSession, path: str) -> DataFrame:
@@ -299,7 +300,7 @@ def spec_files(spark: SparkSession, path: str) -> DataFrame:
         F.col("o_custkey").cast("string"), F.lit(".js` -- read\n- `FILE`\n\n## Tasks & Acceptance\n\n**Tasks:**\n- [x] one\n\n"),
         F.lit("**Acceptance Criteria:**\n"), criteria, F.lit("\n\n## Verification\n\n**Commands:**\n"), command, F.lit("\n"),
     )
-    return table(spark, path, "orders").select(
+    return spread(table(spark, path, "orders"), "o_orderkey").select(
         F.concat(F.lit("stories/"), F.col("o_orderkey").cast("string"), F.lit(".md")).alias("file"), text.alias("text")
     )
 
