@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import stored
 from .spans import in_ranges, symbol_spans
 from .traversal import merge_order as _layers
 
@@ -19,7 +19,7 @@ def stream_changes(ranges: DataFrame, symbols: DataFrame) -> tuple[DataFrame, Da
     """(files, symbols) per stream from its changed ranges (stream, file, lo, hi)."""
     files = ranges.select("stream", "file").distinct()
     # Every comparison below reads both tables several times, so they are written out once.
-    return cut(files), cut(in_ranges(ranges, symbol_spans(symbols), ["stream"]))
+    return stored(files), stored(in_ranges(ranges, symbol_spans(symbols), ["stream"]))
 
 
 def shared(files: DataFrame, changes: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions import text as tx
-from ..session import cut
+from ..session import stored
 from .ordering import top_per
 
 MAX_FAILURES = 25
@@ -122,7 +122,7 @@ def digest(texts: DataFrame, summarise, key: str = "id", size: int = 18000, pass
         done = done.unionByName(level.filter(F.length("content") <= size))
         chunks = digest_chunks(level.filter(F.length("content") > size), key, "content", size)
         # A text's chunks are put together again in one row, which was one row to begin with.
-        level = cut(chunks.select(key, "chunk", shorten("content").alias("content")).groupBy(key).agg(
+        level = stored(chunks.select(key, "chunk", shorten("content").alias("content")).groupBy(key).agg(
             F.array_join(
                 F.transform(F.array_sort(F.collect_list(F.struct("chunk", "content"))), lambda c: c["content"]), "\n"
             ).alias("content")

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors as vx
-from ..session import cut
+from ..session import stored
 
 # Vectors settled per round, and so the size of what is sent to every executor.
 BATCH = 4096
@@ -99,7 +99,7 @@ def keep_first_wins(
     rest = incoming.filter(~comparable)
     # Exact copies collapse first: only the earliest of them can survive.
     waiting = first_of_each(incoming.filter(comparable).select(order, "embedding"), ["embedding"], order)
-    waiting = cut(waiting.select(order, "embedding"))
+    waiting = stored(waiting.select(order, "embedding"))
     seen = known.filter("embedding is not null") if known is not None else None
     chosen: DataFrame | None = None
     while True:
@@ -116,7 +116,7 @@ def keep_first_wins(
         chosen = picked if chosen is None else chosen.unionByName(picked)
         last = rows.column(order)[-1].as_py()
         later = waiting.filter(F.col(order) > F.lit(last))
-        waiting = cut(_without(later, heads[kept], threshold) if kept else later)
+        waiting = stored(_without(later, heads[kept], threshold) if kept else later)
     if chosen is None:
         return rest
     return incoming.join(chosen, order, "left_semi").select(*incoming.columns).unionByName(rest)

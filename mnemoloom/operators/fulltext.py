@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions import text as tx
-from ..session import cut, send
+from ..session import cut, send, stored
 from .ordering import top_per
 
 
@@ -59,7 +59,7 @@ def bm25(docs: DataFrame, questions: DataFrame, key: str, fields: list[str]) ->
     """
     asked = cut(question_terms(questions))
     rows = asked.count()
-    found = cut(matched_postings(docs, asked, rows, key, fields))
+    found = stored(matched_postings(docs, asked, rows, key, fields))
     totals = found.filter("term = ''").agg(
         F.struct(F.count(F.lit(1)).alias("docs"), F.avg("doc_len").alias("mean_len")).alias("t")
     ).scalar()

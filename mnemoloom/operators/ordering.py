@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import stored
 
 
 def top_per(df: DataFrame, keys: list[str], order: list[Column], n: int, rank: str = "rank") -> DataFrame:
@@ -72,7 +72,7 @@ def dense_index(df: DataFrame, order: str | list[Column], out: str) -> DataFrame
     rows have to come from the same split.
     """
     by = [F.col(order)] if isinstance(order, str) else order
-    ranged = cut(df.repartitionByRange(*by).withColumn("_part", F.spark_partition_id()))
+    ranged = stored(df.repartitionByRange(*by).withColumn("_part", F.spark_partition_id()))
     # One row per partition of the range shuffle: bounded by the partition count.
     sizes = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"))
     offsets = sizes.select("_part", (F.sum("_size").over(W.orderBy("_part")) - F.col("_size")).alias("_offset"))

@@ -175,19 +175,16 @@ def merge_order(names: DataFrame, before: DataFrame) -> DataFrame:
     `before` is (name, needs): `name` has to come after `needs`. Names inside a
     layer are ordered alphabetically by whoever reads them.
     """
-    every = cut(names.select("name").distinct())
     pending = cut(before.select("name", "needs").distinct())
-    count = every.count()
-    placed, remaining, layer = every.filter(F.lit(False)).withColumn("layer", F.lit(0)), every, 0
+    state = cut(names.select("name").distinct().withColumn("layer", F.lit(None).cast("int")))
+    count, layer = state.count(), 0
     while True:
-        waits_on = send(remaining.select(F.col("name").alias("needs")), count)
-        blocked = send(pending.join(waits_on, "needs", "left_semi").select("name").distinct(), count)
-        # One materialised layer per round; what is left follows from the layers so far.
-        ready = cut(remaining.join(blocked, "name", "left_anti").withColumn("layer", F.lit(layer)))
-        if ready.isEmpty():
-            return placed.unionByName(remaining.withColumn("layer", F.lit(None).cast("int")))
-        placed = placed.unionByName(ready)
-        if layer % 8 == 7:
-            placed = cut(placed.coalesce(1) if layer < 64 else placed)
-        remaining = every.join(send(placed, count), "name", "left_anti")
+        waiting = state.filter("layer is null").select(F.col("name").alias("needs"))
+        blocked = pending.join(send(waiting, count), "needs", "left_semi").select("name").distinct()
+        blocked = send(blocked.withColumn("_blocked", F.lit(True)), count)
+        # One materialised table per round: names with the layers decided so far.
+        decided = F.when(F.col("layer").isNull() & F.col("_blocked").isNull(), F.lit(layer)).otherwise(F.col("layer"))
+        state = cut(state.join(blocked, "name", "left").select("name", decided.alias("layer")))
+        if state.filter(F.col("layer") == layer).isEmpty():
+            return state
         layer += 1

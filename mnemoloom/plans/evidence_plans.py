@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import evidence
-from ..session import cut
+from ..session import stored
 from ..sources import views as v
 from .registry import query
 
@@ -19,7 +19,7 @@ _SITES = """
 
 def _lines(spark, path):
     """Source lines are a stored table in use; here they are written out once per query."""
-    return cut(v.source_lines(spark, path))
+    return stored(v.source_lines(spark, path))
 
 
 def _judged(spark, path):
@@ -54,7 +54,7 @@ def evidence_packet(spark, path):
     """Source and verified neighbours of the symbols each brand's code is most called through."""
     symbols, lines = v.code_symbols(spark, path), _lines(spark, path)
     sites = v.call_sites(spark, path).select("src", "dst", "file", "line")
-    good = cut(evidence.verified_edges(evidence.edge_verdicts(sites, symbols, lines)))
+    good = stored(evidence.verified_edges(evidence.edge_verdicts(sites, symbols, lines)))
     return evidence.packet(symbols.select("node_id"), symbols, good, lines).select(
         "node_id", "header", "chars"
     )

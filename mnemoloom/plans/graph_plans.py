@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import explore, graph, spans, symbols as sym, traversal
-from ..session import cut
+from ..session import stored
 from ..sources import views as v
 from .registry import query
 
@@ -19,7 +19,7 @@ def _graph(spark, path):
 def _stored(spark, path):
     """The same with edges written out, as a store would hold them: traversals read them once per hop."""
     symbols, edges = _graph(spark, path)
-    return symbols, cut(edges.select("src", "dst"))
+    return symbols, stored(edges.select("src", "dst"))
 
 
 @query("links symbols", """SELECT src, dst, line FROM links WHERE src IN (SELECT node_id FROM symbols)

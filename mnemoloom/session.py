@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,16 +60,31 @@ def _ensure_checkpoint_dir(spark: SparkSession) -> None:
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder next to the checkpoints, reachable by every executor."""
+    _ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise `df` in the shared checkpoint folder and forget its lineage.
+    """Materialise one round of an iteration in the shared checkpoint folder and forget its lineage.
 
-    Iterative operators call this once per round. The result is on reliable
-    storage, so a lost executor costs a re-read and not a replay.
+    The result is on reliable storage, so a lost executor costs a re-read and not a replay.
     """
     _ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Write a table that is read several times into the shared folder, and read it back.
+
+    Columnar, so each reader takes the columns it needs, and of a size the optimizer knows.
+    """
+    folder = shared_folder(df.sparkSession, "stored")
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 # Tables up to this many rows are sent to every executor; larger ones are shuffled.
 BROADCAST_ROWS = 200_000
 

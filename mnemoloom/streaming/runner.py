@@ -2,19 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import _ensure_checkpoint_dir
-
-
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder next to the checkpoints, reachable by every executor."""
-    _ensure_checkpoint_dir(spark)
-    return f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/{name}-{uuid.uuid4().hex}"
+from ..session import shared_folder
 
 
 def drain(stream: DataFrame, out: str, checkpoint: str, mode: str = "update"):
