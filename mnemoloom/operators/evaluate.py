@@ -46,8 +46,8 @@ def containing(docs: DataFrame, items: DataFrame, key: str = "id", text: str = "
         return found
     # Questions too short to anchor ride along with every text as one small array.
     listed = short.agg(F.collect_list(F.struct("qid", "text"))).scalar()
-    held = F.filter(listed, lambda q: F.contains(F.col("_body"), q["text"]))
-    rest = body.select(key, F.explode(held).alias("_q")).select(F.col("_q.qid").alias("qid"), key)
+    held = F.filter("_listed", lambda q: F.contains(F.col("_body"), q["text"]))
+    rest = body.withColumn("_listed", listed).select(key, F.explode(held).alias("_q")).select(F.col("_q.qid").alias("qid"), key)
     return found.unionByName(rest)
 
 

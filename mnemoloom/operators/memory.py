@@ -265,20 +265,22 @@ def embed_text_budget(query_prefix: str = "") -> int:
 
 def embed_missing(facts: DataFrame, embed: Callable[[list[str]], list], batch: int = 32) -> DataFrame:
     """Fill null vectors through `embed`, an injected callable over a batch of texts."""
+    import numpy as np
     import pandas as pd
 
     cap = embed_text_budget()
 
-    @F.pandas_udf("array<float>")
-    def fill(texts: pd.Series) -> pd.Series:
+    def fill_texts(texts):
         out: list = []
         for i in range(0, len(texts), batch):
             out.extend(embed([t[:cap] for t in texts.iloc[i : i + batch]]))
-        return pd.Series(out)
+        # Unit length at write time, so that similarity is a plain dot product.
+        return pd.Series([np.asarray(v) / (np.linalg.norm(v) or 1.0) for v in out])
 
+    fill = F.pandas_udf(fill_texts, "array<float>")
     text = F.concat_ws(" ", "content", F.coalesce("context", F.lit("")))
     have = facts.filter(F.col("embedding").isNotNull())
-    lack = facts.filter(F.col("embedding").isNull()).withColumn("embedding", vx.normalise(fill(text)))
+    lack = facts.filter(F.col("embedding").isNull()).withColumn("embedding", fill(text))
     return have.unionByName(lack)
 
 

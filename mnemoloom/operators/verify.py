@@ -86,3 +86,16 @@ def drifted(facts: DataFrame, paths: DataFrame, limit: int = 3, home: str = "/ro
     stale = verdicts(live(facts), paths, home).filter("verify_state = 'stale'")
     total = stale.agg(F.count(F.lit(1)).alias("n")).scalar()
     return stale.orderBy("id").limit(limit).withColumn("total", total)
+
+
+def save_facts(facts: DataFrame, new: DataFrame, paths: DataFrame, home: str = "/root") -> DataFrame:
+    """Append facts (kind, content, context, priority, ...) under new ids, checked as they are written.
+
+    A fact naming a path that is gone is stored as stale from its first day.
+    """
+    from .ordering import dense_index
+
+    top = facts.agg(F.coalesce(F.max("id"), F.lit(0)).alias("m")).scalar()
+    numbered = dense_index(new.drop("id") if "id" in new.columns else new, "content", "_n").withColumn("id", top + F.col("_n")).drop("_n")
+    checked = numbered.drop("verify_state", "verify_note").join(verdicts(numbered, paths, home), "id")
+    return facts.unionByName(checked, allowMissingColumns=True)
