@@ -338,3 +338,31 @@ def test_project_views(spark):
     base = spark.createDataFrame([(4, "fact", "x", "ok", "")], "id long, kind string, content string, verify_state string, verify_note string")
     saved = verify.save_facts(base, new, spark.createDataFrame([("/etc/hosts",)], "path string"))
     assert {(r.id, r.verify_state) for r in saved.collect()} == {(4, "ok"), (5, "stale"), (6, "unknown")}
+
+
+def test_store(spark, tmp_path):
+    from mnemoloom.api import Store
+
+    store = Store(spark, str(tmp_path / "store"))
+    assert store.read("facts").count() == 0
+    new = spark.createDataFrame([("fact", "the parser lives in lib", "build"), ("decision", "storage is columnar parquet", "")], "kind string, content string, context string")
+    store.memory_save_fact(new, spark.createDataFrame([("/etc",)], "path string"))
+    got = [(r.key, r.line) for r in store.memory_recall("where is the parser").collect()]
+    assert got == [("L1:2", "[L1:2] (fact @build) the parser lives in lib")]
+    store.memory_supersede(1, [2])
+    assert store.memory_recall("where is the parser").count() == 0 and store.memory_recall("parser", include_superseded=True).count() == 1
+    for body in ("one", "two"):
+        store.memory_context_write(spark.createDataFrame([("a/b", body, "s")], "path string, content string, summary string"))
+    assert [(r.content, r.version) for r in store.memory_context_read("a/b").collect()] == [("two", 2)]
+    store.publish("tasks", spark.createDataFrame([(1, "t", "open", None)], "id long, title string, state string, updated_at timestamp"))
+    event = spark.createDataFrame([(1, "odd", "tried it")], "task_id long, kind string, detail string").withColumn("at", F.lit("2024-01-01").cast("timestamp"))
+    store.task_note(event)
+    resumed = store.task_resume(1).first()
+    assert [(e.kind, e.detail) for e in resumed.events] == [("note", "tried it")] and resumed.updated_at is not None
+    sym = spark.createDataFrame([("r", "p", "parseFile", "parseFile()", "a.js", 1, True), ("r", "q", "run", "run()", "a.js", 2, True)], "repo string, node_id string, name string, label string, file string, line int, callable boolean")
+    store.publish("symbols", sym)
+    store.publish("edges", spark.createDataFrame([("r", "q", "p", "a.js", 3)], "repo string, src string, dst string, file string, line int"))
+    lines = spark.createDataFrame([("a.js", 1, "function parseFile() {}"), ("a.js", 2, "function run() {"), ("a.js", 3, "  parseFile()")], "file string, line int, text string")
+    packet = store.code_context("r", "who parses a file", lines, limit=1).first()
+    assert packet.node_id == "p" and packet.header.endswith("called by: run")
+    assert store.graph_path("r", "q", "p")["hops"] == 1
