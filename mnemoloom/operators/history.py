@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..session import stored
 from .ordering import top_per
 
 FLOOR = 0.15
@@ -71,17 +72,23 @@ def _file_edges(edges: DataFrame, symbols: DataFrame) -> DataFrame:
     return edges.join(src, "src").join(dst, "dst").select("from_file", "to_file").distinct()
 
 
+def _fans(between: DataFrame) -> DataFrame:
+    return between.filter("from_file <> to_file").groupBy(F.col("to_file").alias("file")).agg(F.count(F.lit(1)).alias("fan"))
+
+
+def _covered(between: DataFrame) -> DataFrame:
+    reached = between.filter(tx.is_test_file("from_file") & ~tx.is_test_file("to_file"))
+    return reached.select(F.col("to_file").alias("file")).distinct()
+
+
 def fan_in(edges: DataFrame, symbols: DataFrame) -> DataFrame:
     """(file, fan): how many other files call into each file."""
-    between = _file_edges(edges, symbols).filter("from_file <> to_file")
-    return between.groupBy(F.col("to_file").alias("file")).agg(F.count(F.lit(1)).alias("fan"))
+    return _fans(_file_edges(edges, symbols))
 
 
 def tested_files(edges: DataFrame, symbols: DataFrame) -> DataFrame:
     """Files that are no tests themselves and that some test file calls into."""
-    between = _file_edges(edges, symbols)
-    covered = between.filter(tx.is_test_file("from_file") & ~tx.is_test_file("to_file"))
-    return covered.select(F.col("to_file").alias("file")).distinct()
+    return _covered(_file_edges(edges, symbols))
 
 
 def risk(
@@ -97,15 +104,21 @@ def risk(
     (file, commits, authors, fan, tested, risk, why, last_days). Maxima are taken over
     all files, before tests, prose and deleted files are left out.
     """
-    files = churn(commits)
-    solo = commits.agg((F.countDistinct("author") <= 1).alias("s")).scalar()
+    # One pass over the history; the maxima and the authors come from the table per file.
+    files = stored(
+        commits.groupBy("file").agg(
+            F.countDistinct("commit").alias("commits"), F.countDistinct("author").alias("authors"), F.max("at").alias("last"),
+            F.min("author").alias("_author"), F.max("author").alias("_other"),
+        )
+    )
+    solo = files.agg(F.min("_author").eqNullSafe(F.max("_other")).alias("s")).scalar()
     max_commits = files.agg(F.greatest(F.max("commits"), F.lit(1)).alias("m")).scalar()
-    only_author = commits.groupBy("file").agg(F.min("author").alias("_author"))
-    out = files.join(only_author, "file")
+    out = files
     if edges is not None and symbols is not None:
-        fans = fan_in(edges, symbols)
+        between = stored(_file_edges(edges, symbols))
+        fans = _fans(between)
         max_fan = fans.agg(F.greatest(F.coalesce(F.max("fan"), F.lit(1)), F.lit(1)).alias("m")).scalar()
-        covered = tested_files(edges, symbols).withColumn("tested", F.lit(True))
+        covered = _covered(between).withColumn("tested", F.lit(True))
         out = out.join(fans, "file", "left").join(covered, "file", "left")
     else:
         max_fan = F.lit(1)

@@ -77,8 +77,8 @@ def supersede(facts: DataFrame, new_id, old_ids: DataFrame, at: Column | None =
 
     `old_ids` is a table with a column `id`. Nothing changes when `new_id` does not exist.
     """
-    exists = facts.filter(F.col("id") == F.lit(new_id)).limit(1).select(F.lit(True).alias("_known"))
-    marked = old_ids.select("id").distinct().join(exists, how="left").withColumn("_hit", F.col("_known"))
+    known = facts.filter(F.col("id") == F.lit(new_id)).agg((F.count(F.lit(1)) > 0).alias("k")).scalar()
+    marked = old_ids.select("id").distinct().withColumn("_hit", known)
     hit = F.coalesce(F.col("_hit"), F.lit(False)) & F.col("superseded_by").isNull() & (F.col("id") != F.lit(new_id))
     out = facts.join(marked.select("id", "_hit"), "id", "left")
     out = out.withColumn("_hit", hit)
