@@ -57,8 +57,16 @@ def bm25(docs: DataFrame, questions: DataFrame, key: str, fields: list[str]) ->
     The texts are read once. The postings that matter are written out, and document
     frequencies, mean length and scores are all taken from them.
     """
+    return _scores(docs, *_asked(questions), key, fields)
+
+
+def _asked(questions: DataFrame) -> tuple[DataFrame, int]:
+    """The words of all questions, and how many there are."""
     asked = cut(question_terms(questions))
-    rows = asked.count()
+    return asked, asked.count()
+
+
+def _scores(docs: DataFrame, asked: DataFrame, rows: int, key: str, fields: list[str]) -> DataFrame:
     found = stored(matched_postings(docs, asked, rows, key, fields))
     totals = found.filter("term = ''").agg(
         F.struct(F.count(F.lit(1)).alias("docs"), F.avg("doc_len").alias("mean_len")).alias("t")
@@ -98,15 +106,16 @@ def keyword_recall(
     Word statistics cover the whole layer; replaced facts are hidden afterwards.
     """
     best = [F.col("score").desc(), F.col("_key")]
-    scores = bm25(facts, questions, "id", ["content", "context"])
+    asked, rows = _asked(questions)
+    scores = _scores(facts, asked, rows, "id", ["content", "context"])
     if not include_superseded:
         scores = scores.join(facts.filter("superseded_by is not null").select("id"), "id", "left_anti")
     legs = [(1, "L1:", scores.withColumnRenamed("id", "_key"))]
     if scenarios is not None:
-        found = bm25(scenarios, questions, "path", ["path", "summary", "content"])
+        found = _scores(scenarios, asked, rows, "path", ["path", "summary", "content"])
         legs.append((2, "L2:", found.withColumnRenamed("path", "_key")))
     if turns is not None:
-        legs.append((3, "L0:", bm25(turns, questions, "id", ["content"]).withColumnRenamed("id", "_key")))
+        legs.append((3, "L0:", _scores(turns, asked, rows, "id", ["content"]).withColumnRenamed("id", "_key")))
     out = None
     for ordinal, prefix, leg in legs:
         ranked = top_per(leg, ["qid"], best, limit * 2).select(

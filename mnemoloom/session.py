@@ -94,17 +94,19 @@ def send(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
-# Inputs of more splits than this are spread well enough by themselves.
-SMALL_SPLITS = 32
+# Inputs beyond this size are spread well enough by their own splits, however many cores there are.
+SMALL_BYTES = 4 << 30
+BYTES_PER_CORE = 16 << 20
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Give every core a share of a small input that one or two splits would keep to themselves.
 
-    Only for scans feeding heavy per-row work. An input of any size keeps the splits it has.
+    Only for scans feeding heavy per-row work. The optimizer's estimate of the scan decides;
+    an input of any size keeps the splits it has.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    splits = df.rdd.getNumPartitions()
-    if splits >= cores or splits > SMALL_SPLITS:
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    if size >= min(cores * BYTES_PER_CORE, SMALL_BYTES):
         return df
     return df.repartition(cores, *keys)
