@@ -106,7 +106,7 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     an input of any size keeps the splits it has.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     if size >= min(cores * BYTES_PER_CORE, SMALL_BYTES):
         return df
     return df.repartition(cores, *keys)
