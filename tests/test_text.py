@@ -18,13 +18,10 @@ def values(spark, inputs, fn):
 
 def test_stem(spark):
     cases = {
-        "memories": "memory", "matches": "match", "boxes": "box", "files": "file"[:3] + "e", "importing": "import",
-        "thing": "thing", "class": "class", "slicing": "slic", "slice": "slic", "used": "used"[:2], "writes": "writ",
-        "red": "red", "ties": "tie",
+        "memories": "memory", "matches": "match", "boxes": "box", "files": "file", "importing": "import", "thing": "thing",
+        "class": "class", "slicing": "slic", "slice": "slic", "used": "used", "writes": "writ", "red": "red", "ties": "tie",
     }
-    cases["files"] = "file"
-    got = dict(zip(cases, values(spark, list(cases), tx.stem)))
-    assert got == {**cases, "files": "file", "used": "used"}
+    assert dict(zip(cases, values(spark, list(cases), tx.stem))) == cases
 
 
 def plain_stem(w):
