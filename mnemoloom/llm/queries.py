@@ -20,5 +20,52 @@ def op4_byte_bpe(spark: SparkSession, path: str) -> DataFrame:
     return bpe.digests(_table(spark, path, "documents"), ranks, public_tokenizers.PATTERN, name)
 
 
-QUERIES = {f.__name__: f for f in (op4_byte_bpe,)}
-SQL: dict[str, str] = {}
+def op6_suffix_decontamination(spark: SparkSession, path: str) -> DataFrame:
+    from . import suffix
+
+    return suffix.report(_table(spark, path, "documents"), _table(spark, path, "benchmark"))
+
+
+# The rules of the contract, and globs for what they leave open.
+HOST_RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
+GLOBS = ("*casino*/**", "*free-bets*/**", "*.xxx/**", "**/login?", "**/*.exe", "**/*.zip")
+
+
+def op9_url_globs(spark: SparkSession, path: str) -> DataFrame:
+    from . import globs
+
+    rules = [*(globs.host_rule(*r) for r in HOST_RULES), *(globs.Rule(g, "block") for g in GLOBS)]
+    return globs.judge(_table(spark, path, "pages"), rules, keep=["page_id"])
+
+
+def op10_token_counts(spark: SparkSession, path: str) -> DataFrame:
+    from . import tokens
+
+    name = "byte_bpe_50k.json"
+    with open(public_tokenizers.path(name), encoding="utf-8") as f:
+        return tokens.report(_table(spark, path, "documents"), f.read(), name)
+
+
+QUERIES = {f.__name__: f for f in (op4_byte_bpe, op6_suffix_decontamination, op9_url_globs, op10_token_counts)}
+SQL: dict[str, str] = {
+    "op9_url_globs": r"""
+        WITH parts AS (
+            SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
+        ), split AS (
+            SELECT page_id, translate(regexp_extract(rest, '\A([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                regexp_extract(rest, '\A[^/?#]*([^?#]*)', 1) AS path FROM parts
+        ), judged AS (
+            SELECT *, CASE
+                WHEN ('.' || host) LIKE '%.example.net' AND starts_with(path, '/en/') THEN 'example.net/en/'
+                WHEN ('.' || host) LIKE '%.example.com' AND starts_with(path, '/de/') THEN 'example.com/de/'
+                WHEN ('.' || host) LIKE '%.org' AND starts_with(path, '/fr/') THEN 'org/fr/'
+                WHEN ('.' || host) LIKE '%.net' AND starts_with(path, '/') THEN 'net/' END AS rule FROM split
+        )
+        SELECT page_id, host, path, rule, CASE
+            WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
+            WHEN path LIKE '/%' AND (host LIKE '%casino%' OR host LIKE '%free-bets%' OR ('.' || host) LIKE '%.xxx') THEN 'block'
+            WHEN path LIKE '%/login_' AND path NOT LIKE '%/login/' THEN 'block'
+            WHEN path LIKE '%.exe' OR path LIKE '%.zip' THEN 'block' ELSE 'allow' END AS verdict
+        FROM judged
+    """,
+}
