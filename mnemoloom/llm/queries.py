@@ -26,6 +26,12 @@ def op6_suffix_decontamination(spark: SparkSession, path: str) -> DataFrame:
     return suffix.report(_table(spark, path, "documents"), _table(spark, path, "benchmark"))
 
 
+def op8_language_id(spark: SparkSession, path: str) -> DataFrame:
+    from . import langid
+
+    return langid.report(_table(spark, path, "documents"))
+
+
 # The rules of the contract, and globs for what they leave open.
 HOST_RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 GLOBS = ("*casino*/**", "*free-bets*/**", "*.xxx/**", "**/login?", "**/*.exe", "**/*.zip")
@@ -46,7 +52,7 @@ def op10_token_counts(spark: SparkSession, path: str) -> DataFrame:
         return tokens.report(_table(spark, path, "documents"), f.read(), name)
 
 
-QUERIES = {f.__name__: f for f in (op4_byte_bpe, op6_suffix_decontamination, op9_url_globs, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op4_byte_bpe, op6_suffix_decontamination, op8_language_id, op9_url_globs, op10_token_counts)}
 SQL: dict[str, str] = {
     "op9_url_globs": r"""
         WITH parts AS (
