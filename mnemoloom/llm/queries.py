@@ -12,6 +12,13 @@ def _table(spark: SparkSession, path: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{path}/{name}.parquet")
 
 
+def op2_ngram_jaccard(spark: SparkSession, path: str) -> DataFrame:
+    from . import partenum
+
+    out = partenum.similar_components(_table(spark, path, "documents"), n_words=4, num=85, den=100)
+    return out.withColumnRenamed("id", "doc_id")
+
+
 def op4_byte_bpe(spark: SparkSession, path: str) -> DataFrame:
     from . import bpe
 
@@ -52,7 +59,7 @@ def op10_token_counts(spark: SparkSession, path: str) -> DataFrame:
         return tokens.report(_table(spark, path, "documents"), f.read(), name)
 
 
-QUERIES = {f.__name__: f for f in (op4_byte_bpe, op6_suffix_decontamination, op8_language_id, op9_url_globs, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op2_ngram_jaccard, op4_byte_bpe, op6_suffix_decontamination, op8_language_id, op9_url_globs, op10_token_counts)}
 SQL: dict[str, str] = {
     "op9_url_globs": r"""
         WITH parts AS (
