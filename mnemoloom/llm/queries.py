@@ -33,6 +33,12 @@ def op6_suffix_decontamination(spark: SparkSession, path: str) -> DataFrame:
     return suffix.report(_table(spark, path, "documents"), _table(spark, path, "benchmark"))
 
 
+def op7_secret_scan(spark: SparkSession, path: str) -> DataFrame:
+    from . import secrets
+
+    return secrets.report(_table(spark, path, "documents"))
+
+
 def op8_language_id(spark: SparkSession, path: str) -> DataFrame:
     from . import langid
 
@@ -59,7 +65,7 @@ def op10_token_counts(spark: SparkSession, path: str) -> DataFrame:
         return tokens.report(_table(spark, path, "documents"), f.read(), name)
 
 
-QUERIES = {f.__name__: f for f in (op2_ngram_jaccard, op4_byte_bpe, op6_suffix_decontamination, op8_language_id, op9_url_globs, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op2_ngram_jaccard, op4_byte_bpe, op6_suffix_decontamination, op7_secret_scan, op8_language_id, op9_url_globs, op10_token_counts)}
 SQL: dict[str, str] = {
     "op9_url_globs": r"""
         WITH parts AS (
