@@ -12,6 +12,12 @@ def _table(spark: SparkSession, path: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{path}/{name}.parquet")
 
 
+def op1_embedding_near_dedup(spark: SparkSession, path: str) -> DataFrame:
+    from . import rotations
+
+    return rotations.near_duplicates(_table(spark, path, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
 def op2_ngram_jaccard(spark: SparkSession, path: str) -> DataFrame:
     from . import partenum
 
@@ -34,9 +40,9 @@ def op6_suffix_decontamination(spark: SparkSession, path: str) -> DataFrame:
 
 
 def op7_secret_scan(spark: SparkSession, path: str) -> DataFrame:
-    from . import secrets
+    from . import secretscan
 
-    return secrets.report(_table(spark, path, "documents"))
+    return secretscan.report(_table(spark, path, "documents"))
 
 
 def op8_language_id(spark: SparkSession, path: str) -> DataFrame:
@@ -65,7 +71,7 @@ def op10_token_counts(spark: SparkSession, path: str) -> DataFrame:
         return tokens.report(_table(spark, path, "documents"), f.read(), name)
 
 
-QUERIES = {f.__name__: f for f in (op2_ngram_jaccard, op4_byte_bpe, op6_suffix_decontamination, op7_secret_scan, op8_language_id, op9_url_globs, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op2_ngram_jaccard, op4_byte_bpe, op6_suffix_decontamination, op7_secret_scan, op8_language_id, op9_url_globs, op10_token_counts)}
 SQL: dict[str, str] = {
     "op9_url_globs": r"""
         WITH parts AS (
