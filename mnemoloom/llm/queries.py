@@ -33,6 +33,12 @@ def op4_byte_bpe(spark: SparkSession, path: str) -> DataFrame:
     return bpe.digests(_table(spark, path, "documents"), ranks, public_tokenizers.PATTERN, name)
 
 
+def op5_toxicity_chain(spark: SparkSession, path: str) -> DataFrame:
+    from . import toxicity
+
+    return toxicity.report(_table(spark, path, "documents"), _table(spark, path, "labels"))
+
+
 def op6_suffix_decontamination(spark: SparkSession, path: str) -> DataFrame:
     from . import suffix
 
@@ -71,7 +77,7 @@ def op10_token_counts(spark: SparkSession, path: str) -> DataFrame:
         return tokens.report(_table(spark, path, "documents"), f.read(), name)
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op2_ngram_jaccard, op4_byte_bpe, op6_suffix_decontamination, op7_secret_scan, op8_language_id, op9_url_globs, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op2_ngram_jaccard, op4_byte_bpe, op5_toxicity_chain, op6_suffix_decontamination, op7_secret_scan, op8_language_id, op9_url_globs, op10_token_counts)}
 SQL: dict[str, str] = {
     "op9_url_globs": r"""
         WITH parts AS (
