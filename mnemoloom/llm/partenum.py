@@ -41,6 +41,9 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
+# Rounds in which the components that share a signature meet one of its sets, before they meet each other.
+STAR_ROUNDS = 2
+
 _BYTE = _mix(np.arange(1, 257, dtype=U) * U(0x9E3779B97F4A7C15))
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -194,17 +197,41 @@ def _names(sets: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return names.astype(np.int64)
 
 
+def _parities(sets: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """512 bits per set: whether an odd number of its members falls into each of so many parts.
+
+    A member that only one of two sets has turns one bit, so sets differ in no fewer members than their parities in bits.
+    """
+    n = len(offsets) - 1
+    part = (_mix(sets + U(0xA0761D6478BD642F)) >> U(55)).astype(np.int64)
+    out = np.zeros((n, 8), np.int64)
+    for at in range(0, n, 4096):
+        end = min(n, at + 4096)
+        rows = np.repeat(np.arange(end - at), np.diff(offsets[at : end + 1]))
+        odd = np.bincount(rows * 512 + part[offsets[at] : offsets[end]], minlength=(end - at) * 512) & 1
+        out[at:end] = np.packbits(odd.astype(bool).reshape(end - at, 512), axis=1).view(np.int64)
+    return out
+
+
 def set_names(docs: DataFrame, n_words: int) -> DataFrame:
-    """`id`, `n` (size of its set) and `cls` (name of its set) per row of (`id`, `text`)."""
+    """`id`, `n` (size of its set), `cls` (name of its set) and `odd` (its parities) per row of (`id`, `text`)."""
 
     def make():
         def run(column):
             sets, offsets = shingle_sets(column, n_words)
-            return [pa.array(np.diff(offsets), pa.int64()), pa.array(_names(sets, offsets), pa.int64())]
+            odd = pa.FixedSizeListArray.from_arrays(pa.array(_parities(sets, offsets).reshape(-1)), 8).cast(pa.list_(pa.int64()))
+            return [pa.array(np.diff(offsets), pa.int64()), pa.array(_names(sets, offsets), pa.int64()), odd]
 
         return run
 
-    return derive(docs, [F.col("text")], [F.col("id")], "n bigint, cls bigint", make)
+    return derive(docs, [F.col("text")], [F.col("id")], "n bigint, cls bigint, odd array<bigint>", make)
+
+
+def _may_be_similar(x: str, y: str, num: int, den: int):
+    """What sizes and parities of two sets (columns x.n, x.odd, y.n, y.odd) leave possible."""
+    differ = " + ".join(f"bit_count({x}.odd[{i}] ^ {y}.odd[{i}])" for i in range(8))
+    # (total - d) / (total + d) >= num / den for d members in which they differ
+    return F.expr(f"{x}.n * {den} >= {y}.n * {num} and {y}.n * {den} >= {x}.n * {num} and ({differ}) * {num + den} <= ({x}.n + {y}.n) * {den - num}")
 
 
 def signed(docs: DataFrame, n_words: int, bands: Bands) -> DataFrame:
@@ -283,48 +310,55 @@ def similar_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     bands = Bands(num, den)
     docs = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
     named = stored(set_names(docs, n_words))
-    classes = named.filter("n > 0").groupBy("cls").agg(F.min("id").alias("rep"), F.min("n").alias("n"))
+    classes = stored(named.filter("n > 0").groupBy("cls").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("odd").alias("odd")))
 
     rows = signed(docs, n_words, bands)
     home = F.when(F.col("lead").isNull(), F.col("sig")).otherwise(F.xxhash64("sig", "cls"))
-    span = W.partitionBy("home")
-    shared = rows.withColumn("home", home).withColumn("least", F.min("cls").over(span)).filter("lead is not null or least <> cls")
-    shared = stored(shared.select("sig", "cls", F.coalesce("lead", "least").alias("other")))
-
-    # The candidate that a set shares most signatures with comes first; most links are found by it.
-    counted = shared.groupBy(F.col("cls").alias("b"), F.col("other").alias("a")).agg(F.count("*").alias("k"))
-    best = counted.groupBy("b").agg(F.max_by("a", F.struct("k", -F.col("a"))).alias("a"))
-    best = _sized(best.select("a", "b"), classes, num, den)
+    rows = rows.withColumn("home", home).withColumn("least", F.min("cls").over(W.partitionBy("home"))).filter("lead is not null or least <> cls")
+    shared = stored(rows.select("sig", "cls", F.coalesce("lead", "least").alias("other")))
     involved = shared.select("cls").union(shared.select("other")).distinct()
     reps = classes.join(involved, "cls").groupBy("rep").agg(F.min("cls").alias("cls")).withColumnRenamed("rep", "id")
     texts = stored(docs.join(reps, "id").dropDuplicates(["cls"]).select("cls", "text"))
-    links = stored(check(best, texts, n_words, num, den))
+    about = classes.select("cls", F.struct("cls", "n", "odd").alias("set"))
+    members = shared.select("sig", "cls").union(shared.select("sig", F.col("other").alias("cls"))).distinct()
+    members = stored(members)
+
+    # First every set with the one it shares most signatures with, of those that stand for a signature.
+    counted = shared.groupBy(F.col("cls").alias("b"), F.col("other").alias("a")).agg(F.count("*").alias("k"))
+    best = counted.groupBy("b").agg(F.max_by("a", F.struct("k", -F.col("a"))).alias("a"))
+    best = best.join(about.select(F.col("cls").alias("a"), F.col("set").alias("x")), "a").join(about.select(F.col("cls").alias("b"), F.col("set").alias("y")), "b")
+    links = check(best.filter(_may_be_similar("x", "y", num, den)).select("a", "b"), texts, n_words, num, den)
     found = stored(components(links))
 
-    # What shares a signature across components is checked pair by pair.
-    members = shared.select("sig", "cls").union(shared.select("sig", F.col("other").alias("cls"))).distinct()
-    placed = members.join(found.select(F.col("node").alias("cls"), "component"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-    placed = stored(placed)
-    split = placed.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("sig")
-    left = stored(placed.join(split, "sig").join(classes.select("cls", "n"), "cls"))
-    x, y = left.alias("x"), left.alias("y")
-    near = (F.col("x.n") * den >= F.col("y.n") * num) & (F.col("y.n") * den >= F.col("x.n") * num)
-    pairs = x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.cls") < F.col("y.cls")) & (F.col("x.component") != F.col("y.component")) & near)
-    pairs = pairs.select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct()
-    rest = stored(check(stored(pairs), texts, n_words, num, den))
-    final = components(links.union(rest))
-
-    small = final.withColumnRenamed("node", "cls").join(classes, "cls").groupBy("component").agg(F.min("rep").alias("component_id"))
-    of_class = final.withColumnRenamed("node", "cls").join(small, "component").select("cls", "component_id")
+    # Then, under every signature that several components share, one set of each with one that stands for all;
+    # after some such rounds whatever is left, pair by pair.
+    for turn in range(STAR_ROUNDS + 1):
+        left = stored(_apart(members, found).join(about, "cls"))
+        if turn < STAR_ROUNDS:
+            draw = F.xxhash64("cls", F.lit(turn))
+            x = left.groupBy("sig").agg(F.min_by(F.struct("set", "component"), draw).alias("lead")).select("sig", "lead.*")
+            y = left.groupBy("sig", "component").agg(F.min_by("set", draw).alias("set"))
+            order = F.lit(True)
+        else:
+            x, y = left, left
+            order = F.col("x.set.cls") < F.col("y.set.cls")
+        near = _may_be_similar("x.set", "y.set", num, den)
+        pairs = x.alias("x").join(y.alias("y"), (F.col("x.sig") == F.col("y.sig")) & (F.col("x.component") != F.col("y.component")) & order & near)
+        pairs = stored(pairs.select(F.col("x.set.cls").alias("a"), F.col("y.set.cls").alias("b")).distinct())
+        new = check(pairs, texts, n_words, num, den)
+        found = stored(components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(new)))
+
+    small = found.withColumnRenamed("node", "cls").join(classes, "cls").groupBy("component").agg(F.min("rep").alias("component_id"))
+    of_class = found.withColumnRenamed("node", "cls").join(small, "component").select("cls", "component_id")
     known = classes.join(of_class, "cls", "left").select("cls", F.coalesce("component_id", "rep").alias("component_id"))
     out = named.join(known, "cls", "left")
     own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
     return out.select("id", F.col("n").alias("n_shingles"), own.alias("component_id"))
 
 
-def _sized(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs whose sizes allow the similarity."""
-    a = classes.select(F.col("cls").alias("a"), F.col("n").alias("na"))
-    b = classes.select(F.col("cls").alias("b"), F.col("n").alias("nb"))
-    fits = (F.col("na") * den >= F.col("nb") * num) & (F.col("nb") * den >= F.col("na") * num)
-    return pairs.join(a, "a").join(b, "b").filter(fits).select("a", "b")
+def _apart(members: DataFrame, found: DataFrame) -> DataFrame:
+    """`sig`, `cls`, `component` of the members of every signature that more than one component shares."""
+    placed = members.join(found.select(F.col("node").alias("cls"), "component"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+    placed = stored(placed)  # read twice
+    split = placed.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("sig")
+    return placed.join(split, "sig")
