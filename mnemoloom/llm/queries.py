@@ -25,6 +25,12 @@ def op2_ngram_jaccard(spark: SparkSession, path: str) -> DataFrame:
     return out.withColumnRenamed("id", "doc_id")
 
 
+def op3_warc_zip(spark: SparkSession, path: str) -> DataFrame:
+    from . import wacz
+
+    return wacz.round_trip(_table(spark, path, "pages"))
+
+
 def op4_byte_bpe(spark: SparkSession, path: str) -> DataFrame:
     from . import bpe
 
@@ -77,8 +83,15 @@ def op10_token_counts(spark: SparkSession, path: str) -> DataFrame:
         return tokens.report(_table(spark, path, "documents"), f.read(), name)
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op2_ngram_jaccard, op4_byte_bpe, op5_toxicity_chain, op6_suffix_decontamination, op7_secret_scan, op8_language_id, op9_url_globs, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op2_ngram_jaccard, op3_warc_zip, op4_byte_bpe, op5_toxicity_chain, op6_suffix_decontamination, op7_secret_scan, op8_language_id, op9_url_globs, op10_token_counts)}
 SQL: dict[str, str] = {
+    "op3_warc_zip": """
+        WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+        f AS (SELECT payload_digest, max(page_id) AS first_id FROM p WHERE payload_bytes >= 1000 GROUP BY payload_digest)
+        SELECT page_id, payload_bytes, payload_digest, CASE WHEN first_id <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+            CASE WHEN first_id <> page_id THEN first_id END AS refers_to
+        FROM p LEFT JOIN f USING (payload_digest)
+    """,
     "op9_url_globs": r"""
         WITH parts AS (
             SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
