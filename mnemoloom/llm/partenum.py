@@ -214,7 +214,10 @@ def _parities(sets: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def set_names(docs: DataFrame, n_words: int) -> DataFrame:
-    """`id`, `n` (size of its set), `cls` (name of its set) and `odd` (its parities) per row of (`id`, `text`)."""
+    """`id`, `mark`, `n` (size of its set), `cls` (name of its set) and `odd` (its parities) per row of (`id`, `text`).
+
+    The mark tells rows with the same id and different texts apart.
+    """
 
     def make():
         def run(column):
@@ -224,7 +227,7 @@ def set_names(docs: DataFrame, n_words: int) -> DataFrame:
 
         return run
 
-    return derive(docs, [F.col("text")], [F.col("id")], "n bigint, cls bigint, odd array<bigint>", make)
+    return derive(docs, [F.col("text")], [F.col("id"), F.xxhash64("text").alias("mark")], "n bigint, cls bigint, odd array<bigint>", make)
 
 
 def _may_be_similar(x: str, y: str, num: int, den: int):
@@ -254,10 +257,9 @@ def signed(docs: DataFrame, n_words: int, bands: Bands) -> DataFrame:
             head = np.ones(len(sig), bool)
             head[1:] = sig[1:] != sig[:-1]
             lead = cls[np.maximum.accumulate(np.where(head, np.arange(len(sig)), 0))] if len(sig) else cls
-            other = head | (lead != cls)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(sig[other]), pa.array(cls[other]), pa.array(lead[other], mask=head[other])], names=["sig", "cls", "lead"]
-            )
+            rows = np.flatnonzero(head | (lead != cls))
+            rows = rows[np.argsort(cls[rows], kind="stable")]  # equal values in a row take less room in the shuffle
+            yield pa.RecordBatch.from_arrays([pa.array(sig[rows]), pa.array(cls[rows]), pa.array(lead[rows], mask=head[rows])], names=["sig", "cls", "lead"])
 
     return docs.select("text").mapInArrow(run, "sig bigint, cls bigint, lead bigint")
 
@@ -300,7 +302,7 @@ def check(pairs: DataFrame, texts: DataFrame, n_words: int, num: int, den: int,
 
 
 def similar_components(docs: DataFrame, key: str = "doc_id", text: str = "text", n_words: int = 5, num: int = 4, den: int = 5) -> DataFrame:
-    """`id`, `n_shingles` and `component_id` per row: the smallest id that is reachable by links between similar sets.
+    """`id`, `n_shingles`, `component_id` and `mark` per row: the smallest id that is reachable by links between similar sets.
 
     Two rows are linked if the Jaccard similarity of their shingle sets is num / den or more. Rows
     without words (null and empty texts) have no shingles and are linked with nothing, each its own
@@ -353,7 +355,24 @@ def similar_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     known = classes.join(of_class, "cls", "left").select("cls", F.coalesce("component_id", "rep").alias("component_id"))
     out = named.join(known, "cls", "left")
     own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
-    return out.select("id", F.col("n").alias("n_shingles"), own.alias("component_id"))
+    return out.select("id", F.col("n").alias("n_shingles"), own.alias("component_id"), "mark")
+
+
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", n_words: int = 5, num: int = 4, den: int = 5) -> DataFrame:
+    """The rows of `docs` that stay if one of each component does: that with the smallest key, of repeated rows one.
+
+    Texts without words are near to nothing and stay, as do different texts with the same key unless they
+    are near each other. A null key stays only where no other key is in its component.
+    """
+    told = similar_components(docs, key, text, n_words, num, den)
+    chosen = told.filter(F.col("id").eqNullSafe(F.col("component_id"))).groupBy("component_id", "n_shingles", "id").agg(F.collect_set("mark").alias("marks"))
+    # Of different texts with one key in one component the one with the smallest mark stays; those without words all do.
+    chosen = chosen.select("id", F.explode(F.when(F.col("n_shingles") > 0, F.slice(F.array_sort("marks"), 1, 1)).otherwise(F.col("marks"))).alias("mark"))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select(F.coalesce(F.col(key).cast("string"), F.lit("")).alias("k"), F.xxhash64(text).alias("m"), row.alias("row"))
+    chosen = chosen.select(F.coalesce(F.col("id").cast("string"), F.lit("")).alias("k"), F.col("mark").alias("m")).distinct()
+    one = rows.join(chosen, ["k", "m"]).groupBy("k", "m").agg(F.first("row").alias("row"))
+    return one.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def _apart(members: DataFrame, found: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ def op2_ngram_jaccard(spark: SparkSession, path: str) -> DataFrame:
     from . import partenum
 
     out = partenum.similar_components(_table(spark, path, "documents"), n_words=4, num=85, den=100)
-    return out.withColumnRenamed("id", "doc_id")
+    return out.drop("mark").withColumnRenamed("id", "doc_id")
 
 
 def op3_warc_zip(spark: SparkSession, path: str) -> DataFrame:
