@@ -1,5 +1,7 @@
 """Word lists, patterns and constants whose exact values decide the results."""
 
+import re
+
 # ---------------------------------------------------------------------------
 # Function words dropped from symbol questions.
 SYMBOL_STOPWORDS = (
@@ -183,3 +185,15 @@ MAKE_TARGETS = ["check", "lint", "test"]
 LEXICAL_WEIGHTS = {"name": 8.0, "signature": 2.5, "doc": 3.0, "context": 1.2, "file": 1.0}
 BM25_K1, BM25_B, BM25_MIN_IDF = 1.2, 0.75, 1e-6
 RRF_K = 60
+
+# How a model's reply is read. List marks before an entry, characters that quote it, numbers, and
+# the answer that means nothing.
+LIST_MARK = re.compile(r"^[-*\d.\s]+")
+QUOTES = str.maketrans("", "", "`'\".")
+NUMBER = re.compile(r"\d+")
+REPLY_NONE = re.compile(r"\s*NONE\b", re.IGNORECASE)
+# A proposed fact, at most so many per reply, of so many characters at least.
+PROPOSAL_NONE = r"(?i)^\s*NONE\b"
+PROPOSAL_MARK = r"^[-*\d.\s]+"
+PROPOSAL_KIND = r"(?i)^(fact|decision|constraint|preference)\s*:\s*(.+)$"
+PROPOSALS, PROPOSAL_LEAST = 4, 16

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,12 +35,25 @@ def first_of_each(df: DataFrame, keys: list[str], order: str) -> DataFrame:
 
 
 def _matrix(column) -> np.ndarray:
-    """A list column of equally long vectors as a matrix of doubles."""
+    """A list column of vectors as a matrix of doubles; shorter vectors and null components are filled with zeros."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     if len(column) == 0:
         return np.zeros((0, 0))
-    return np.asarray(column.flatten(), dtype=np.float64).reshape(len(column), -1)
+    flat = np.nan_to_num(column.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False), posinf=np.inf, neginf=-np.inf)
+    sizes = np.asarray(pc.coalesce(pc.list_value_length(column), 0))
+    width = int(sizes.max())
+    if (sizes == width).all():
+        return flat.reshape(len(column), width)
+    out = np.zeros((len(column), width))
+    out[np.arange(width)[None, :] < sizes[:, None]] = flat
+    return out
+
+
+def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """All dot products, each over the shorter length."""
+    width = min(a.shape[1], b.shape[1])
+    return a[:, :width] @ b[:, :width].T
 
 
 def heads_seen(known: DataFrame, heads: np.ndarray, threshold: float) -> DataFrame:
@@ -51,7 +65,7 @@ def heads_seen(known: DataFrame, heads: np.ndarray, threshold: float) -> DataFra
         for batch in batches:
             vectors = _matrix(batch.column(0))
             for i in range(0, len(vectors), 1024):
-                found |= (vectors[i : i + 1024] @ shared.value.T >= threshold).any(axis=0)
+                found |= (_products(vectors[i : i + 1024], shared.value) >= threshold).any(axis=0)
         yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(found), pa.int64())], ["head"])
 
     return known.select("embedding").mapInArrow(scan, "head bigint").distinct()
@@ -69,7 +83,7 @@ def _without(rows: DataFrame, heads: np.ndarray, threshold: float) -> DataFrame:
                 continue
             near = np.zeros(len(vectors), dtype=bool)
             for i in range(0, len(vectors), 1024):
-                near[i : i + 1024] = (vectors[i : i + 1024] @ shared.value.T >= threshold).any(axis=1)
+                near[i : i + 1024] = (_products(vectors[i : i + 1024], shared.value) >= threshold).any(axis=1)
             yield batch.filter(pa.array(~near))
 
     return rows.mapInArrow(scan, rows.schema)
@@ -125,48 +139,58 @@ def keep_first_wins(
 def nearest_known(
     new: DataFrame, known: DataFrame, threshold: float = 0.86, top: int = 3, batch: int = BATCH
 ) -> DataFrame:
-    """For a bounded set of new rows: up to `top` known rows at or above the threshold, best first.
+    """For every new row: up to `top` known rows at or above the threshold, best first.
 
-    One scan of the known table. Each partition reports its own best `top` per new
-    row, so the ranking shuffle is small. Raises when `new` is larger than one batch.
+    The new rows are asked in blocks of about `batch`, one scan of the known table each. A partition keeps
+    the best `top` per new row and reports nothing else, so the ranking shuffle is small.
     """
-    rows = new.select("id", "embedding").limit(batch + 1).toArrow()
-    if rows.num_rows > batch:
-        raise ValueError(f"more than {batch} new rows: split them into batches")
+    asked = new.filter("embedding is not null").select("id", "embedding")
+    blocks = -(-asked.count() // batch) or 1
+    block = F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(blocks))
+    out = None
+    for k in range(blocks):
+        part = _nearest(asked.filter(block == k).toArrow(), new, known, threshold, top)
+        if blocks > 1:
+            part = stored(part)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _best(rows: pa.Table, top: int) -> pa.Table:
+    """The first `top` rows of each question, by score and then id."""
+    rows = rows.sort_by([("q", "ascending"), ("score", "descending"), ("id", "ascending")])
+    q = rows["q"].to_numpy()
+    first = np.searchsorted(q, q)
+    return rows.take(pa.array(np.flatnonzero(np.arange(len(q)) - first < top)))
+
+
+def _nearest(questions: pa.Table, new: DataFrame, known: DataFrame, threshold: float, top: int) -> DataFrame:
+    """`nearest_known` for one block of questions."""
+    from .ordering import top_per
+
     new_type = new.schema["id"].dataType.simpleString()
     known_type = known.schema["id"].dataType.simpleString()
-    schema = f"new_id {new_type}, id {known_type}, score double"
-    ids = rows.column("id").to_pylist()
-    shared = known.sparkSession.sparkContext.broadcast(_matrix(rows.column("embedding")))
+    ids = questions["id"].to_pylist()
+    shared = known.sparkSession.sparkContext.broadcast(_matrix(questions["embedding"]))  # one block
 
     def scan(batches):
-        best_ids = best_scores = None
+        best = None
         for part in batches:
-            if part.num_rows == 0 or not ids:
-                continue
-            part_ids = np.array(part.column(0).to_pylist(), dtype=object)
-            by_id = np.argsort(part_ids, kind="stable")
-            part_ids = part_ids[by_id]
-            scores = (_matrix(part.column(1)) @ shared.value.T)[by_id]
-            scores[(scores < threshold) | (part_ids[:, None] == np.array(ids, dtype=object)[None, :])] = -np.inf
-            grid = np.repeat(part_ids[:, None], len(ids), axis=1)
-            if best_ids is not None:
-                grid, scores = np.vstack([best_ids, grid]), np.vstack([best_scores, scores])
-            # Score first, then id: two stable sorts, the deciding one last.
-            first = np.argsort(grid, axis=0, kind="stable")
-            grid, scores = np.take_along_axis(grid, first, 0), np.take_along_axis(scores, first, 0)
-            pick = np.argsort(-scores, axis=0, kind="stable")[:top]
-            best_ids, best_scores = np.take_along_axis(grid, pick, 0), np.take_along_axis(scores, pick, 0)
-        flat = []
-        if best_ids is not None:
-            for k, j in np.argwhere(np.isfinite(best_scores)):
-                flat.append((ids[j], best_ids[k, j], float(best_scores[k, j])))
-        yield pa.RecordBatch.from_pylist([dict(zip(("new_id", "id", "score"), r)) for r in flat], arrow_schema)
-
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    from .ordering import top_per
+            for at in range(0, part.num_rows if ids else 0, 2048):
+                some = part.slice(at, 2048)
+                scores = _products(_matrix(some.column(1)), shared.value)
+                # One more than wanted, as a row is no answer to itself; and all that tie with the last.
+                last = max(0, len(scores) - top - 1)
+                floor = np.maximum(np.partition(scores, last, axis=0)[last], threshold)
+                row, q = np.nonzero(scores >= floor[None, :])
+                found = pa.table({"q": q, "id": some.column(0).take(pa.array(row)), "score": scores[row, q]})
+                same = [ids[i] == x for i, x in zip(q, found["id"].to_pylist())]
+                found = found.filter(pa.array(np.logical_not(same), pa.bool_()))
+                best = _best(found if best is None else pa.concat_tables([best, found]), top)
+        if best is not None and best.num_rows:
+            asked = pa.array([ids[i] for i in best["q"].to_pylist()], questions.schema.field("id").type)
+            yield from pa.table({"new_id": asked, "id": best["id"], "score": best["score"]}).combine_chunks().to_batches()
 
     found = known.filter("embedding is not null").select("id", "embedding")
-    arrow_schema = to_arrow_schema(known.sparkSession.createDataFrame([], schema).schema)
-    return top_per(found.mapInArrow(scan, schema), ["new_id"], [F.col("score").desc(), F.col("id")], top)
+    hits = found.mapInArrow(scan, f"new_id {new_type}, id {known_type}, score double")
+    return top_per(hits, ["new_id"], [F.col("score").desc(), F.col("id")], top)

@@ -78,12 +78,12 @@ def changed_code(repos: DataFrame, unseen: DataFrame, file_limit: int = 5) -> Da
 def sentences(changed: DataFrame) -> DataFrame:
     """(service, line): the same, in words."""
     far = F.format_string(
-        "- %s: the code graph is %s commit(s) behind — too far to work around file by file. Rebuild it before trusting it.",
+        "- %s: index older than the tree by %s commits; needs a rebuild",
         F.col("service"), F.coalesce(F.col("commits").cast("string"), F.lit("?")),
     )
-    more = F.when(F.col("total") > F.size("files"), F.concat(F.lit(", and "), (F.col("total") - F.size("files")).cast("string"), F.lit(" more"))).otherwise("")
+    more = F.when(F.col("total") > F.size("files"), F.concat(F.lit(" + "), (F.col("total") - F.size("files")).cast("string"))).otherwise("")
     near = F.concat(
-        F.lit("- "), "service", F.lit(": the code graph has not seen "), F.col("total").cast("string"),
-        F.lit(" changed file(s) — "), F.array_join("files", ", "), more, F.lit(". Read those directly."),
+        F.lit("- "), "service", F.lit(": changed since the index was built ("), F.col("total").cast("string"),
+        F.lit("): "), F.array_join("files", ", "), more,
     )
     return changed.select("service", F.when(F.col("total") == 0, far).otherwise(near).alias("line"))

@@ -10,6 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import fixed
 from ..functions import text as tx
 from ..functions import vectors as vx
 from .firstwins import first_of_each, keep_first_wins
@@ -144,26 +145,22 @@ def new_proposals(proposals: DataFrame, pending: DataFrame, facts: DataFrame, th
 
 # Proposals ------------------------------------------------------------------
 def parse_proposals(replies: DataFrame, reply: str = "reply") -> DataFrame:
-    """Candidate facts named by a model's reply, at most four per reply."""
-    kinds = "(?i)^(fact|decision|constraint|preference)[ \\t]*:[ \\t]*(.+)$"
-    lines = F.transform(
-        F.split(F.col(reply), r"\r?\n"), lambda s: F.regexp_replace(F.trim(s), r"^[-*\d.\s]+", "")
-    )
-
-    def shape(line: Column) -> Column:
-        kind = F.lower(F.regexp_extract(line, kinds, 1))
-        return F.struct(
-            F.when(kind != "", kind).otherwise("fact").alias("kind"),
-            F.when(kind != "", F.trim(F.regexp_extract(line, kinds, 2))).otherwise(line).alias("content"),
-        )
+    """Candidate facts named by a model's reply, at most four per reply, by position.
 
-    items = F.transform(F.filter(lines, lambda s: F.length(s) > 15), shape)
-    items = F.slice(F.filter(items, lambda p: F.length(p["content"]) > 15), 1, 4)
-    return (
-        replies.filter(~F.col(reply).rlike(r"(?i)^\s*NONE\b"))
-        .select("*", F.posexplode(items).alias("position", "_p"))
-        .select(*[c for c in replies.columns if c != reply], "position", "_p.kind", "_p.content")
+    A line is one candidate: its list mark goes, a leading kind becomes a column, and what is left must be
+    long enough to say something. A reply that begins with NONE names nothing.
+    """
+    rest = [c for c in replies.columns if c != reply]
+    split = replies.filter(~F.col(reply).rlike(fixed.PROPOSAL_NONE)).withColumn("_lines", F.split(reply, r"\r?\n"))
+    kind = F.nullif(F.lower(F.regexp_extract("_bare", fixed.PROPOSAL_KIND, 1)), F.lit(""))
+    said = F.when(kind.isNull(), F.col("_bare")).otherwise(F.trim(F.regexp_extract("_bare", fixed.PROPOSAL_KIND, 2)))
+    named = (
+        split.select(*rest, F.col("_lines"))
+        .withColumn("_kept", F.transform("_lines", lambda line: F.regexp_replace(F.trim(line), fixed.PROPOSAL_MARK, "")))
+        .withColumn("_kept", F.filter("_kept", lambda b: (F.length(b) >= fixed.PROPOSAL_LEAST) & (F.length(F.trim(F.regexp_replace(b, fixed.PROPOSAL_KIND, "$2"))) >= fixed.PROPOSAL_LEAST)))
+        .select(*rest, F.posexplode(F.slice("_kept", 1, fixed.PROPOSALS)).alias("position", "_bare"))
     )
+    return named.select(*rest, "position", F.coalesce(kind, F.lit("fact")).alias("kind"), said.alias("content"))
 
 
 def pending_queue(pending: DataFrame, limit: int = 20) -> DataFrame:

@@ -8,23 +8,28 @@ from pyspark.sql import functions as F
 from ..functions import fixed
 
 
+# What the wording of a task calls for, first match first: the tier, the patterns that must all be met, the most words
+# the task may have, and the reason given.
+SIZING_RULES = (
+    ("hardest", (fixed.SIZING_LONG_RUN, fixed.SIZING_DESIGNING), None, "runs for long on its own and has to weigh options"),
+    ("deep", (fixed.SIZING_DESIGNING,), None, "has to weigh options"),
+    ("light", (fixed.SIZING_EXPLAINING,), 20, "asks about code, changes none"),
+    ("light", (fixed.SIZING_MECHANICAL,), 20, "short and mechanical"),
+)
+
+
 def task_tier(task: Column | str) -> Column:
     """struct(tier, why): the tier a task's own words ask for; unsure means the default."""
-    t = F.lower(F.coalesce(F.col(task) if isinstance(task, str) else task, F.lit("")))
-    words = F.size(F.filter(F.split(t, r"\s+"), lambda w: w != ""))
-    mechanical, explaining = t.rlike(fixed.SIZING_MECHANICAL), t.rlike(fixed.SIZING_EXPLAINING)
-    designing, long_run = t.rlike(fixed.SIZING_DESIGNING), t.rlike(fixed.SIZING_LONG_RUN)
-
-    def verdict(tier: str, why: Column | str) -> Column:
-        return F.struct(F.lit(tier).alias("tier"), (F.lit(why) if isinstance(why, str) else why).alias("why"))
-
-    light = F.when(explaining, "a question about the code, not a change to it").otherwise("a mechanical edit")
-    return (
-        F.when(long_run & designing, verdict("hardest", "a long autonomous run that also needs judgement"))
-        .when(designing, verdict("deep", "it asks for judgement rather than execution"))
-        .when((mechanical | explaining) & (words <= 20), verdict("light", light))
-        .otherwise(verdict(fixed.DEFAULT_TIER, "nothing in it says it is simpler than the default"))
-    )
+    text = F.lower(F.coalesce(F.col(task) if isinstance(task, str) else task, F.lit("")))
+    length = F.size(F.filter(F.split(text, r"\s+"), lambda w: w != ""))
+    named = lambda tier, why: F.struct(F.lit(tier).alias("tier"), F.lit(why).alias("why"))
+    out = named(fixed.DEFAULT_TIER, "no sign that less would do")
+    for tier, patterns, most, why in reversed(SIZING_RULES):
+        met = F.lit(True) if most is None else length <= most
+        for pattern in patterns:
+            met = met & text.rlike(pattern)
+        out = F.when(met, named(tier, why)).otherwise(out)
+    return out
 
 
 def read_only(tier: Column) -> Column:
@@ -48,12 +53,12 @@ def sized(tasks: DataFrame, task: str = "task", reply: str | None = None, permis
         said = F.regexp_replace(F.trim(F.regexp_replace(line, r"^[^|]*\|?", "")), "^[\"']|[\"']$", "")
         valid = named.isin(fixed.TIERS)
         tier = F.when(valid, named).otherwise(tier)
-        why = F.when(valid, F.coalesce(F.nullif(said, F.lit("")), F.lit("chosen by the local model"))).otherwise(why)
+        why = F.when(valid, F.coalesce(F.nullif(said, F.lit("")), F.lit("picked by the classifier"))).otherwise(why)
         by = F.when(valid, "the local model").otherwise("rules")
     if permission is not None:
         reading = F.coalesce(F.col(permission) == "read", F.lit(False))
         tier = F.when(reading, read_only(F.col("_rule.tier"))).otherwise(tier)
-        why = F.when(reading, "read-only: it can answer, not change anything").otherwise(why)
+        why = F.when(reading, "the session may only read").otherwise(why)
         by = F.when(reading, "rules").otherwise(by)
     return out.withColumn("tier", tier).withColumn("why", why).withColumn("by", by).drop("_rule")
 

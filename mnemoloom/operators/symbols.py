@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import fixed
 from ..functions import vectors as vx
 from . import fusion, graph, lexical
 
@@ -117,34 +119,28 @@ def select(
 
 
 def parse_expansion(reply: str, most: int = 12) -> list[str]:
-    """Words named by a model's reply: bullets stripped, single words of 3 to 39 letters, each once."""
-    import re
-
-    out: list[str] = []
-    for piece in re.split(r"[,\n]", reply):
-        word = re.sub(r"[`'\".]", "", re.sub(r"^[-*\d.\s]+", "", piece.strip()))
-        if 2 < len(word) < 40 and " " not in word and word not in out:
-            out.append(word)
-    return out[:most]
+    """The distinct single words of 3 to 39 characters that a reply lists, one per line or comma, marks and quotes aside."""
+    listed = (fixed.LIST_MARK.sub("", entry.strip()) for entry in reply.replace("\n", ",").split(","))
+    words = dict.fromkeys(entry.translate(fixed.QUOTES) for entry in listed)
+    return [w for w in words if 3 <= len(w) <= 39 and " " not in w][:most]
 
 
 def rerank(ordered: DataFrame, reply_for: Callable[[str, list], str], question: str, keep: int = 4, trust: int = 2):
     """Let a model promote up to `keep` of the tail; the first `trust` places are fixed.
 
-    `ordered` is a short list (a search result). An answer that names nothing valid
-    leaves it as it was.
+    `ordered` is a short list (a search result). Each row gets a sort key: 0 in a fixed place, 1 if it was
+    picked, 2 otherwise; then the order of picking; then its old place. An answer that names nothing valid leaves
+    the list as it was.
     """
-    import re
-
-    rows = ordered.collect()
-    if len(rows) <= trust + 1:
+    placed = ordered.withColumn("_place", F.row_number().over(W.orderBy(F.monotonically_increasing_id())) - 1)
+    shown = placed.filter(F.col("_place") >= trust).orderBy("_place").drop("_place").collect()
+    if len(shown) < 2:
         return ordered
-    tail = rows[trust:]
-    reply = reply_for(question, tail)
-    picks = [int(n) - 1 for n in re.findall(r"\d+", reply)] if not re.match(r"\s*NONE\b", reply, re.I) else []
-    picks = [p for p in picks if 0 <= p < len(tail)][:keep]
+    reply = reply_for(question, shown)
+    numbers = [] if fixed.REPLY_NONE.match(reply) else [int(n) for n in fixed.NUMBER.findall(reply)]
+    picks = [n for n in numbers if 1 <= n <= len(shown)][:keep]
     if not picks:
         return ordered
-    first = list(dict.fromkeys(picks))
-    order = rows[:trust] + [tail[i] for i in first] + [r for i, r in enumerate(tail) if i not in first]
-    return ordered.sparkSession.createDataFrame(order, ordered.schema)
+    turn = F.array_position(F.array(*[F.lit(n) for n in picks]), (F.col("_place") - trust + 1).cast("int"))
+    rank = F.when(F.col("_place") < trust, 0).when(turn > 0, 1).otherwise(2)
+    return placed.orderBy(rank, F.when(rank == 1, turn).otherwise(0), "_place").drop("_place")

@@ -61,9 +61,9 @@ def verdicts(facts: DataFrame, paths: DataFrame, home: str = "/root") -> DataFra
     more = F.when(lost > 2, F.concat(F.lit(" (+"), (lost - 2).cast("string"), F.lit(" more)"))).otherwise("")
     state = F.when(F.col("_n").isNull(), "unknown").when(lost == 0, "ok").otherwise("stale")
     note = (
-        F.when(F.col("_n").isNull(), "no checkable anchors")
-        .when(lost == 0, F.concat(F.col("_n").cast("string"), F.lit(" path(s) exist")))
-        .otherwise(F.concat(F.lit("missing: "), shown, more))
+        F.when(F.col("_n").isNull(), "names no path")
+        .when(lost == 0, F.concat(F.col("_n").cast("string"), F.lit(" paths found")))
+        .otherwise(F.concat(F.lit("not found: "), shown, more))
     )
     return facts.select("id").join(per_fact, "id", "left").select("id", state.alias("verify_state"), note.alias("verify_note"))
 

@@ -105,8 +105,8 @@ def test_verification(spark):
     ).withColumn("verify_state", F.lit(None).cast("string")).withColumn("verify_note", F.lit(None).cast("string"))
     paths = spark.createDataFrame([("/etc/app/conf.d",), ("/root/x/y",)], "path string")
     got = {r.id: (r.verify_state, r.verify_note) for r in verify.reverify(facts, paths).collect()}
-    assert got[1] == ("ok", "1 path(s) exist") and got[2] == ("unknown", "no checkable anchors") and got[5] == (None, None)
-    assert got[3] == ("stale", "missing: /etc/gone/a, /etc/gone/b (+1 more)") and got[4][0] == "stale"
+    assert got[1] == ("ok", "1 paths found") and got[2] == ("unknown", "names no path") and got[5] == (None, None)
+    assert got[3] == ("stale", "not found: /etc/gone/a, /etc/gone/b (+1 more)") and got[4][0] == "stale"
     assert [(r.id, r.total) for r in verify.drifted(facts, paths).collect()] == [(3, 2), (4, 2)]
 
 
@@ -327,7 +327,7 @@ def test_project_views(spark):
     assert [(r.id, r.stream) for r in projects.sessions_of(sessions, "/w", streams).collect()] == [(2, None), (3, "fix"), (1, None)]
     unseen = spark.createDataFrame([("s", "c", f"f{i:02d}.js") for i in range(30)], "service string, commit string, file string")
     line = projects.drift_header(unseen).first()
-    assert line.total == 30 and line.line.endswith("s/f23.js, and 6 more") and projects.drift_header(unseen.limit(0)).count() == 0
+    assert line.total == 30 and line.line.endswith("s/f23.js + 6") and projects.drift_header(unseen.limit(0)).count() == 0
     facts = spark.createDataFrame([(i, f"fact {i}", 50, None, None) for i in range(9)], "id int, content string, priority int, verify_state string, superseded_by int")
     stories = spark.createDataFrame([("1-1", "t", "ready"), ("1-2", "u", "done")], "id string, title string, state string")
     work = spark.createDataFrame([(1, "a", "open", 5)], "id int, title string, state string, updated_at int")

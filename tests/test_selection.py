@@ -164,3 +164,18 @@ def test_orderings_over_a_hot_key(spark):
     assert got == dict(zip(sparse, sparse[1:] + [None]))
     ranked = dense_index(lines, [F.col("x").desc()], "r").collect()
     assert {r.x: r.r for r in ranked} == {x: i + 1 for i, x in enumerate(reversed(sparse))}
+
+
+def test_nearest_known_has_no_cap(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    known = [(i, [float(x) for x in rng.standard_normal(4 if i % 9 else 3)]) for i in range(60)]
+    new = [(1000 + i, [float(x) for x in rng.standard_normal(4)]) for i in range(100)]
+    got = nearest_known(spark.createDataFrame(new, VEC), spark.createDataFrame(known, VEC).repartition(3), -9.0, 3, batch=40).collect()
+    dot = lambda a, b: sum(x * y for x, y in zip(a, b))
+    want = {i: [k for _, k in sorted((-dot(v, w), k) for k, w in known)[:3]] for i, v in new}
+    found = {}
+    for r in sorted(got, key=lambda r: r["rank"]):
+        found.setdefault(r.new_id, []).append(r.id)
+    assert found == want
