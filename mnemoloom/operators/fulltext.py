@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions import text as tx
-from ..session import cut, send, stored
+from ..session import cut, stored
 from .ordering import top_per
 
 
@@ -34,7 +34,7 @@ def question_terms(questions: DataFrame) -> DataFrame:
     )
 
 
-def matched_postings(docs: DataFrame, asked: DataFrame, rows: int, key: str, fields: list[str]) -> DataFrame:
+def matched_postings(docs: DataFrame, asked: DataFrame, key: str, fields: list[str]) -> DataFrame:
     """(key, doc_len, term, tf) of the asked terms only, plus one row per document under the empty term.
 
     The empty term carries the lengths of all documents, so word statistics come out
@@ -45,7 +45,7 @@ def matched_postings(docs: DataFrame, asked: DataFrame, rows: int, key: str, fie
     return (
         docs.select(key, _tokens_of(fields).alias("_tokens"))
         .select(key, F.size("_tokens").alias("doc_len"), F.explode(terms).alias("term"))
-        .join(send(wanted, rows), "term", "left_semi")
+        .join(wanted, "term", "left_semi")
         .groupBy(key, "doc_len", "term")
         .agg(F.count(F.lit(1)).alias("tf"))
     )
@@ -57,17 +57,11 @@ def bm25(docs: DataFrame, questions: DataFrame, key: str, fields: list[str]) ->
     The texts are read once. The postings that matter are written out, and document
     frequencies, mean length and scores are all taken from them.
     """
-    return _scores(docs, *_asked(questions), key, fields)
+    return _scores(docs, cut(question_terms(questions)), key, fields)
 
 
-def _asked(questions: DataFrame) -> tuple[DataFrame, int]:
-    """The words of all questions, and how many there are."""
-    asked = cut(question_terms(questions))
-    return asked, asked.count()
-
-
-def _scores(docs: DataFrame, asked: DataFrame, rows: int, key: str, fields: list[str]) -> DataFrame:
-    found = stored(matched_postings(docs, asked, rows, key, fields))
+def _scores(docs: DataFrame, asked: DataFrame, key: str, fields: list[str]) -> DataFrame:
+    found = stored(matched_postings(docs, asked, key, fields))
     totals = found.filter("term = ''").agg(
         F.struct(F.count(F.lit(1)).alias("docs"), F.avg("doc_len").alias("mean_len")).alias("t")
     ).scalar()
@@ -82,7 +76,7 @@ def _scores(docs: DataFrame, asked: DataFrame, rows: int, key: str, fields: list
     k1, b = fixed.BM25_K1, fixed.BM25_B
     saturated = (F.col("tf") * (k1 + 1)) / (F.col("tf") + k1 * (1 - b + b * F.col("doc_len") / F.col("_t.mean_len")))
     return (
-        hits.join(send(weights, rows), "term")
+        hits.join(weights, "term")
         .groupBy("qid", key)
         # Rounded so that copies of a text tie whatever order their terms were added in.
         .agg(F.round(F.sum(F.col("_weight") * saturated), 9).alias("score"))
@@ -106,16 +100,16 @@ def keyword_recall(
     Word statistics cover the whole layer; replaced facts are hidden afterwards.
     """
     best = [F.col("score").desc(), F.col("_key")]
-    asked, rows = _asked(questions)
-    scores = _scores(facts, asked, rows, "id", ["content", "context"])
+    asked = cut(question_terms(questions))
+    scores = _scores(facts, asked, "id", ["content", "context"])
     if not include_superseded:
         scores = scores.join(facts.filter("superseded_by is not null").select("id"), "id", "left_anti")
     legs = [(1, "L1:", scores.withColumnRenamed("id", "_key"))]
     if scenarios is not None:
-        found = _scores(scenarios, asked, rows, "path", ["path", "summary", "content"])
+        found = _scores(scenarios, asked, "path", ["path", "summary", "content"])
         legs.append((2, "L2:", found.withColumnRenamed("path", "_key")))
     if turns is not None:
-        legs.append((3, "L0:", _scores(turns, asked, rows, "id", ["content"]).withColumnRenamed("id", "_key")))
+        legs.append((3, "L0:", _scores(turns, asked, "id", ["content"]).withColumnRenamed("id", "_key")))
     out = None
     for ordinal, prefix, leg in legs:
         ranked = top_per(leg, ["qid"], best, limit * 2).select(

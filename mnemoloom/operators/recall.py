@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut, send
+from ..session import stored
 from . import memory
 from .firstwins import nearest_known
 from .fulltext import keyword_recall
@@ -78,8 +78,8 @@ def recall(
 
     Only a candidate found by meaning carries its vector into the redundancy test.
     """
-    # A few dozen keys per question; sent to the store, so that no text is shuffled to be measured.
-    ordered = cut(candidates(questions, facts, scenarios, turns, limit, include_superseded))
+    # A few dozen keys per question, stored so that the planner knows their size.
+    ordered = stored(candidates(questions, facts, scenarios, turns, limit, include_superseded))
     shown = lines(facts, scenarios, turns).select("key", F.length("line").alias("chars"), "vec")
-    sized = shown.join(send(ordered, ordered.count()), "key").withColumn("vec", F.when(F.col("leg") == 0, F.col("vec")))
+    sized = shown.join(ordered, "key").withColumn("vec", F.when(F.col("leg") == 0, F.col("vec")))
     return budgeted(sized, limit, budget, redundant)

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..session import cut, send
+from ..session import cut
 
 def _steps(edges: DataFrame, direction: str, carry: list[str]) -> DataFrame:
     """Edges as (at, to, back, *carry): `forward` along calls, `backward` to callers, `both`."""
@@ -50,7 +50,7 @@ def _bfs(
     for hop in range(1, depth + 1):
         here = frontier.select(F.col("node_id").alias("at"), *[F.col(c).alias(f"_{c}") for c in state])
         reached = (
-            steps.join(send(here, rows), "at")
+            steps.join(here, "at")
             .groupBy(F.col("to").alias("node_id"))
             .agg(*[fold().alias(c) for c, fold in reduce.items()], F.count(F.lit(1)).alias("_visits"))
             .join(visited.select("node_id"), "node_id", "left_anti")
@@ -177,11 +177,11 @@ def merge_order(names: DataFrame, before: DataFrame) -> DataFrame:
     """
     pending = cut(before.select("name", "needs").distinct())
     state = cut(names.select("name").distinct().withColumn("layer", F.lit(None).cast("int")))
-    count, layer = state.count(), 0
+    layer = 0
     while True:
         waiting = state.filter("layer is null").select(F.col("name").alias("needs"))
-        blocked = pending.join(send(waiting, count), "needs", "left_semi").select("name").distinct()
-        blocked = send(blocked.withColumn("_blocked", F.lit(True)), count)
+        blocked = pending.join(waiting, "needs", "left_semi").select("name").distinct()
+        blocked = blocked.withColumn("_blocked", F.lit(True))
         # One materialised table per round: names with the layers decided so far.
         decided = F.when(F.col("layer").isNull() & F.col("_blocked").isNull(), F.lit(layer)).otherwise(F.col("layer"))
         state = cut(state.join(blocked, "name", "left").select("name", decided.alias("layer")))

@@ -85,15 +85,6 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
-# Tables up to this many rows are sent to every executor; larger ones are shuffled.
-BROADCAST_ROWS = 200_000
-
-
-def send(df: DataFrame, rows: int) -> DataFrame:
-    """Mark a table of a counted size for broadcast, if that size is small."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
-
-
 # Inputs beyond this size are spread well enough by their own splits, however many cores there are.
 SMALL_BYTES = 4 << 30
 BYTES_PER_CORE = 16 << 20
