@@ -102,9 +102,14 @@ class Bands:
     num: int
     den: int
 
+    def __post_init__(self):
+        if self.num * 2 <= self.den or self.num > self.den:
+            raise ValueError("the similarity must be above 1/2 and at most 1")
+
     def differ(self, total: int) -> int:
-        """Most members in which two parts of so many together may differ."""
-        return max(d for d in range(total + 1) if d % 2 == total % 2 and (total - d) * self.den >= (total + d) * self.num) if total % 2 == 0 or (total - 1) * self.den >= (total + 1) * self.num else -1
+        """Most members in which two parts of so many together may differ; -1 if they cannot be similar."""
+        fitting = (d for d in range(total % 2, total + 1, 2) if (total - d) * self.den >= (total + d) * self.num)
+        return max(fitting, default=-1)
 
     def partners(self, a: int) -> range:
         return range(-(-a * self.num // self.den), a * self.den // self.num + 1)
