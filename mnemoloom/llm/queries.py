@@ -85,6 +85,40 @@ def op10_token_counts(spark: SparkSession, path: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op2_ngram_jaccard, op3_warc_zip, op4_byte_bpe, op5_toxicity_chain, op6_suffix_decontamination, op7_secret_scan, op8_language_id, op9_url_globs, op10_token_counts)}
 SQL: dict[str, str] = {
+    "op1_embedding_near_dedup": """
+        WITH RECURSIVE v AS (
+            SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, label FROM embeddings
+            WHERE label IS NOT NULL AND list_bool_and(list_transform(CAST(embedding AS DOUBLE[]), lambda x: x IS NOT NULL AND isfinite(x)))
+                AND list_bool_or(list_transform(embedding, lambda x: x <> 0))
+        ), links AS (
+            SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id
+            WHERE list_cosine_similarity(a.e, b.e) >= 0.98
+        ), reach AS (
+            SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b
+        ), least AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a),
+        counted AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a)
+        SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM least LEFT JOIN counted USING (vec_id)
+    """,
+    "op6_suffix_decontamination": r"""
+        WITH d AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+            FROM documents
+        ), i AS (
+            SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+            FROM benchmark WHERE text IS NOT NULL
+        ), starts AS (
+            SELECT item_id, w, least(10, len(w)) AS n, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS k FROM i WHERE len(w) > 0
+        ), windows AS (SELECT DISTINCT item_id, n, array_to_string(list_slice(w, k, k + n - 1), ' ') AS g FROM starts),
+        words AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d),
+        ahead AS (SELECT doc_id, p, list(word) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING) AS l FROM words),
+        runs AS (SELECT doc_id, p, n, array_to_string(list_slice(l, 1, n), ' ') AS g FROM ahead, (SELECT DISTINCT n FROM windows) WHERE len(l) >= n),
+        hits AS (SELECT doc_id, p, runs.n, item_id FROM runs JOIN windows ON runs.n = windows.n AND runs.g = windows.g),
+        covered AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + n)) AS q FROM hits) GROUP BY doc_id),
+        named AS (SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS names FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS s FROM hits) GROUP BY doc_id)
+        SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256,
+            coalesce(n_hit, 0) > 0 AS contaminated
+        FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)
+    """,
     "op3_warc_zip": """
         WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
         f AS (SELECT payload_digest, max(page_id) AS first_id FROM p WHERE payload_bytes >= 1000 GROUP BY payload_digest)
