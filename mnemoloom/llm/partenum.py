@@ -243,7 +243,9 @@ def _may_be_similar(x: str, y: str, num: int, den: int):
 
 
 def signed(docs: DataFrame, n_words: int, bands: Bands) -> DataFrame:
-    """(`sig`, `cls`, `lead`): every signature once per batch, and for others of the batch that share it, the one that stands for them."""
+    """(`home`, `cls`, `lead`, `sig`): every signature once per batch, under itself; and for others of the batch that share it a row
+    under a name of its own, with the set that stands for them and the signature. What is null takes no room in the shuffle.
+    """
 
     def run(batches):
         for batch in batches:
@@ -264,9 +266,13 @@ def signed(docs: DataFrame, n_words: int, bands: Bands) -> DataFrame:
             lead = cls[np.maximum.accumulate(np.where(head, np.arange(len(sig)), 0))] if len(sig) else cls
             rows = np.flatnonzero(head | (lead != cls))
             rows = rows[np.argsort(cls[rows], kind="stable")]  # equal values in a row take less room in the shuffle
-            yield pa.RecordBatch.from_arrays([pa.array(sig[rows]), pa.array(cls[rows]), pa.array(lead[rows], mask=head[rows])], names=["sig", "cls", "lead"])
+            sig, cls, lead, head = sig[rows], cls[rows], lead[rows], head[rows]
+            own = _mix(sig.astype(U) ^ _mix(cls.astype(U))).astype(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.where(head, sig, own)), pa.array(cls), pa.array(lead, mask=head), pa.array(sig, mask=head)], names=["home", "cls", "lead", "sig"]
+            )
 
-    return docs.select("text").mapInArrow(run, "sig bigint, cls bigint, lead bigint")
+    return docs.select("text").mapInArrow(run, "home bigint, cls bigint, lead bigint, sig bigint")
 
 
 def check(pairs: DataFrame, texts: DataFrame, n_words: int, num: int, den: int, crowd: int = 256) -> DataFrame:
@@ -320,9 +326,8 @@ def similar_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     classes = stored(named.filter("n > 0").groupBy("cls").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("odd").alias("odd")))
 
     rows = signed(docs, n_words, bands)
-    home = F.when(F.col("lead").isNull(), F.col("sig")).otherwise(F.xxhash64("sig", "cls"))
-    rows = rows.withColumn("home", home).withColumn("least", F.min("cls").over(W.partitionBy("home"))).filter("lead is not null or least <> cls")
-    shared = stored(rows.select("sig", "cls", F.coalesce("lead", "least").alias("other")))
+    rows = rows.withColumn("least", F.min("cls").over(W.partitionBy("home"))).filter("lead is not null or least <> cls")
+    shared = stored(rows.select(F.coalesce("sig", "home").alias("sig"), "cls", F.coalesce("lead", "least").alias("other")))
     involved = shared.select("cls").union(shared.select("other")).distinct()
     reps = classes.join(involved, "cls").groupBy("rep").agg(F.min("cls").alias("cls")).withColumnRenamed("rep", "id")
     texts = stored(docs.join(reps, "id").dropDuplicates(["cls"]).select("cls", "text"))
@@ -352,7 +357,9 @@ def similar_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
         near = _may_be_similar("x.set", "y.set", num, den)
         pairs = x.alias("x").join(y.alias("y"), (F.col("x.sig") == F.col("y.sig")) & (F.col("x.component") != F.col("y.component")) & order & near)
         pairs = stored(pairs.select(F.col("x.set.cls").alias("a"), F.col("y.set.cls").alias("b")).distinct())
-        new = check(pairs, texts, n_words, num, den)
+        new = stored(check(pairs, texts, n_words, num, den))
+        if new.isEmpty():
+            continue  # nothing has moved
         found = stored(components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(new)))
 
     small = found.withColumnRenamed("node", "cls").join(classes, "cls").groupBy("component").agg(F.min("rep").alias("component_id"))
