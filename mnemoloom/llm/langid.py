@@ -18,9 +18,9 @@ from pyspark.sql import functions as F
 from .common import derive, utf8
 
 # Labelled documents that a model is fitted on, all languages together.
-SAMPLE = 2000
+SAMPLE = 1000
 # Buckets of the hashed trigrams.
-BUCKETS = 4096
+BUCKETS = 2048
 UNDETERMINED = "und"
 
 # Families of languages by their codes; a fixed table. A code that is not listed is a family of its own.
@@ -131,8 +131,8 @@ class Model:
     def __init__(self, x: np.ndarray, languages: np.ndarray):
         # Buckets are scaled to equal spread; the scale is folded into the weights afterwards.
         scale = 1 / (x.std(axis=0) + 1e-4)
-        scale /= np.linalg.norm(x * scale, axis=1).mean()
-        x = (x * scale).astype(np.float32)
+        scale = (scale / np.linalg.norm(x * scale, axis=1).mean()).astype(np.float32)
+        x = x * scale
         family = np.array([FAMILY_OF.get(c, c) for c in languages], object)
         self.families = Votes(sorted(set(family)), x, family)
         self.within = [Votes(sorted(set(languages[family == f])), x[family == f], languages[family == f]) for f in self.families.classes]
