@@ -320,17 +320,26 @@ def similar_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     component; a null key is returned as it is and counts as smaller than none. Repeated rows are
     copies of each other. Texts are read whole. Members and sets are compared by 64-bit hashes.
     """
+    return _placed_rows(docs, key, text, n_words, num, den).drop("component")
+
+
+def _placed_rows(docs: DataFrame, key: str, text: str, n_words: int, num: int, den: int) -> DataFrame:
+    """The columns of `similar_components`, and `component`: a name that rows share if and only if they are linked, whatever their ids; null without words."""
     bands = Bands(num, den)
     docs = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
     named = stored(set_names(docs, n_words))
-    classes = stored(named.filter("n > 0").groupBy("cls").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("odd").alias("odd")))
+    # `at` is the row whose text stands for the set: ids repeat and may be null, with its mark one names a text.
+    classes = named.filter("n > 0").groupBy("cls").agg(F.min("id").alias("rep"), F.min(F.struct("id", "mark")).alias("at"), F.first("n").alias("n"), F.first("odd").alias("odd"))
+    classes = stored(classes)
 
     rows = signed(docs, n_words, bands)
     rows = rows.withColumn("least", F.min("cls").over(W.partitionBy("home"))).filter("lead is not null or least <> cls")
     shared = stored(rows.select(F.coalesce("sig", "home").alias("sig"), "cls", F.coalesce("lead", "least").alias("other")))
     involved = shared.select("cls").union(shared.select("other")).distinct()
-    reps = classes.join(involved, "cls").groupBy("rep").agg(F.min("cls").alias("cls")).withColumnRenamed("rep", "id")
-    texts = stored(docs.join(reps, "id").dropDuplicates(["cls"]).select("cls", "text"))
+    reps = classes.join(involved, "cls").select("cls", "at.id", "at.mark")
+    here = docs.select("id", "text", F.xxhash64("text").alias("mark"))
+    texts = here.join(reps, here["id"].eqNullSafe(reps["id"]) & (here["mark"] == reps["mark"])).select("cls", "text")
+    texts = stored(texts.dropDuplicates(["cls"]))
     about = classes.select("cls", F.struct("cls", "n", "odd").alias("set"))
     members = shared.select("sig", "cls").union(shared.select("sig", F.col("other").alias("cls"))).distinct()
     members = stored(members)
@@ -363,11 +372,11 @@ def similar_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
         found = stored(components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(new)))
 
     small = found.withColumnRenamed("node", "cls").join(classes, "cls").groupBy("component").agg(F.min("rep").alias("component_id"))
-    of_class = found.withColumnRenamed("node", "cls").join(small, "component").select("cls", "component_id")
-    known = classes.join(of_class, "cls", "left").select("cls", F.coalesce("component_id", "rep").alias("component_id"))
+    of_class = found.withColumnRenamed("node", "cls").join(small, "component").select("cls", "component_id", "component")
+    known = classes.join(of_class, "cls", "left").select("cls", F.coalesce("component_id", "rep").alias("component_id"), F.coalesce("component", "cls").alias("component"))
     out = named.join(known, "cls", "left")
     own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
-    return out.select("id", F.col("n").alias("n_shingles"), own.alias("component_id"), "mark")
+    return out.select("id", F.col("n").alias("n_shingles"), own.alias("component_id"), "mark", "component")
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", n_words: int = 5, num: int = 4, den: int = 5) -> DataFrame:
@@ -376,14 +385,14 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", n_words:
     Texts without words are near to nothing and stay, as do different texts with the same key unless they
     are near each other. A null key stays only where no other key is in its component.
     """
-    told = similar_components(docs, key, text, n_words, num, den)
-    chosen = told.filter(F.col("id").eqNullSafe(F.col("component_id"))).groupBy("component_id", "n_shingles", "id").agg(F.collect_set("mark").alias("marks"))
+    told = _placed_rows(docs, key, text, n_words, num, den)
     # Of different texts with one key in one component the one with the smallest mark stays; those without words all do.
-    chosen = chosen.select("id", F.explode(F.when(F.col("n_shingles") > 0, F.slice(F.array_sort("marks"), 1, 1)).otherwise(F.col("marks"))).alias("mark"))
+    best = told.filter("n_shingles > 0").groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "mark")).alias("at"))
+    chosen = best.select("at.id", "at.mark").union(told.filter("n_shingles = 0").select("id", "mark").distinct())
+    chosen = chosen.select(F.col("id").alias("k"), F.col("mark").alias("m"))
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    rows = docs.select(F.coalesce(F.col(key).cast("string"), F.lit("")).alias("k"), F.xxhash64(text).alias("m"), row.alias("row"))
-    chosen = chosen.select(F.coalesce(F.col("id").cast("string"), F.lit("")).alias("k"), F.col("mark").alias("m")).distinct()
-    one = rows.join(chosen, ["k", "m"]).groupBy("k", "m").agg(F.first("row").alias("row"))
+    rows = docs.select(F.col(key).alias("id"), F.xxhash64(text).alias("mark"), row.alias("row"))
+    one = rows.join(chosen, rows["id"].eqNullSafe(chosen["k"]) & (rows["mark"] == chosen["m"])).groupBy("id", "mark").agg(F.first("row").alias("row"))
     return one.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 

@@ -117,3 +117,19 @@ def test_long_chains_and_stars(spark):
     star = [(1, k) for k in range(2, 40)]
     got = {x.node: x.component for x in components(spark.createDataFrame(chain + star + [(500, 500)], "a long, b long")).collect()}
     assert got == {**{k: 100 for k in range(100, 161)}, **{k: 1 for k in range(1, 40)}}
+
+
+def test_null_and_repeated_ids_lose_nothing(spark):
+    r = random.Random(3)
+    text = lambda: " ".join(f"w{r.randrange(500)}" for _ in range(60))
+    t = [text() for _ in range(5)]
+    # Two near texts under one id, near copies without ids, an id whose texts lie in two components, and clean texts without ids.
+    rows = [(9, t[0]), (9, t[0] + " more"), (None, t[1]), (None, t[1] + " more"), (4, t[2]), (4, t[3]), (6, t[2] + " more"), (5, t[3] + " more"), (None, t[4]), (None, text()), (None, None), (None, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    told = {(x.id, x.mark): x.component for x in P._placed_rows(df, "doc_id", "text", 5, 4, 5).collect()}
+    mark = {x.text: x.m for x in df.selectExpr("text", "xxhash64(text) as m").collect()}
+    of = [told[i, mark[x]] for i, x in rows]
+    assert of[0] == of[1] and of[2] == of[3] and of[4] == of[6] and of[5] == of[7] and of[10] is of[11] is None and len(set(of)) == 7
+    got = [(x.doc_id, x.text) for x in P.keep_one(df).collect()]
+    assert len(got) == 8 and {x for x in got if x[1]} >= {(4, t[2]), (4, t[3]), rows[8], rows[9]} and set(got) >= {(None, None), (None, "")}
+    assert len({x for x in got if x[0] == 9}) == 1 and len(set(got) & set(rows[2:4])) == 1
