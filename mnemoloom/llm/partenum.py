@@ -10,7 +10,8 @@ bands take part in both. Sets sharing no signature are not similar, so nothing i
 
 Sets sharing a signature are linked to the smallest of them as candidates, checked exactly on the
 whole texts, and joined into components; what still shares a signature across components is then
-checked pair by pair. Copies of a set count as one throughout.
+checked pair by pair. Copies of a set count as one throughout. Similar sets are in one component, so
+links are counted by comparing the sets of every component with each other, block by block.
 """
 
 from __future__ import annotations
@@ -43,6 +44,9 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 # Rounds in which the components that share a signature meet one of its sets, before they meet each other.
 STAR_ROUNDS = 2
+# Sets and shingles of one block of a component, when its links are counted.
+BLOCK_SETS = 1024
+BLOCK_SHINGLES = 1 << 20
 
 _BYTE = _mix(np.arange(1, 257, dtype=U) * U(0x9E3779B97F4A7C15))
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -312,24 +316,110 @@ def check(pairs: DataFrame, texts: DataFrame, n_words: int, num: int, den: int,
     return rows.mapInArrow(run, "a bigint, b bigint")
 
 
-def similar_components(docs: DataFrame, key: str = "doc_id", text: str = "text", n_words: int = 5, num: int = 4, den: int = 5) -> DataFrame:
+def _similar(sets: np.ndarray, offsets: np.ndarray, x: np.ndarray, y: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Which of the sets `x` (rows) are similar to which of the sets `y` (columns): exactly, all pairs."""
+    n = np.diff(offsets)
+    nx, ny = n[x][:, None], n[y][None, :]
+    near = (np.minimum(nx, ny) * den >= np.maximum(nx, ny) * num) & (np.minimum(nx, ny) > 0)
+    bits = _parities(sets, offsets).view(U)
+    differ = np.zeros(near.shape, np.int64)
+    for k in range(bits.shape[1]):
+        differ += np.bitwise_count(bits[x, k][:, None] ^ bits[y, k][None, :])
+    near &= differ * (num + den) <= (nx + ny) * (den - num)
+    rows, columns = np.flatnonzero(near.any(axis=1)), np.flatnonzero(near.any(axis=0))
+    if not len(rows):
+        return near
+    # Members of the sets that are left, numbered; what only one set has is in no intersection.
+    used = np.zeros(len(n), bool)
+    used[x[rows]] = used[y[columns]] = True
+    pick = np.repeat(used, n)
+    _, number, times = np.unique(sets[pick], return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(n)), n)[pick]
+    shared = times > 1
+    owner, number = owner[shared[number]], (np.cumsum(shared) - 1)[number[shared[number]]]
+    order = np.argsort(number, kind="stable")
+    owner, number = owner[order], number[order]
+    at = np.full(len(n), -1)
+    at[used] = np.arange(used.sum())
+    common = np.zeros((len(rows), len(columns)), np.float64)
+    step = 4096
+    for begin in range(0, int(shared.sum()), step):
+        a, b = np.searchsorted(number, (begin, begin + step))
+        part = np.zeros((int(used.sum()), step), np.float32)  # sums of at most 4,096 ones are exact
+        part[at[owner[a:b]], number[a:b] - begin] = 1
+        common += part[at[x[rows]]] @ part[at[y[columns]]].T
+    total = nx[rows] + ny[:, columns]
+    near[np.ix_(rows, columns)] &= common * den >= (total - common) * num
+    return near
+
+
+def link_counts(found: DataFrame, classes: DataFrame, texts: DataFrame, n_words: int, num: int, den: int) -> DataFrame:
+    """`cls` and `others`: how many rows with another, similar set there are, for the sets (`node`) of the components.
+
+    A component is dealt into blocks; every two of them, and each with itself, are compared in one task,
+    which returns a count per set. So no pair is written, and a large component is spread over tasks.
+    """
+    of = found.withColumnRenamed("node", "cls").join(classes.select("cls", "n", "copies"), "cls")
+    blocks = F.greatest(F.ceil(F.count("*") / F.lit(BLOCK_SETS)), F.ceil(F.sum("n") / F.lit(BLOCK_SHINGLES))).cast("int")
+    rows = of.join(of.groupBy("component").agg(blocks.alias("blocks")), "component")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+    rows = rows.select("component", "cls", "copies", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    rows = rows.select("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "cls", "copies")
+    rows = rows.join(texts, "cls").select("component", "i", "j", "block", "cls", "copies", "text")
+    rows = rows.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j")
+
+    def count(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        rows = pa.Table.from_batches(parts).combine_chunks()
+        i, j, block, cls, copies = (np.asarray(rows[c].combine_chunks()) for c in ("i", "j", "block", "cls", "copies"))
+        sets, offsets = shingle_sets(rows["text"], n_words)
+        x, y = np.flatnonzero(block == i[0]), np.flatnonzero(block == j[0])
+        near = _similar(sets, offsets, x, y, num, den)
+        if i[0] == j[0]:
+            np.fill_diagonal(near, False)
+            node, n = cls[x], near @ copies[y]
+        else:
+            node, n = np.concatenate((cls[x], cls[y])), np.concatenate((near @ copies[y], copies[x] @ near))
+        return pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(n, pa.int64())], names=["cls", "n"])
+
+    def run(batches):
+        waiting, key = [], None
+        for batch in batches:
+            keys = np.stack([np.asarray(batch.column(k)) for k in range(3)], axis=1)
+            first = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
+            for a, b in zip((0, *first), (*first, len(keys))):
+                if a == b:
+                    continue
+                if waiting and tuple(keys[a]) != key:
+                    yield count(waiting)
+                    waiting = []
+                key = tuple(keys[a])
+                waiting.append(batch.slice(a, b - a))
+        if waiting:
+            yield count(waiting)
+
+    return rows.mapInArrow(run, "cls bigint, n bigint").groupBy("cls").agg(F.sum("n").alias("others"))
+
+
+def similar_components(docs: DataFrame, key: str = "doc_id", text: str = "text", n_words: int = 5, num: int = 4, den: int = 5, links: bool = False) -> DataFrame:
     """`id`, `n_shingles`, `component_id` and `mark` per row: the smallest id that is reachable by links between similar sets.
 
+    With `links` also `n_links`: the number of other rows that the row is linked to, copies among them.
+
     Two rows are linked if the Jaccard similarity of their shingle sets is num / den or more. Rows
     without words (null and empty texts) have no shingles and are linked with nothing, each its own
     component; a null key is returned as it is and counts as smaller than none. Repeated rows are
     copies of each other. Texts are read whole. Members and sets are compared by 64-bit hashes.
     """
-    return _placed_rows(docs, key, text, n_words, num, den).drop("component")
+    return _placed_rows(docs, key, text, n_words, num, den, links).drop("component")
 
 
-def _placed_rows(docs: DataFrame, key: str, text: str, n_words: int, num: int, den: int) -> DataFrame:
+def _placed_rows(docs: DataFrame, key: str, text: str, n_words: int, num: int, den: int, links: bool = False) -> DataFrame:
     """The columns of `similar_components`, and `component`: a name that rows share if and only if they are linked, whatever their ids; null without words."""
     bands = Bands(num, den)
     docs = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
     named = stored(set_names(docs, n_words))
     # `at` is the row whose text stands for the set: ids repeat and may be null, with its mark one names a text.
-    classes = named.filter("n > 0").groupBy("cls").agg(F.min("id").alias("rep"), F.min(F.struct("id", "mark")).alias("at"), F.first("n").alias("n"), F.first("odd").alias("odd"))
+    classes = named.filter("n > 0").groupBy("cls").agg(F.min("id").alias("rep"), F.min(F.struct("id", "mark")).alias("at"), F.first("n").alias("n"), F.first("odd").alias("odd"), F.count("*").alias("copies"))
     classes = stored(classes)
 
     rows = signed(docs, n_words, bands)
@@ -348,8 +438,8 @@ def _placed_rows(docs: DataFrame, key: str, text: str, n_words: int, num: int, d
     counted = shared.groupBy(F.col("cls").alias("b"), F.col("other").alias("a")).agg(F.count("*").alias("k"))
     best = counted.groupBy("b").agg(F.max_by("a", F.struct("k", -F.col("a"))).alias("a"))
     best = best.join(about.select(F.col("cls").alias("a"), F.col("set").alias("x")), "a").join(about.select(F.col("cls").alias("b"), F.col("set").alias("y")), "b")
-    links = check(best.filter(_may_be_similar("x", "y", num, den)).select("a", "b"), texts, n_words, num, den)
-    found = stored(components(links))
+    first = check(best.filter(_may_be_similar("x", "y", num, den)).select("a", "b"), texts, n_words, num, den)
+    found = stored(components(first))
 
     # Then, under every signature that several components share, one set of each with one that stands for all;
     # after some such rounds whatever is left, pair by pair.
@@ -373,10 +463,13 @@ def _placed_rows(docs: DataFrame, key: str, text: str, n_words: int, num: int, d
 
     small = found.withColumnRenamed("node", "cls").join(classes, "cls").groupBy("component").agg(F.min("rep").alias("component_id"))
     of_class = found.withColumnRenamed("node", "cls").join(small, "component").select("cls", "component_id", "component")
-    known = classes.join(of_class, "cls", "left").select("cls", F.coalesce("component_id", "rep").alias("component_id"), F.coalesce("component", "cls").alias("component"))
+    known = classes.join(of_class, "cls", "left").select("cls", F.coalesce("component_id", "rep").alias("component_id"), F.coalesce("component", "cls").alias("component"), "copies")
+    if links:
+        known = known.join(link_counts(found, classes, texts, n_words, num, den), "cls", "left")
+        known = known.withColumn("n_links", F.col("copies") - 1 + F.coalesce("others", F.lit(0)))
     out = named.join(known, "cls", "left")
     own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
-    return out.select("id", F.col("n").alias("n_shingles"), own.alias("component_id"), "mark", "component")
+    return out.select("id", F.col("n").alias("n_shingles"), own.alias("component_id"), "mark", "component", *[F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links")] * links)
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", n_words: int = 5, num: int = 4, den: int = 5) -> DataFrame:

@@ -21,7 +21,7 @@ def op1_embedding_near_dedup(spark: SparkSession, path: str) -> DataFrame:
 def op2_ngram_jaccard(spark: SparkSession, path: str) -> DataFrame:
     from . import partenum
 
-    out = partenum.similar_components(_table(spark, path, "documents"), n_words=4, num=85, den=100)
+    out = partenum.similar_components(_table(spark, path, "documents"), n_words=4, num=85, den=100, links=True)
     return out.drop("mark").withColumnRenamed("id", "doc_id")
 
 

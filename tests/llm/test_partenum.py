@@ -133,3 +133,18 @@ def test_null_and_repeated_ids_lose_nothing(spark):
     got = [(x.doc_id, x.text) for x in P.keep_one(df).collect()]
     assert len(got) == 8 and {x for x in got if x[1]} >= {(4, t[2]), (4, t[3]), rows[8], rows[9]} and set(got) >= {(None, None), (None, "")}
     assert len({x for x in got if x[0] == 9}) == 1 and len(set(got) & set(rows[2:4])) == 1
+
+
+def test_links_are_those_of_all_pairs(spark, monkeypatch):
+    rows = corpus(4)
+    r = random.Random(4)
+    base = [f"v{k}" for k in range(80)]
+    rows += [(1000 + k, " ".join(f"u{k}" if j == r.randrange(80) else w for j, w in enumerate(base))) for k in range(40)]
+    rows += [(2000, " ".join(base)), (2001, " ".join(base)), (None, " ".join(base))]
+    sets = [shingles(t, 4) for _, t in rows]
+    want = [sum(1 for b in sets[:k] + sets[k + 1 :] if a and b and len(a & b) * 100 >= len(a | b) * 85) for k, a in enumerate(sets)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for size in (P.BLOCK_SETS, 7):  # in one block, and in several
+        monkeypatch.setattr(P, "BLOCK_SETS", size)
+        got = [(x.id or -1, x.n_links) for x in P.similar_components(df, n_words=4, num=85, den=100, links=True).collect()]
+        assert sorted(got) == sorted((i or -1, n) for (i, _), n in zip(rows, want)) and max(want) > 20
