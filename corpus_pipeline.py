@@ -15,8 +15,6 @@ from mnemoloom.llm.common import prepare
 from mnemoloom.session import stored
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
-# A language that is less probable than this is no decision.
-LEAST_SCORE = 0.1
 
 
 def _packed(docs: DataFrame) -> DataFrame:
@@ -29,14 +27,14 @@ def _unpacked(rows: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that the model knows; those without letters, null texts among them, go."""
+    """Documents in a language that the model knows; gibberish and those without letters, null texts among them, go."""
     prepare(spark)
     model = langid.fit(docs)
-    told = langid.predict(_packed(docs), model, keep=["row"])
+    told = langid.predict(_packed(docs), model, keep=["row"], known=True)
     if model is None:
         # Nothing is labelled, so there is no language to be in; what has letters stays.
         return docs.filter(F.col("text").rlike(r"\p{L}"))
-    return _unpacked(told.filter((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= LEAST_SCORE)), docs)
+    return _unpacked(told.filter("known"), docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

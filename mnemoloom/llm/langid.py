@@ -125,10 +125,44 @@ class Votes:
         return best, chance[np.arange(len(means)), best] / (len(self.classes) - 1)
 
 
-class Model:
-    """The family decision and one decision per family."""
+# Held-out documents of a language from which its middle is taken; with fewer there is none.
+LEAST_HELD_OUT = 20
+# A document of so many bytes varies as much by its shortness as by its content.
+SHORT_BYTES = 200
+
+
+def expected(x: np.ndarray, languages: np.ndarray) -> np.ndarray:
+    """By bucket the logarithm of its frequency in the language that has it most; what no document has is rare, not impossible.
+
+    Three bytes without a letter say nothing about a language, so they count as a bucket drawn at random.
+    """
+    means = [x[languages == c].mean(axis=0, dtype=np.float64) for c in sorted(set(languages))]
+    out = np.log(np.max(means, axis=0) + 1e-6)
+    out[trigrams(pa.array(["   "]))[0][0]] = -np.log(BUCKETS)
+    return out
 
-    def __init__(self, x: np.ndarray, languages: np.ndarray):
+
+def shortfall(means: np.ndarray, middle, size: np.ndarray) -> np.ndarray:
+    """How far the mean of `expected` over a text's trigrams is below that of its language, allowing more to short texts."""
+    return (middle - means) / np.sqrt(1 + SHORT_BYTES / np.maximum(size, 1))
+
+
+class Model:
+    """The family decision and one decision per family, and what texts of the languages look like."""
+
+    def __init__(self, x: np.ndarray, languages: np.ndarray, sizes: np.ndarray):
+        # Each half of the sample is scored by the other. The level is twice as far from the middle as all but a hundredth of these.
+        half, means = np.arange(len(x)) % 2 == 0, np.zeros(len(x))
+        for learned in (half, ~half) if len(x) > 1 else ():
+            means[~learned] = x[~learned] @ expected(x[learned], languages[learned])
+        self.expected, self.middle, short = expected(x, languages), {}, [np.zeros(0)]
+        for c in sorted(set(languages)):
+            own = languages == c
+            if own.sum() >= LEAST_HELD_OUT:
+                self.middle[c] = float(np.median(means[own]))
+                short.append(shortfall(means[own], self.middle[c], sizes[own]))
+        short = np.concatenate(short)
+        self.level = 2 * max(float(np.quantile(short, 0.99)), 0.1) if len(short) else np.inf
         # Buckets are scaled to equal spread; the scale is folded into the weights afterwards.
         scale = 1 / (x.std(axis=0) + 1e-4)
         scale = (scale / np.linalg.norm(x * scale, axis=1).mean()).astype(np.float32)
@@ -161,17 +195,21 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
     def make():
         return lambda column: [pa.array([row.tobytes() for row in frequencies(column)], pa.binary())]
 
-    rows = derive(named.filter(chosen), [F.col(text)], [F.col(lang).alias("lang")], "x binary", make).toArrow()
+    rows = derive(named.filter(chosen), [F.col(text)], [F.col(lang).alias("lang"), F.octet_length(text).alias("size")], "x binary", make).toArrow()
     if rows.num_rows == 0:
         return None
     x = np.frombuffer(b"".join(rows["x"].to_pylist()), np.float32).reshape(-1, BUCKETS)
     order = np.lexsort((x[:, ::97].sum(axis=1), np.array(rows["lang"].to_pylist())))
-    return Model(x[order], np.array(rows["lang"].to_pylist(), object)[order])
+    return Model(x[order], np.array(rows["lang"].to_pylist(), object)[order], np.array(rows["size"].to_pylist())[order])
 
 
-def predict(docs: DataFrame, model: Model | None, text: str = "text", keep: list[str | Column] | None = None) -> DataFrame:
+def predict(docs: DataFrame, model: Model | None, text: str = "text", keep: list[str | Column] | None = None, known: bool = False) -> DataFrame:
     """The kept columns (all, if none are named) with `lang_pred` and `score`.
 
+    With `known` also a column of that name: whether the text looks like those labelled with its language, by
+    a level from the labelled sample's own held-out scores. A language with too few of these has no middle and
+    all its texts are known; `und` is not.
+
     Texts that are null or hold no letter, and all texts without a model, are `und` with score 0.
     The score is the probability of the family times that of the language in it. Equal texts get
     equal answers. Input columns of the two names are replaced.
@@ -183,6 +221,8 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text", keep: list
         parts = model.parts() if model else []
         # All machines side by side; a score is the mean of a column over a text's trigrams.
         table = np.concatenate([p.weights for p in parts]).T.astype(np.float32) if parts else np.zeros((BUCKETS, 0), np.float32)
+        if known and model:
+            table = np.concatenate((table, model.expected[:, None].astype(np.float32)), axis=1)
         table = np.ascontiguousarray(table)
         begin = np.cumsum([0, *(len(p.pairs) for p in parts)])
         names = [p.classes for p in parts[1:]]
@@ -191,7 +231,7 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text", keep: list
             usable = np.asarray(has_letter.to_pylist(), bool)
             n = len(usable)
             if model is None:
-                return [pa.array([UNDETERMINED] * n), pa.array(np.zeros(n))]
+                return [pa.array([UNDETERMINED] * n), pa.array(np.zeros(n)), *[pa.array(np.zeros(n, bool))] * known]
             index, offsets = trigrams(column)
             means = np.zeros((n, table.shape[1]))
             for k in np.flatnonzero(usable):
@@ -205,11 +245,15 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text", keep: list
                 for r, c in zip(rows, best):
                     out[r] = names[f][c]
                 score[rows] = chance[rows] * inner
-            return [pa.array(out, pa.string()), pa.array(score)]
+            if not known:
+                return [pa.array(out, pa.string()), pa.array(score)]
+            middle = np.array([model.middle.get(c, -np.inf) for c in out])
+            near = usable & (shortfall(means[:, -1], middle, np.diff(offsets)) <= model.level)
+            return [pa.array(out, pa.string()), pa.array(score), pa.array(near)]
 
         return run
 
-    return derive(docs, [F.col(text), letters], [F.col(c) if isinstance(c, str) else c for c in keep], "lang_pred string, score double", make)
+    return derive(docs, [F.col(text), letters], [F.col(c) if isinstance(c, str) else c for c in keep], "lang_pred string, score double" + ", known boolean" * known, make)
 
 
 def fold(key: str = "doc_id") -> Column:

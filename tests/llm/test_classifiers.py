@@ -73,3 +73,21 @@ def test_later_models_see_earlier_ones():
     y = np.array([[k % 2, k % 2] for k in range(200)])
     chain = toxicity.Chain.fit(["a", "b"], texts, y)
     assert len(chain.models[1]) == len(chain.models[0]) + 1 and chain.models[1][-2] > 0.1
+
+
+def test_the_language_stage_rejects_what_is_no_labelled_language(spark, tables):
+    import random
+
+    import corpus_pipeline as C
+
+    docs, r = tables[0], random.Random(1)
+    odd = {
+        -1: "".join(r.choice("abcdefghijklmnopqrstuvwxyz   ") for _ in range(400)),
+        -2: "x " + "".join(r.choice("$%&/()=?#+*0123456789 ") for _ in range(400)),
+        -3: "Ala ma kota a kot ma mleko, w Szczebrzeszynie chrząszcz brzmi w trzcinie i Szczebrzeszyn z tego słynie. " * 3,
+        -4: "Мой дядя самых честных правил, когда не в шутку занемог, он уважать себя заставил. " * 3,
+    }
+    rows = [(k, t, None, "odd", len(t)) for k, t in odd.items()]
+    kept = {x.doc_id for x in C.language(spark, docs.union(spark.createDataFrame(rows, docs.schema)), SMALL).collect()}
+    # All labelled documents with letters stay; before, so did the odd ones.
+    assert not kept & odd.keys() and kept == {x.doc_id for x in docs.filter(r"text rlike '\\p{L}'").collect()}
