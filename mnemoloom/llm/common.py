@@ -8,6 +8,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -46,6 +47,17 @@ def derive(df: DataFrame, inputs: list[Column], keep: list[Column], out: str, ma
     return source.mapInArrow(run, schema)
 
 
+def slices(batch: pa.RecordBatch, column: int, size: int):
+    """A batch in pieces of whole rows with about so many bytes in a column of texts; a longer text is a piece of its own."""
+    ends = np.cumsum(np.asarray(pc.binary_length(batch.column(column)).fill_null(0), np.int64))
+    at = 0
+    while at < batch.num_rows:
+        before = int(ends[at - 1]) if at else 0
+        end = max(int(np.searchsorted(ends, before + size, side="right")), at + 1)
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def worker_store(name: str) -> dict:
     """A dict that lives as long as the Python worker, shared by the tasks it runs one after another.
 
