@@ -83,6 +83,12 @@ def op10_token_counts(spark: SparkSession, path: str) -> DataFrame:
         return tokens.report(_table(spark, path, "documents"), f.read(), name)
 
 
+def op12_merkle_manifest(spark: SparkSession, path: str) -> DataFrame:
+    from . import merkle
+
+    return merkle.report(_table(spark, path, "documents"))
+
+
 def op13_suffix_array_dedup(spark: SparkSession, path: str) -> DataFrame:
     from . import lyndon
 
@@ -93,7 +99,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_embedding_near_dedup, op2_ngram_jaccard, op3_warc_zip, op4_byte_bpe, op5_toxicity_chain, op6_suffix_decontamination, op7_secret_scan,
-        op8_language_id, op9_url_globs, op10_token_counts, op13_suffix_array_dedup,
+        op8_language_id, op9_url_globs, op10_token_counts, op12_merkle_manifest, op13_suffix_array_dedup,
     )
 }
 SQL: dict[str, str] = {
