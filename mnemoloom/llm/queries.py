@@ -5,6 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from . import oracles
 from .common import prepare
 
 
@@ -83,6 +84,12 @@ def op10_token_counts(spark: SparkSession, path: str) -> DataFrame:
         return tokens.report(_table(spark, path, "documents"), f.read(), name)
 
 
+def op11_conversation_repair(spark: SparkSession, path: str) -> DataFrame:
+    from . import repair
+
+    return repair.report(_table(spark, path, "conversations"))
+
+
 def op12_merkle_manifest(spark: SparkSession, path: str) -> DataFrame:
     from . import merkle
 
@@ -99,7 +106,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_embedding_near_dedup, op2_ngram_jaccard, op3_warc_zip, op4_byte_bpe, op5_toxicity_chain, op6_suffix_decontamination, op7_secret_scan,
-        op8_language_id, op9_url_globs, op10_token_counts, op12_merkle_manifest, op13_suffix_array_dedup,
+        op8_language_id, op9_url_globs, op10_token_counts, op11_conversation_repair, op12_merkle_manifest, op13_suffix_array_dedup,
     )
 }
 SQL: dict[str, str] = {
@@ -164,4 +171,7 @@ SQL: dict[str, str] = {
             WHEN path LIKE '%.exe' OR path LIKE '%.zip' THEN 'block' ELSE 'allow' END AS verdict
         FROM judged
     """,
+    "op11_conversation_repair": oracles.repair(),
+    "op12_merkle_manifest": oracles.merkle(),
+    "op13_suffix_array_dedup": oracles.REPEATS,
 }
