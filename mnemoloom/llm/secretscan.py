@@ -23,11 +23,13 @@ WINDOW = 20
 CANDIDATE = rf"[A-Za-z0-9+/_=-]{{{WINDOW},}}"
 # A candidate is of the first class that holds all of its characters, and a secret if a window of it has that many bits.
 CLASSES = (("hexadecimal", r"\A[0-9A-Fa-f]+\z", 3.0), ("alphanumeric", r"\A[0-9A-Za-z]+\z", 3.7), ("base64", r"\A.*\z", 3.8))
-# Candidates that are never secrets: words and paths of words, numbers, identifiers, digests of packages, placeholders.
-ALLOWED = (
-    r"\A[A-Za-z]*(?:[-_/=+]+[A-Za-z]*)*\z", r"\A[0-9_/=+-]+\z", r"\A[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}\z",
-    r"\Asha(?:256|384|512)-", r"(?i)example|placeholder|changeme|xxxxxx|000000|123456",
-)
+# Candidates that are never secrets: numbers, identifiers, digests of packages.
+ALLOWED = (r"\A[0-9_/=+-]+\z", r"\A[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}\z", r"\Asha(?:256|384|512)-")
+# Words and paths of words: no digit, and a capital after a small letter at most once in so many characters.
+WORDS, HUMP = r"\A[A-Za-z_/=+-]+\z", r"[a-z][A-Z]"
+WORD_LENGTH = 6
+# Placeholders: what is left of a candidate without them is judged, if it still fills a window.
+PLACEHOLDER = r"(?i)example|placeholder|changeme|x{6,}|0{6,}|123456"
 
 BLOCK = 64
 
@@ -46,15 +48,15 @@ def _places(gaps: str, found: str) -> str:
 def _window_entropy() -> str:
     """Largest entropy in bits of a window of the candidate `c` (an expression named c in a lambda)."""
     f = lambda n: f"(case when {n} > 1 then {n} * log2({n}) else 0D end)"
-    come, gone = "ascii(substring(c, i, 1))", f"(case when i > {WINDOW} then ascii(substring(c, i - {WINDOW}, 1)) else -1 end)"
+    come, gone = "ascii(chars[i - 1])", f"(case when i > {WINDOW} then ascii(chars[i - 1 - {WINDOW}]) else -1 end)"
     n_in = "s.counts[x]"
     n_out = "(s.counts[y] + case when x = y then 1 else 0 end)"
     total = f"s.total + {f(f'({n_in} + 1)')} - {f(n_in)} - case when y < 0 then 0D else {f(n_out)} - {f(f'({n_out} - 1)')} end"
     step = f"""(s, i) -> transform(array(named_struct('x', {come}, 'y', {gone})), p -> transform(array({total.replace('x]', 'p.x]').replace('y]', 'p.y]').replace('x = y', 'p.x = p.y').replace('y < 0', 'p.y < 0')}), t -> named_struct(
         'counts', transform(s.counts, (v, k) -> v + case when k = p.x then 1 else 0 end - case when k = p.y then 1 else 0 end),
         'total', t, 'least', case when i >= {WINDOW} then least(s.least, t) else s.least end))[0])[0]"""
-    return f"""aggregate(sequence(1, length(c)), named_struct('counts', array_repeat(0, 128), 'total', 0D, 'least', double('Infinity')),
-        {step}, s -> log2({WINDOW}D) - s.least / {WINDOW}D)"""
+    return f"""transform(array(split(c, '')), chars -> aggregate(sequence(1, size(chars)), named_struct('counts', array_repeat(0, 128), 'total', 0D, 'least', double('Infinity')),
+        {step}, s -> log2({WINDOW}D) - s.least / {WINDOW}D))[0]"""
 
 
 def _sql(pattern: str) -> str:
@@ -86,8 +88,10 @@ def scan(docs: DataFrame, text: str = "text", spans: str = "spans") -> DataFrame
             made = f"filter({made}, (m, i) -> length(assign_values[i]) >= {ASSIGN_LEAST})"
         if k == "entropy":
             allowed = " or ".join(f"c rlike {_sql(p)}" for p in ALLOWED)
+            allowed += f" or (c rlike {_sql(WORDS)} and regexp_count(c, {_sql(HUMP)}) * {WORD_LENGTH} <= length(c))"
             least = "case " + " ".join(f"when c rlike {_sql(p)} then {bits}D" for _, p, bits in CLASSES) + " end"
-            secret = f"transform(array(m.text), c -> not ({allowed}) and {_window_entropy()} >= {least})[0]"
+            judged = f"transform(array(regexp_replace(c, {_sql(PLACEHOLDER)}, '')), c -> length(c) >= {WINDOW} and {_window_entropy()} >= {least})[0]"
+            secret = f"transform(array(m.text), c -> not ({allowed}) and {judged})[0]"
             made = f"filter({made}, m -> {secret})"
         bare = f"transform({made}, m -> named_struct('start', m.start, 'kind', m.kind, 'end', m.end))"
         listed.append(F.when(F.size(f"{k}_found") > 0, F.expr(bare)).otherwise(F.expr("cast(array() as array<struct<start: bigint, kind: int, end: bigint>>)")))
