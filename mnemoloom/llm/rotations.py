@@ -175,25 +175,29 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, key: str = "vec
 
     Rows are linked if their labels are equal and not null, their vectors equally long, and the cosine is
     at least the threshold. Vectors that are null, empty, zero or hold null or non-finite components
-    link with nothing. Repeated rows are copies of each other and linked. Other columns are not read.
+    link with nothing. Repeated rows are copies of each other and linked. Ids may repeat, each row then has its own links; a null id
+    names a component only where no other id does. Other columns are not read.
     """
     values = F.col("v")
     usable = F.col("label").isNotNull() & values.isNotNull() & (F.size("v") > 0) & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf")))) & F.exists("v", lambda x: x != 0)
     rows = vectors.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v"), F.col(label).cast("string").alias("label"))
     rows = rows.withColumn("usable", F.coalesce(usable, F.lit(False)))
-    # Copies are one class, named by its smallest id; minus zero is zero.
+    # Copies are one class. Ids may be null or repeat, so classes have numbers of their own; minus zero is zero.
     plain = F.transform("v", lambda x: x + F.lit(0.0))
     content = F.sha2(F.concat_ws(",", F.col("label"), F.lit("|"), F.to_json(plain)), 256)
     rows = stored(rows.withColumn("content", F.when(F.col("usable"), content)))
     classes = rows.filter("usable").groupBy("content").agg(
-        F.min("id").alias("cls"), F.count("*").alias("weight"), F.first("label").alias("label"), F.first("v").alias("vector"), F.first(F.size("v")).alias("dim")
+        F.min("id").alias("least"), F.count("*").alias("weight"), F.first("label").alias("label"), F.first("v").alias("vector"), F.first(F.size("v")).alias("dim")
     )
-    classes = stored(classes)
+    classes = stored(classes.withColumn("cls", F.monotonically_increasing_id()))
     links, edges = near_links(classes, threshold)
     comp = components(edges)
     of_class = classes.join(links, "cls", "left").join(comp.withColumnRenamed("node", "cls"), "cls", "left").select(
-        "content", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "cls").alias("component_id")
+        "content", "least", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "cls").alias("component")
     )
+    of_class = stored(of_class)
+    named = of_class.groupBy("component").agg(F.min("least").alias("component_id"))
+    of_class = of_class.join(named, "component").select("content", "n_links", "component_id")
     out = rows.select("id", "content").join(of_class, "content", "left")
-    component = F.coalesce("component_id", "id")
-    return out.select("id", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
+    component = F.when(F.col("n_links").isNull(), F.col("id")).otherwise(F.col("component_id"))
+    return out.select("id", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), component.alias("component_id"), component.eqNullSafe(F.col("id")).alias("kept"))

@@ -76,3 +76,11 @@ def test_tables_find_pairs_at_the_threshold():
         for t in range(R.tables_for(bits, 0.98)):
             hit |= R.cell_keys(a, t, bits) == R.cell_keys(b, t, bits)
         assert hit.mean() > 0.999
+
+
+def test_ids_may_be_null_or_repeat(spark):
+    a, b = [1.0, 0.0], [0.0, 1.0]
+    rows = [(1, a, 1), (1, b, 1), (2, [1.0, 0.01], 1), (3, [0.01, 1.0], 1), (None, a, 2), (None, [1.0, 0.01], 2), (None, b, 1), (None, None, 1)]
+    got = [tuple(x) for x in R.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()]
+    want = [(1, 1, 1, True), (2, 1, 1, False), (1, 2, 1, True), (3, 2, 1, False), (None, 2, 1, False)] + [(None, 1, None, True)] * 2 + [(None, 0, None, True)]
+    assert sorted(got, key=str) == sorted(want, key=str)
