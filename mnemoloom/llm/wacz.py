@@ -34,6 +34,8 @@ from ..session import shared_folder, stored
 REVISIT_BYTES = 1000
 # Bytes of neighbouring records that one range read takes.
 RUN_BYTES = 1 << 20
+# Bytes of archives that one reading task takes.
+TASK_BYTES = 16 << 20
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 _DATE = "2020-01-01T00:00:00Z"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -260,8 +262,10 @@ def read_archives(archives: DataFrame, payloads: bool = True) -> DataFrame:
                     k += n
                 yield pa.RecordBatch.from_pylist(found, schema=kinds)
 
-    listed = archives.select("path").mapInArrow(runs, "path string, at bigint, lengths array<bigint>")
-    spread = listed.repartition(F.col("path"), F.col("at"))
+    listed = stored(archives.select("path").mapInArrow(runs, "path string, at bigint, lengths array<bigint>"))
+    # Ranges are small and what they stand for is not, so the number of tasks follows the archives' bytes.
+    size = listed.agg(F.sum(F.aggregate("lengths", F.lit(0).cast("bigint"), lambda s, n: s + n))).first()[0] or 0
+    spread = listed.repartition(-(-size // TASK_BYTES) or 1, F.col("path"), F.col("at"))
     out = "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint"
     return spread.mapInArrow(records, out + (", payload binary" if payloads else ""))
 
