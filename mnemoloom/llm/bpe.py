@@ -255,7 +255,7 @@ def encode_texts(docs: DataFrame, ranks: dict[bytes, int], pattern: str, key: st
 
         return run
 
-    return derive(docs, [F.col(text)], [F.col(c) for c in keep], "ids binary, decoded binary", make)
+    return derive(docs, [keep.index(text) if text in keep else F.col(text)], [F.col(c) for c in keep], "ids binary, decoded binary", make)
 
 
 def digests(docs: DataFrame, ranks: dict[bytes, int], pattern: str, key: str) -> DataFrame:

@@ -17,6 +17,8 @@ from ..session import tune
 
 # Rows of one Arrow batch, so that a worker holds a bounded number of texts.
 BATCH_ROWS = "500"
+# Bytes of text that a function over a batch sees at a time: what it makes of them may be fifty times as large.
+SLICE_BYTES = 2 << 20
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -26,23 +28,30 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def derive(df: DataFrame, inputs: list[Column], keep: list[Column], out: str, make: Callable[[], Callable]) -> DataFrame:
+def derive(df: DataFrame, inputs: list[Column | int], keep: list[Column], out: str, make: Callable[[], Callable]) -> DataFrame:
     """The columns of `keep`, then those that a function computes from `inputs`, batch by batch and without a shuffle.
 
     `make` runs once per task and gives the function: Arrow arrays in, a list of Arrow arrays of
-    equal length out. Columns travel by position, so their names may clash with anything.
+    equal length out. An input that is kept as well is given by its place in `keep` and travels once. The function sees
+    slices of a bounded number of bytes of the first text among its inputs. Columns travel by position, so their
+    names may clash with anything.
     """
     kept = df.select(*keep)
     added = T.StructType.fromDDL(out)
     schema = T.StructType([*kept.schema.fields, *added.fields])
     n = len(keep)
-    source = df.select(*[c.alias(f"c{i}") for i, c in enumerate([*keep, *inputs])])
+    new = [c for c in inputs if not isinstance(c, int)]
+    later = iter(range(n, n + len(new)))
+    places = [c if isinstance(c, int) else next(later) for c in inputs]
+    source = df.select(*[c.alias(f"c{i}") for i, c in enumerate([*keep, *new])])
+    texts = [k for k in places if isinstance(source.schema[k].dataType, (T.StringType, T.BinaryType))]
 
     def run(batches):
         fn = make()
-        for b in batches:
-            columns = list(b.columns)
-            yield pa.RecordBatch.from_arrays([*columns[:n], *fn(*columns[n:])], names=[f.name for f in schema.fields])
+        for batch in batches:
+            for b in slices(batch, texts[0], SLICE_BYTES) if texts else [batch]:
+                columns = list(b.columns)
+                yield pa.RecordBatch.from_arrays([*columns[:n], *fn(*[columns[k] for k in places])], names=[f.name for f in schema.fields])
 
     return source.mapInArrow(run, schema)
 

@@ -253,7 +253,7 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text", keep: list
 
         return run
 
-    return derive(docs, [F.col(text), letters], [F.col(c) if isinstance(c, str) else c for c in keep], "lang_pred string, score double" + ", known boolean" * known, make)
+    return derive(docs, [keep.index(text) if text in [c for c in keep if isinstance(c, str)] else F.col(text), letters], [F.col(c) if isinstance(c, str) else c for c in keep], "lang_pred string, score double" + ", known boolean" * known, make)
 
 
 def fold(key: str = "doc_id") -> Column:

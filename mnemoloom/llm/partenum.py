@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..session import stored
-from .common import derive, utf8, word_spans
+from .common import SLICE_BYTES, derive, slices, utf8, word_spans
 from .components import components
 
 U = np.uint64
@@ -99,6 +99,13 @@ def shingle_sets(column, n_words: int) -> tuple[np.ndarray, np.ndarray]:
     return shingle[fresh], np.concatenate(([0], np.cumsum(sizes)))
 
 
+def sliced_sets(column, n_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """`shingle_sets`, of a bounded number of bytes at a time."""
+    found = [shingle_sets(b.column(0), n_words) for b in slices(pa.RecordBatch.from_arrays([column], ["text"]), 0, SLICE_BYTES)]
+    sizes = np.concatenate([np.zeros(1, np.int64), *(np.diff(at) for _, at in found)])
+    return np.concatenate([np.zeros(0, U), *(sets for sets, _ in found)]), np.cumsum(sizes)
+
+
 @dataclass(frozen=True)
 class Bands:
     """What the sizes of two parts allow, for a similarity of num / den or more."""
@@ -252,7 +259,7 @@ def signed(docs: DataFrame, n_words: int, bands: Bands) -> DataFrame:
     """
 
     def run(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 0, SLICE_BYTES)):
             sets, offsets = shingle_sets(batch.column(0), n_words)
             names = _names(sets, offsets)
             # Copies within the batch sign once.
@@ -293,7 +300,7 @@ def check(pairs: DataFrame, texts: DataFrame, n_words: int, num: int, den: int,
 
     def run(batches):
         head, head_set = None, None
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 3, SLICE_BYTES)):
             a, part, b = (np.asarray(batch.column(i)) for i in range(3))
             sets, offsets = shingle_sets(batch.column(3), n_words)
             left, right = [], []
@@ -371,7 +378,7 @@ def link_counts(found: DataFrame, classes: DataFrame, texts: DataFrame, n_words:
     def count(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
         rows = pa.Table.from_batches(parts).combine_chunks()
         i, j, block, cls, copies = (np.asarray(rows[c].combine_chunks()) for c in ("i", "j", "block", "cls", "copies"))
-        sets, offsets = shingle_sets(rows["text"], n_words)
+        sets, offsets = sliced_sets(rows["text"].combine_chunks(), n_words)
         x, y = np.flatnonzero(block == i[0]), np.flatnonzero(block == j[0])
         near = _similar(sets, offsets, x, y, num, den)
         if i[0] == j[0]:

@@ -183,7 +183,7 @@ def _scan(docs: DataFrame, items: list[tuple[str, str]], window: int, text: str,
 
         return run
 
-    return derive(docs, [F.col(text)], [F.col(c) for c in keep], f"n_words bigint, matches {MATCHES}", make)
+    return derive(docs, [keep.index(text) if text in keep else F.col(text)], [F.col(c) for c in keep], f"n_words bigint, matches {MATCHES}", make)
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", keep: list[str] | None = None, window: int = WINDOW) -> DataFrame:
