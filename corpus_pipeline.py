@@ -17,24 +17,24 @@ from mnemoloom.session import stored
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
-def _packed(docs: DataFrame) -> DataFrame:
-    """Whole rows in one column beside the text, so that no name of theirs meets one of an operator."""
-    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text"))
+def _renamed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """The columns under names that meet none of an operator, and that of the text among them."""
+    return docs.toDF(*[f"column_{k}" for k in range(len(docs.columns))]), f"column_{docs.columns.index('text')}"
 
 
-def _unpacked(rows: DataFrame, docs: DataFrame) -> DataFrame:
-    return rows.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
+def _restored(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    return rows.select(*[F.col(f"column_{k}").alias(c) for k, c in enumerate(docs.columns)])
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the model knows; gibberish and those without letters, null texts among them, go."""
     prepare(spark)
     model = langid.fit(docs)
-    told = langid.predict(_packed(docs), model, keep=["row"], known=True)
     if model is None:
         # Nothing is labelled, so there is no language to be in; what has letters stays.
         return docs.filter(F.col("text").rlike(r"\p{L}"))
-    return _unpacked(told.filter("known"), docs)
+    rows, text = _renamed(docs)
+    return _restored(langid.predict(rows, model, text, keep=rows.columns, known=True).filter("known"), docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,13 +47,15 @@ def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Documents in which no window of a benchmark item occurs."""
     prepare(spark)
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return _unpacked(suffix.matches(_packed(docs), benchmark, keep=["row"]).filter(F.size("matches") == 0), docs)
+    rows, text = _renamed(docs)
+    return _restored(suffix.matches(rows, benchmark, text, keep=rows.columns).filter(F.size("matches") == 0), docs)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with the secrets in their texts replaced by a mark, and `n_chars` of the new text."""
     prepare(spark)
-    out = secretscan.redact(docs)
+    rows, text = _renamed(docs)
+    out = _restored(secretscan.redact(rows, text), docs)
     return out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast("bigint")).otherwise(F.col("n_chars"))).select(docs.columns)
 
 
