@@ -34,6 +34,8 @@ WINDOW = 400
 RATE = 32
 # Bytes of different pieces whose suffixes are sorted in one shard.
 SHARD_BYTES = 1 << 18
+# Bytes of pieces whose shards are one task's: sorting takes some seconds a megabyte.
+TASK_BYTES = 1 << 20
 # Bytes of text that a worker takes at a time.
 SLICE_BYTES = 1 << 22
 
@@ -62,7 +64,23 @@ def suffix_order(codes: list[int]) -> list[int]:
 
     at = len(alphabet) - 1
     while at >= 0:
-        mine = [i for i in members[at] if group[i] == at]
+        mine = members[at]
+        if len(mine) > 1:
+            mine = members[at] = [i for i in mine if group[i] == at]
+        elif mine and group[mine[0]] != at:
+            mine = members[at] = []
+        if len(mine) == 1:
+            i = mine[0]
+            finished[i] = 1
+            p = smaller[i]
+            while p >= 0 and finished[p]:
+                p = smaller[p]
+            smaller[i] = p
+            if p >= 0:
+                group[p] = above(group[p])
+                members[-1].append(p)
+            at = lower[at]
+            continue
         for i in mine:
             finished[i] = 1
         reached: dict[int, int] = {}
@@ -74,17 +92,16 @@ def suffix_order(codes: list[int]) -> list[int]:
             if p >= 0:
                 reached[p] = reached.get(p, 0) + 1
         # More of the group in a row is a higher Lyndon prefix; those of equal number keep their groups apart.
-        for times in sorted(set(reached.values()), reverse=True):
+        numbers = set(reached.values())
+        for times in sorted(numbers, reverse=True):
             split: dict[int, int] = {}
-            for p, k in reached.items():
-                if k == times:
-                    g = group[p]
-                    new = split.get(g)
-                    if new is None:
-                        new = split[g] = above(g)
-                    group[p] = new
-                    members[new].append(p)
-        members[at] = mine
+            for p in reached if len(numbers) == 1 else [p for p, k in reached.items() if k == times]:
+                g = group[p]
+                new = split.get(g)
+                if new is None:
+                    new = split[g] = above(g)
+                group[p] = new
+                members[new].append(p)
         at = lower[at]
 
     front, at, g = [0] * len(members), 0, 0
@@ -266,16 +283,16 @@ def _pieces(docs: DataFrame, window: int) -> DataFrame:
                 listed, asked = owner * len(names) + number[: len(told)], row * len(names) + number[len(told) :]
                 row, first, end, place, anchor = cutter.pieces(at[~np.isin(asked, listed)])
                 whole = data.tobytes()
-                rows, last = [], None
-                for r, a, b, p, k in zip(row.tolist(), first.tolist(), end.tolist(), place.tolist(), anchor.astype(np.int64).tolist()):
-                    name = _name(whole[a:b])
-                    if last and b - a == window and last[6] == a and last[0] == r and last[4] == name and last[2] == window:
-                        last[3] += 1
-                        last[6] = a + 1
-                        continue
-                    last = [r, a - int(offsets[r]), b - a, 1, name, k, a + 1, p - a]
-                    rows.append(last)
-                r, start, size, times, name, key, _, off = zip(*rows) if rows else ((),) * 8
+                names = [_name(whole[a:b]) for a, b in zip(first.tolist(), end.tolist())]
+                # Single windows that follow each other and are alike.
+                both = np.frombuffer(b"".join(names), U).reshape(-1, 2)
+                new = np.ones(len(first), bool)
+                new[1:] = (row[1:] != row[:-1]) | (first[1:] != first[:-1] + 1) | (end - first != window)[1:] | (end - first != window)[:-1] | (both[1:] != both[:-1]).any(axis=1)
+                head = np.flatnonzero(new)
+                times = np.diff(np.append(head, len(first)))
+                row, first, end, place, anchor = (x[head] for x in (row, first, end, place, anchor))
+                r, start, size, key, off = row, first - offsets[row], end - first, anchor.astype(np.int64), place - first
+                name = [names[k] for k in head.tolist()]
                 ids = part.column(0).take(pa.array(r, pa.int64()))
                 yield pa.RecordBatch.from_arrays(
                     [ids, *(pa.array(c, pa.int64()) for c in (start, size, times, key, off)), pa.array(name, pa.binary())],
@@ -312,9 +329,9 @@ def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edge[::2], edge[1::2]
 
 
-def _search(shards: DataFrame, window: int) -> DataFrame:
+def _search(shards: DataFrame, window: int, tasks: int) -> DataFrame:
     """`piece`, `a`, `b`: ranges of the windows of every piece (`key`, `piece`, `text`) that repeat in its shard."""
-    rows = shards.select("key", "piece", "text").repartition("key").sortWithinPartitions("key")
+    rows = shards.select("key", "piece", "text").repartition(tasks, "key").sortWithinPartitions("key")
 
     def told(names, texts):
         out = [(name, int(a), int(b)) for name, flags in zip(names, repeated_windows(texts, window)) for a, b in zip(*_runs(flags))]
@@ -393,7 +410,9 @@ def repeats(docs: DataFrame, window: int = WINDOW, shard_bytes: int = SHARD_BYTE
     pieces = wanted.join(texts, "piece").select("key", "piece", "text", "off", "copies", F.lit(0).cast("bigint").alias("low"), F.lit(window - anchor + 1).cast("bigint").alias("high"))
     pieces, roots = stored(pieces), None
     while True:
-        hits = _search(pieces.join(shards.filter(F.col("bytes") <= shard_bytes).select("key"), "key"), window)
+        small = shards.filter(F.col("bytes") <= shard_bytes)
+        tasks = -(-(small.agg(F.sum("bytes")).first()[0] or 0) // TASK_BYTES) or 1
+        hits = _search(pieces.join(small.select("key"), "key"), window, tasks)
         if roots is not None:
             hits = hits.join(roots, "piece").select(F.col("root").alias("piece"), (F.col("a") + F.col("skip")).alias("a"), (F.col("b") + F.col("skip")).alias("b"))
         found.append(hits)
