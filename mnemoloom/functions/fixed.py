@@ -197,3 +197,7 @@ PROPOSAL_NONE = r"(?i)^\s*NONE\b"
 PROPOSAL_MARK = r"^[-*\d.\s]+"
 PROPOSAL_KIND = r"(?i)^(fact|decision|constraint|preference)\s*:\s*(.+)$"
 PROPOSALS, PROPOSAL_LEAST = 4, 16
+
+# ---------------------------------------------------------------------------
+# Fixed value: what an agent says when nobody is signed in (Java regex).
+NEEDS_SIGN_IN = r"(?i)failed to authenticate|oauth (?:token|session)|not logged in|please run .?claude login|invalid api key|authentication_error"

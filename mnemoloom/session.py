@@ -20,6 +20,8 @@ _RUNTIME = {
     # Explodes here are of arrays computed from texts; a filter inferred from the explode would
     # compute each of them a second time, and ahead of any repartitioning.
     "spark.sql.optimizer.excludedRules": "org.apache.spark.sql.catalyst.optimizer.InferFiltersFromGenerate",
+    # State of streams outside the heap, with timers and several values per key.
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     # Merge sessions map-side, so one hot key does not ship every event.
     "spark.sql.sessionWindow.merge.sessions.in.local.partition": "true",
 }

@@ -318,6 +318,39 @@ def tool_events(spark: SparkSession, path: str) -> DataFrame:
     ).filter("kind is not null")
 
 
+def session_events(spark: SparkSession, path: str) -> DataFrame:
+    """Conversations as protocol events (session, seq, at, line): system turns open a session, user turns answer a call, every
+    fourth turn of an assistant closes its work, its others speak and call a tool. Some say that nobody is signed in."""
+    t = table(spark, path, "conversations").select(F.col("conv_id").alias("session"), F.col("turn").alias("seq"), "role", F.col("text"))
+    seq, session = F.col("seq"), F.col("session")
+    word = lambda prefix, n: F.concat(F.lit(prefix), n.cast("string"))
+    message = lambda *blocks: F.struct(F.array(*blocks).alias("content"))
+    init = F.to_json(
+        F.struct(
+            F.lit("system").alias("type"), F.lit("init").alias("subtype"), word("agent-", session).alias("session_id"),
+            F.when(session % 2 == 0, F.array(F.lit("Read"), F.lit("Bash"))).otherwise(F.array(F.lit("Read"))).alias("tools"),
+        )
+    )
+    answer = F.struct(
+        F.lit("tool_result").alias("type"), word("c", seq - 1).alias("tool_use_id"), F.col("text").alias("content"), (seq % 5 == 0).alias("is_error")
+    )
+    spoken = F.when((session + seq) % 7 == 0, F.concat(F.lit("Invalid API key. "), F.col("text"))).otherwise(F.col("text"))
+    # The two kinds of blocks have the fields of both.
+    says = F.struct(F.lit("text").alias("type"), spoken.alias("text"), F.lit(None).cast("string").alias("id"), F.lit(None).cast("string").alias("name"))
+    call = F.struct(F.lit("tool_use").alias("type"), F.lit(None).cast("string").alias("text"), word("c", seq).alias("id"), F.lit("Read").alias("name"))
+    result = F.struct(
+        F.lit("result").alias("type"), F.when(session % 3 == 0, "error_max_turns").otherwise("success").alias("subtype"), (seq / 8).alias("total_cost_usd")
+    )
+    line = (
+        F.when(F.col("role") == "system", init)
+        .when(F.col("role") == "user", F.to_json(F.struct(F.lit("user").alias("type"), message(answer).alias("message"))))
+        .when(seq % 4 == 3, F.to_json(result))
+        .otherwise(F.to_json(F.struct(F.lit("assistant").alias("type"), message(says, call).alias("message"))))
+    )
+    at = F.timestamp_seconds(F.lit(1704067200) + session % 1000 * 3600 + seq * 60)
+    return t.select("session", "seq", at.alias("at"), line.alias("line"))
+
+
 # The same projections as portable SQL, for the oracle.
 _FILE = "p_brand || CASE WHEN p_type = 'SMALL' THEN '/tests/m' ELSE '/src/m' END || (p_partkey // 200) || '.js'"
 SQL: dict[str, str] = {
@@ -383,6 +416,10 @@ SQL: dict[str, str] = {
                                                   WHEN 'purchase' THEN '3 passed' ELSE 'step ' || event_type END
                       WHEN 1 THEN '    at value ' || CAST(value AS VARCHAR) ELSE 'done' END AS text
         FROM events, (SELECT unnest([0, 1, 2]) AS k)""",
+    "session_rows": """
+        SELECT conv_id AS session, turn AS seq, text,
+               CASE WHEN role = 'system' THEN 'system' WHEN role = 'user' THEN 'user' WHEN turn % 4 = 3 THEN 'result' ELSE 'assistant' END AS kind
+        FROM conversations""",
     "tool_events": """
         SELECT conv_id AS session_id, conv_id * 1000 + turn AS seq,
                CASE role WHEN 'user' THEN 'tool_use' ELSE 'tool_result' END AS kind,

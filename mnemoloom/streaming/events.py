@@ -136,9 +136,29 @@ def join_calls(calls: DataFrame, results: DataFrame, at: str = "at", lateness: s
     Both sides need (session_id, call_id, at); unanswered calls come out with nulls
     once the watermark has passed them.
     """
-    c = calls.withWatermark(at, lateness).alias("c")
-    r = results.withWatermark(at, lateness).alias("r")
-    within = F.expr(f"r.call_id = c.call_id and r.session_id = c.session_id and r.{at} between c.{at} - interval {lateness} and c.{at} + interval {lateness}")
+    return _joined(calls.withWatermark(at, lateness), results.withWatermark(at, lateness), at, lateness)
+
+
+def paired_stream(events: DataFrame, same_events: DataFrame, lateness: str = LATENESS) -> DataFrame:
+    """(session, call_id, called, answered, chars, state) of a stream of parsed events, which has to be given twice.
+
+    A result that comes before its call in the files waits for it; a call without one is `running` once the watermark
+    has passed the time in which its result could come. Results nobody asked for, and those of another session, are left out.
+    """
+    # The join drops rows without a session, which must not happen before their time has moved the watermark: so a session depends on it.
+    session = F.when(F.col("at").isNotNull(), F.col("session"))
+    timed = lambda e: e.withWatermark("at", lateness).withColumn("session", session)
+    calls = turns(timed(events)).filter((F.col("role") == "tool") | F.col("at").isNull())
+    calls = calls.select(F.col("session").alias("session_id"), "call_id", "at", F.col("seq").alias("called"))
+    results = turns(timed(same_events)).filter((F.col("role") == "result") | F.col("at").isNull())
+    results = results.select(F.col("session").alias("session_id"), "call_id", "at", F.col("seq").alias("answered"), F.length("text").cast("bigint").alias("chars"), "failed")
+    state = F.when(F.col("r.call_id").isNull(), "running").when(F.col("r.failed"), "failed").otherwise("done")
+    return _joined(calls, results, "at", LATENESS).select(F.col("c.session_id").alias("session"), F.col("c.call_id").alias("call_id"), "called", "answered", "chars", state.alias("state"))
+
+
+def _joined(calls: DataFrame, results: DataFrame, at: str, wait: str) -> DataFrame:
+    c, r = calls.alias("c"), results.alias("r")
+    within = F.expr(f"r.call_id = c.call_id and r.session_id = c.session_id and r.{at} between c.{at} - interval {wait} and c.{at} + interval {wait}")
     return c.join(r, within, "left")
 
 

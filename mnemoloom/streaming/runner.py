@@ -27,6 +27,26 @@ def drain(stream: DataFrame, out: str, checkpoint: str, mode: str = "update"):
     )
 
 
+def replayed(lines: DataFrame, files: int = 6) -> DataFrame:
+    """A stream of text lines (`value`): the rows of a table as JSON, in `files` files dealt by hash and so in no order, a file per batch.
+
+    Two last files hold one line far in the future each, with nothing but its time, `at`: the first moves the watermark past
+    all others, and with the second comes out what waits for time. Consumers leave them out after the watermark.
+    """
+    spark = lines.sparkSession
+    folder = shared_folder(spark, "replay")
+    names = [F.col(c) for c in lines.columns]
+    text = lines.select(F.to_json(F.struct(*names)).alias("value"))
+    text.repartition(files, F.xxhash64("value")).write.text(folder)
+    end = spark.range(1).select(F.to_json(F.struct(F.lit(END_OF_REPLAY).alias("at"))).alias("value"))
+    for _ in range(2):
+        end.write.mode("append").text(folder)
+    return spark.readStream.option("maxFilesPerTrigger", 1).text(folder)
+
+
+END_OF_REPLAY = "2999-01-01T00:00:00.000Z"
+
+
 def run_available(stream: DataFrame, keys: list[str], mode: str = "update") -> DataFrame:
     """Process everything available and return the latest row per key.
 
