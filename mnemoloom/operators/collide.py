@@ -22,24 +22,37 @@ def stream_changes(ranges: DataFrame, symbols: DataFrame) -> tuple[DataFrame, Da
     return stored(files), stored(in_ranges(ranges, symbol_spans(symbols), ["stream"]))
 
 
+def _pairs(streams: str) -> str:
+    """All pairs a < b of a sorted array of streams."""
+    return f"flatten(transform({streams}, (a, i) -> transform(slice({streams}, i + 2, size({streams})), b -> struct(a as a, b as b))))"
+
+
+def _spelled(sets: DataFrame, streams: str, out: str) -> DataFrame:
+    """(a, b, out): in how many rows every two streams stand together. Equal sets are counted before their pairs are spelled out."""
+    counted = sets.filter(F.size(streams) > 1).groupBy(streams).agg(F.count(F.lit(1)).alias("_n"))
+    return counted.select("_n", F.explode(F.expr(_pairs(streams))).alias("_p")).groupBy("_p.a", "_p.b").agg(F.sum("_n").alias(out))
+
+
+def stream_sets(rows: DataFrame, *keys: str) -> DataFrame:
+    """(*keys, streams): the sorted set of streams of every key, no larger than there are streams."""
+    return rows.groupBy(*keys).agg(F.sort_array(F.collect_set("stream")).alias("streams"))
+
+
 def shared(files: DataFrame, changes: DataFrame) -> DataFrame:
     """(a, b, shared_symbols, shared_files) of every two streams that meet, a < b.
 
-    A shared file counts only where the two share none of its symbols. A symbol or file
-    brings each stream once, so no key meets more rows than there are streams, and the
-    pairs are counted before they are shuffled.
+    A shared file counts only where the two share none of its symbols. Every symbol and file becomes its set of streams; few of
+    these are different, so pairs come out of weighted sets and no table meets itself.
     """
-
-    def met(rows: DataFrame, key: str, extra: list[str]) -> DataFrame:
-        once = rows.select("stream", key, *extra).distinct()
-        other = once.select(F.col("stream").alias("b"), F.col(key).alias("_k"))
-        return once.withColumnRenamed("stream", "a").join(other, (F.col(key) == F.col("_k")) & (F.col("a") < F.col("b")))
-
-    by_file = met(changes, "node_id", ["file"]).groupBy("a", "b", "file").agg(F.count(F.lit(1)).alias("_n"))
-    symbols = by_file.groupBy("a", "b").agg(F.sum("_n").alias("shared_symbols"), F.count(F.lit(1)).alias("_fought"))
-    all_files = met(files, "file", []).groupBy("a", "b").agg(F.count(F.lit(1)).alias("_files"))
+    by_symbol = stream_sets(changes, "node_id", "file").filter(F.size("streams") > 1)
+    symbols = _spelled(by_symbol, "streams", "shared_symbols")
+    # Of every file the pairs that share a symbol of it, as one set again.
+    fought = by_symbol.select("file", "streams").distinct().groupBy("file").agg(F.collect_list("streams").alias("_sets"))
+    fought = fought.select(F.array_sort(F.array_distinct(F.flatten(F.expr(f"transform(_sets, s -> {_pairs('s')})")))).alias("_met"))
+    fought = fought.groupBy("_met").agg(F.count(F.lit(1)).alias("_n")).select("_n", F.explode("_met").alias("_p")).groupBy("_p.a", "_p.b").agg(F.sum("_n").alias("_fought"))
+    all_files = _spelled(stream_sets(files, "file"), "streams", "_files")
     zero = lambda c: F.coalesce(c, F.lit(0))
-    return symbols.join(all_files, ["a", "b"], "full").select(
+    return symbols.join(fought, ["a", "b"], "full").join(all_files, ["a", "b"], "full").select(
         "a", "b", zero("shared_symbols").alias("shared_symbols"), (zero("_files") - zero("_fought")).alias("shared_files")
     )
 
@@ -47,18 +60,16 @@ def shared(files: DataFrame, changes: DataFrame) -> DataFrame:
 def dependencies(changes: DataFrame, edges: DataFrame) -> DataFrame:
     """(name, needs, callees): streams whose changed code calls symbols another stream changed.
 
-    Calls are first brought down to (stream, symbol called), each once, whichever and
-    however many of its callers the stream changed.
+    A called symbol has two sets of streams: those that changed it and those that changed a caller of it. Symbols with equal
+    sets are counted together, and streams are spelled out of the sets.
     """
-    touched = changes.select("stream", "node_id").distinct()
-    calls = edges.select("src", "dst").distinct()
-    reaching = (
-        calls.join(touched.select(F.col("node_id").alias("src"), F.col("stream").alias("name")), "src")
-        .select("name", "dst")
-        .distinct()
-    )
-    changed = touched.select(F.col("node_id").alias("dst"), F.col("stream").alias("needs"))
-    return reaching.join(changed, "dst").filter("name <> needs").groupBy("name", "needs").agg(F.count(F.lit(1)).alias("callees"))
+    touched = stream_sets(changes, "node_id")
+    calls = edges.select("src", "dst").distinct().join(touched.select(F.col("node_id").alias("src"), F.col("streams").alias("_callers")), "src")
+    reaching = calls.select("dst", "_callers").distinct().groupBy("dst").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("_callers")))).alias("_names"))
+    met = reaching.join(touched.select(F.col("node_id").alias("dst"), F.col("streams").alias("_needs")), "dst")
+    counted = met.groupBy("_names", "_needs").agg(F.count(F.lit(1)).alias("_n"))
+    spelled = counted.select("_n", "_needs", F.explode("_names").alias("name")).select("_n", "name", F.explode("_needs").alias("needs"))
+    return spelled.filter("name <> needs").groupBy("name", "needs").agg(F.sum("_n").alias("callees"))
 
 
 def compare(files: DataFrame, changes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -34,7 +34,6 @@ def _bfs(
     reduce: dict[str, Callable[[], Column]],
     allowed: DataFrame | None = None,
     limit: int | None = None,
-    until=None,
 ) -> tuple[DataFrame, bool]:
     """Visit level by level. `start` is (node_id, distance, *state); `reduce` folds the state per new node.
 
@@ -58,8 +57,7 @@ def _bfs(
         if allowed is not None:
             reached = reached.join(allowed, "node_id", "left_semi")
         fresh = cut(reached.select("node_id", F.lit(hop).alias("distance"), *state))
-        found = F.count_if(F.col("node_id") == F.lit(until)) if until is not None else F.lit(0)
-        rows, arrived = fresh.agg(F.count(F.lit(1)), found).first()
+        rows = fresh.count()
         if limit is not None and total + rows > limit:
             capped = True
             fresh = cut(fresh.orderBy("node_id").limit(max(limit - total, 0)))
@@ -70,8 +68,6 @@ def _bfs(
         # Levels are materialised one by one, so their union costs nothing to carry along.
         visited = visited.unionByName(fresh)
         frontier = fresh
-        if arrived:
-            break
     return visited, capped
 
 
@@ -127,6 +123,12 @@ def impact(
     return out, capped
 
 
+def impact_rows(reached: DataFrame, symbols: DataFrame, top: int = 40) -> DataFrame:
+    """(node_id, distance, via_contract, name) of the nearest symbols of an impact answer, by distance and then name."""
+    named = reached.join(symbols.select("node_id", "name"), "node_id")
+    return named.select("node_id", "distance", "via_contract", "name").orderBy("distance", "name", "node_id").limit(top)
+
+
 def impact_by_service(reached: DataFrame, symbols: DataFrame) -> DataFrame:
     """(service, symbols, files) of an impact answer."""
     placed = reached.join(symbols.select("node_id", "file", "service"), "node_id")
@@ -135,38 +137,91 @@ def impact_by_service(reached: DataFrame, symbols: DataFrame) -> DataFrame:
     )
 
 
-def shortest_path(edges: DataFrame, symbols: DataFrame, from_id, to_id, max_hops: int = 64) -> dict:
-    """The shortest way along calls, else ignoring direction: found, directed, hops, crossings, steps.
+CAME = "came"
+
+
+def _level(steps: DataFrame, frontier: DataFrame, seen: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The next level of a search: nodes that a step leads to and that were not seen, with the smallest way they were come by."""
+    here = frontier.select(F.col("node_id").alias("at"))
+    reached = steps.join(here, "at").groupBy(F.col("to").alias("node_id")).agg(F.min(F.struct(F.col("at").alias("prev"), "back", "via_contract")).alias(CAME))
+    return cut(reached.join(seen.select("node_id"), "node_id", "left_anti").join(nodes, "node_id", "left_semi"))
+
 
-    Equally short ways are told apart by the smallest predecessor. A step is
-    (node_id, via_contract, reversed).
+def _search(steps: DataFrame, symbols: DataFrame, from_id, to_id, max_hops: int) -> list[DataFrame] | None:
+    """The levels of nodes on shortest ways, from the start to the target, each with the smallest way it was come by.
+
+    The search runs from both ends, and the smaller frontier moves. Where they meet, the ways of
+    the far half are spelled out forwards again, inside the levels that its search has seen.
+    """
+    against = steps.select(F.col("to").alias("at"), F.col("at").alias("to"), "back", "via_contract")
+    nodes = symbols.select("node_id")
+    key = symbols.schema["node_id"].dataType.simpleString()
+    none = F.lit(None).cast(f"struct<prev:{key},back:boolean,via_contract:boolean>").alias(CAME)
+    ends = [cut(nodes.filter(F.col("node_id") == F.lit(x)).distinct().select("node_id", none)) for x in (from_id, to_id)]
+    if any(e.isEmpty() for e in ends):
+        return None
+    fore, aft = [ends[0]], [ends[1]]
+    if from_id == to_id:
+        return fore
+    seen, sizes = [ends[0], ends[1]], [1, 1]
+    for _ in range(max_hops):
+        side = 0 if sizes[0] <= sizes[1] else 1
+        mine, other = (fore, aft) if side == 0 else (aft, fore)
+        fresh = _level(steps if side == 0 else against, mine[-1], seen[side], nodes)
+        mine.append(fresh)
+        seen[side] = seen[side].unionByName(fresh)
+        # Complete levels on both sides that had not met before can only meet at their borders.
+        both = fresh.join(other[-1].select("node_id", F.lit(True).alias("met")), "node_id", "left").agg(F.count("*"), F.count("met")).first()
+        sizes[side] = both[0]
+        if both[1]:
+            break
+        if both[0] == 0:
+            return None
+    else:
+        return None
+    middle = fore[-1].join(aft[-1].select("node_id"), "node_id", "left_semi")
+    levels = [*fore[:-1], middle]
+    for level in reversed(aft[:-1]):
+        here = levels[-1].select(F.col("node_id").alias("at"))
+        onward = steps.join(here, "at").join(level.select(F.col("node_id").alias("to")), "to", "left_semi")
+        levels.append(cut(onward.groupBy(F.col("to").alias("node_id")).agg(F.min(F.struct(F.col("at").alias("prev"), "back", "via_contract")).alias(CAME))))
+    return levels
+
+
+def path_steps(edges: DataFrame, symbols: DataFrame, from_id, to_id, max_hops: int = 64) -> DataFrame:
+    """(step, node_id, via_contract, reversed, directed) along the shortest way, calls first, else ignoring direction; no rows where there is none.
+
+    Equally short ways are told apart, from the target back, by the smallest predecessor, then a
+    call before its reverse and a call before a contract. The way back is one join per hop of a single row, in one job.
     """
     if "via_contract" not in edges.columns:
         edges = edges.withColumn("via_contract", F.lit(False))
+    key = symbols.schema["node_id"].dataType.simpleString()
+    shape = f"struct<node_id:{key},via_contract:boolean,reversed:boolean>"
     for directed in (True, False):
-        best = {"came": lambda: F.min(F.struct(F.col("at").alias("prev"), F.col("back"), F.col("via_contract")))}
-        key_type = symbols.schema["node_id"].dataType.simpleString()
-        none = F.lit(None).cast(f"struct<prev:{key_type},back:boolean,via_contract:boolean>")
-        visited, _ = _bfs(
-            edges, _start(symbols, from_id, came=none), "forward" if directed else "both", max_hops, best,
-            symbols.select("node_id"), None, to_id,
+        levels = _search(_steps(edges, "forward" if directed else "both", ["via_contract"]), symbols, from_id, to_id, max_hops)
+        if levels is None:
+            continue
+        step = F.struct(
+            F.col("node_id"), F.coalesce(F.col(f"{CAME}.via_contract"), F.lit(False)).alias("via_contract"), F.coalesce(F.col(f"{CAME}.back"), F.lit(False)).alias("reversed")
         )
-        steps, at = [], to_id
-        while True:
-            # One lookup per hop of the answer.
-            row = visited.filter(F.col("node_id") == F.lit(at)).first()
-            if row is None:
-                break
-            came = row["came"]
-            steps.append((at, bool(came and came["via_contract"]), bool(came and came["back"])))
-            if came is None:
-                steps.reverse()
-                return {
-                    "found": True, "directed": directed, "hops": len(steps) - 1,
-                    "crossings": sum(s[1] for s in steps), "steps": steps,
-                }
-            at = came["prev"]
-    return {"found": False, "directed": None, "hops": None, "crossings": None, "steps": []}
+        walk = levels[-1].filter(F.col("node_id") == F.lit(to_id)).select(F.array(step).cast(f"array<{shape}>").alias("way"), F.col(f"{CAME}.prev").alias("prev"))
+        for level in reversed(levels[:-1]):
+            before = level.select("node_id", step.cast(shape).alias("step"), F.col(f"{CAME}.prev").alias("earlier"))
+            joined = before.join(F.broadcast(walk), before["node_id"] == walk["prev"])  # one row
+            walk = joined.select(F.concat(F.array("step"), "way").alias("way"), F.col("earlier").alias("prev"))
+        return walk.select(F.posexplode("way").alias("step", "_s")).select("step", "_s.*", F.lit(directed).alias("directed"))
+    spark = symbols.sparkSession
+    return spark.createDataFrame([], f"step int, node_id {key}, via_contract boolean, reversed boolean, directed boolean")
+
+
+def shortest_path(edges: DataFrame, symbols: DataFrame, from_id, to_id, max_hops: int = 64) -> dict:
+    """The answer of `path_steps` (a row per hop) as one value: found, directed, hops, crossings, steps of (node_id, via_contract, reversed)."""
+    rows = sorted(path_steps(edges, symbols, from_id, to_id, max_hops).collect(), key=lambda r: r.step)
+    if not rows:
+        return {"found": False, "directed": None, "hops": None, "crossings": None, "steps": []}
+    steps = [(r.node_id, r.via_contract, r.reversed) for r in rows]
+    return {"found": True, "directed": rows[0].directed, "hops": len(steps) - 1, "crossings": sum(s[1] for s in steps), "steps": steps}
 
 
 def merge_order(names: DataFrame, before: DataFrame) -> DataFrame:

@@ -114,28 +114,88 @@ def khop_links(spark, path):
     return links
 
 
-_IMPACT = f"""RECURSIVE , walk(node_id, d) AS (
-        SELECT {_START}::BIGINT, 0 UNION SELECT src, d + 1 FROM walk JOIN edges ON dst = node_id WHERE d < 3),
-    reached AS (SELECT node_id, min(d) AS distance FROM walk GROUP BY node_id HAVING min(d) > 0)"""
+# Every third call site crosses a service: an inferred call.
+_WIRED = "wired AS (SELECT src, dst, line % 3 = 0 AS via FROM edges)"
 
 
-@query("edges symbols", f"{_IMPACT} SELECT node_id, distance, false AS via_contract FROM reached")
+def _wired(spark, path):
+    symbols, edges = _graph(spark, path)
+    return symbols, stored(edges.select("src", "dst", (F.col("line") % 3 == 0).alias("via_contract")))
+
+
+def _impact_levels(depth: int) -> str:
+    """Callers level by level; one is inferred if every way to it is."""
+    out = [f"r0 AS (SELECT {_START}::BIGINT AS node_id, 0 AS distance, false AS via_contract)"]
+    for k in range(1, depth + 1):
+        known = " UNION ALL ".join(f"SELECT node_id FROM r{i}" for i in range(k))
+        out.append(
+            f"r{k} AS (SELECT src AS node_id, {k} AS distance, bool_and(via OR via_contract) AS via_contract FROM wired JOIN r{k - 1} ON dst = node_id "
+            f"WHERE src NOT IN ({known}) GROUP BY src)"
+        )
+    return ", ".join([_WIRED, *out, "reached AS (" + " UNION ALL ".join(f"SELECT * FROM r{k}" for k in range(1, depth + 1)) + ")"])
+
+
+@query("edges symbols", f", {_impact_levels(3)} SELECT * FROM reached")
 def reverse_impact(spark, path):
-    symbols, edges = _stored(spark, path)
+    symbols, edges = _wired(spark, path)
     return traversal.impact(edges, symbols, _START, depth=3, limit=None)[0]
 
 
 @query(
     "edges symbols",
-    f"""{_IMPACT} SELECT service, count(*) AS symbols, count(DISTINCT file) AS files
+    f""", {_impact_levels(3)} SELECT node_id, distance, via_contract, name FROM reached JOIN symbols USING (node_id)
+        ORDER BY distance, name, node_id LIMIT 40""",
+)
+def impact_order(spark, path):
+    """What a change is felt by, nearest first."""
+    symbols, edges = _wired(spark, path)
+    return traversal.impact_rows(traversal.impact(edges, symbols, _START, depth=3, limit=None)[0], symbols, 40)
+
+
+@query(
+    "edges symbols",
+    f""", {_impact_levels(3)} SELECT service, count(*) AS symbols, count(DISTINCT file) AS files
         FROM reached JOIN symbols USING (node_id) GROUP BY service""",
 )
 def impact_by_service(spark, path):
-    symbols, edges = _stored(spark, path)
+    symbols, edges = _wired(spark, path)
     reached, _ = traversal.impact(edges, symbols, _START, depth=3, limit=None)
     return traversal.impact_by_service(reached, symbols)
 
 
+def _path_sql(start: str, target: str, both: bool, depth: int) -> str:
+    """Distances from the start, the smallest way back to each node, and the walk back from the target."""
+    back = " UNION ALL SELECT dst, src, true, via FROM wired" if both else ""
+    return f"""RECURSIVE , {_WIRED}, ends AS (SELECT ({start})::BIGINT AS a, ({target})::BIGINT AS b),
+        hops AS (SELECT src AS u, dst AS w, false AS back, via FROM wired{back}),
+        walk(node_id, d) AS (SELECT a, 0 FROM ends UNION SELECT w, d + 1 FROM walk JOIN hops ON u = node_id WHERE d < {depth}),
+        near AS (SELECT node_id, min(d) AS d FROM walk GROUP BY node_id),
+        came AS (SELECT n.node_id, n.d, min(row(u, back, via)) AS c FROM near n JOIN hops ON w = n.node_id JOIN near p ON p.node_id = u AND p.d = n.d - 1 GROUP BY ALL),
+        way(step, node_id, via_contract, reversed, prev) AS (
+            SELECT d, node_id, c[3], c[2], c[1] FROM came, ends WHERE node_id = b
+            UNION ALL SELECT came.d, came.node_id, c[3], c[2], c[1] FROM way JOIN came ON came.node_id = way.prev)
+        SELECT step, node_id, via_contract, reversed, {'false' if both else 'true'} AS directed FROM way
+        UNION ALL SELECT 0, a, false, false, {'false' if both else 'true'} FROM ends WHERE EXISTS (FROM way)"""
+
+
+@query("edges symbols", _path_sql("1", "42", False, 12))
+def shortest_path_steps(spark, path):
+    """From one symbol to another along calls, contracts among them."""
+    symbols, edges = _wired(spark, path)
+    return traversal.path_steps(edges, symbols, 1, 42)
+
+
+_SINK = "SELECT min(dst) FROM edges WHERE dst NOT IN (SELECT src FROM edges)"
+
+
+@query("edges symbols", _path_sql(_SINK, "42", True, 7))
+def related_path_steps(spark, path):
+    """From a symbol that calls nothing: no way along calls, so one that ignores direction."""
+    symbols, edges = _wired(spark, path)
+    sink = edges.select(F.col("dst").alias("node_id")).join(edges.select(F.col("src").alias("node_id")), "node_id", "left_anti").agg(F.min("node_id")).first()[0]
+    return traversal.path_steps(edges, symbols, sink, 42)
+
+
 @query(
     "edges symbols",
     f"""RECURSIVE , walk(node_id, d) AS (
@@ -209,9 +269,29 @@ def tree_rollup(spark, path):
     return explore.tree_counts(v.symbols(spark, path))
 
 
-@query()
+# A directory that holds exactly one directory is drawn on the row of that one; a row's parent is the deepest ancestor that stays.
+_LEVELS = f"""
+    {_TREE},
+    placed AS (SELECT path, symbols, CASE WHEN path = '' THEN 'project' WHEN leaf THEN 'file' ELSE 'dir' END AS kind, string_split(path, '/') AS p,
+                      CASE WHEN path = '' THEN NULL WHEN contains(path, '/') THEN regexp_replace(path, '/[^/]*$', '') ELSE '' END AS up FROM rolled),
+    kids AS (SELECT up AS path, count(*) = 1 AND bool_and(kind = 'dir') AS folds FROM placed WHERE up IS NOT NULL GROUP BY up),
+    stays AS (SELECT placed.*, kind = 'dir' AND coalesce(folds, false) AS folds FROM placed LEFT JOIN kids USING (path)),
+    depths AS (SELECT s.path, max(len(a.p)) AS stop FROM stays s JOIN stays a ON a.path <> '' AND starts_with(s.path, a.path || '/') AND NOT a.folds GROUP BY s.path),
+    shown AS (SELECT path, kind, symbols, CASE WHEN kind = 'dir' THEN array_to_string(p[coalesce(stop, 0) + 1:], '/') ELSE p[-1] END AS name,
+                     array_to_string(p[:coalesce(stop, 0)], '/') AS parent FROM stays LEFT JOIN depths USING (path) WHERE path <> '' AND NOT folds
+              UNION ALL SELECT path, kind, symbols, '', NULL FROM stays WHERE path = ''),
+    grown AS (SELECT s.*, (SELECT count(*) FROM shown c WHERE c.parent = s.path) AS children FROM shown s),
+    l0 AS (SELECT *, 0 AS level FROM grown WHERE path = ''), l1 AS (SELECT *, 1 AS level FROM grown WHERE parent IN (SELECT path FROM l0)),
+    l2 AS (SELECT *, 2 AS level FROM grown WHERE parent IN (SELECT path FROM l1))"""
+
+
+@query(
+    "symbols",
+    f""", {_LEVELS} SELECT path, name, kind, symbols, children, level, level = 2 AND (children > 0 OR kind = 'file') AS has_more
+        FROM (FROM l0 UNION ALL FROM l1 UNION ALL FROM l2)""",
+)
 def tree_level(spark, path):
-    """The top two levels with single-directory chains folded; checked on a fixture."""
+    """The top two levels with single-directory chains folded."""
     return explore.tree(v.symbols(spark, path), depth=2).select("path", "name", "kind", "symbols", "children", "level", "has_more")
 
 

@@ -130,16 +130,16 @@ def stream_change_counts(spark, path):
     return out.fillna(0, ["symbols"])
 
 
-@query(
-    "ranges symbols",
-    f""", {_CHANGES},
-        ss AS (SELECT x.stream AS a, y.stream AS b, count(*) AS n, list(DISTINCT x.file) AS fought
-               FROM changes x JOIN changes y ON x.node_id = y.node_id AND x.stream < y.stream GROUP BY ALL),
-        sf AS (SELECT x.stream AS a, y.stream AS b, count(*) AS n
-               FROM changed_files x JOIN changed_files y ON x.file = y.file AND x.stream < y.stream GROUP BY ALL)
-        SELECT a, b, coalesce(ss.n, 0) AS shared_symbols, coalesce(sf.n, 0) - coalesce(len(fought), 0) AS shared_files
-        FROM ss FULL JOIN sf USING (a, b)""",
-)
+_SHARED = """
+    ss AS (SELECT x.stream AS a, y.stream AS b, count(*) AS n, list(DISTINCT x.file) AS fought
+           FROM changes x JOIN changes y ON x.node_id = y.node_id AND x.stream < y.stream GROUP BY ALL),
+    sf AS (SELECT x.stream AS a, y.stream AS b, count(*) AS n
+           FROM changed_files x JOIN changed_files y ON x.file = y.file AND x.stream < y.stream GROUP BY ALL),
+    shared AS (SELECT a, b, coalesce(ss.n, 0) AS shared_symbols, coalesce(sf.n, 0) - coalesce(len(fought), 0) AS shared_files
+               FROM ss FULL JOIN sf USING (a, b))"""
+
+
+@query("ranges symbols", f", {_CHANGES}, {_SHARED} SELECT * FROM shared")
 def stream_pairs(spark, path):
     return collide.shared(*_changes(spark, path))
 
@@ -150,12 +150,18 @@ def stream_dependencies(spark, path):
     return collide.dependencies(_changes(spark, path)[1], edges)
 
 
-@query()
-def merge_order(spark, path):
-    """Landing order where, of two streams needing each other, the one needing more comes later.
+# Depth is that of the longest chain below; a chain longer than there are streams goes round in a circle.
+_ORDER = """
+    before AS (SELECT x.name, x.needs FROM needs x LEFT JOIN needs y ON y.name = x.needs AND y.needs = x.name
+               WHERE row(x.callees, x.name) > row(coalesce(y.callees, 0), x.needs)),
+    names AS (SELECT DISTINCT stream AS name FROM changed_files), many AS (SELECT count(*) + 1 AS n FROM names),
+    chain(name, d) AS (SELECT name, 0 FROM names UNION SELECT b.name, d + 1 FROM chain c JOIN before b ON b.needs = c.name, many WHERE d < n)
+    SELECT name, CASE WHEN max(d) < n THEN CAST(max(d) AS INTEGER) END AS layer FROM chain, many GROUP BY name, n"""
+
 
-    Iterative, so checked on fixtures.
-    """
+@query("ranges symbols edges", f"RECURSIVE , {_CHANGES}, {_NEEDS}, {_ORDER}")
+def merge_order(spark, path):
+    """Landing order where, of two streams needing each other, the one needing more comes later."""
     _, edges = _graph(spark, path)
     files, changes = _changes(spark, path)
     needs = collide.dependencies(changes, edges)
@@ -165,7 +171,16 @@ def merge_order(spark, path):
     return collide.merge_order(files.select(F.col("stream").alias("name")), before)
 
 
-@query()
+@query(
+    "ranges symbols edges",
+    f""", {_CHANGES}, {_NEEDS}, {_SHARED},
+        pairs AS (SELECT a, b, shared_symbols, shared_files, 0 AS x, 0 AS y FROM shared
+                  UNION ALL SELECT least(name, needs), greatest(name, needs), 0, 0, CASE WHEN name < needs THEN callees ELSE 0 END,
+                                   CASE WHEN name > needs THEN callees ELSE 0 END FROM needs)
+        SELECT a, b, CAST(sum(shared_symbols) AS BIGINT) AS shared_symbols, CAST(sum(shared_files) AS BIGINT) AS shared_files,
+               CAST(sum(x) AS BIGINT) AS a_needs_b, CAST(sum(y) AS BIGINT) AS b_needs_a
+        FROM pairs GROUP BY a, b HAVING sum(shared_symbols) + sum(shared_files) + sum(x) + sum(y) > 0""",
+)
 def stream_compare(spark, path):
     """Every pair of streams with shared code and needs either way."""
     _, edges = _graph(spark, path)
