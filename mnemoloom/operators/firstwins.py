@@ -1,11 +1,13 @@
 """First-wins removal of repeats: by key, and by vector similarity. Both are exact.
 
-The vector form walks the incoming rows in order, a bounded batch at a time.
-A batch is settled against the known vectors with one scan of them, then within
-itself, and its survivors remove everything later that resembles them with one
-scan of what is left. A crowd of near-copies therefore disappears behind its
-first member: no pairs are produced, nothing is grouped, and every scan is
-spread over all partitions whatever the data looks like.
+The vector form is the answer of a walk over the rows in order: a row stays if it resembles nothing known and no row
+kept before it. It is found in rounds: a row that no undecided earlier row resembles stays, and what resembles one that
+stays goes. A crowd of near-copies therefore disappears behind its first member in one round, and the number of rounds is
+that of links in the longest chain of rows each waiting for the one before, not of rows.
+
+Who resembles whom is asked block against block in tasks. Rows are dealt to the nearest of a few pivots; two cells
+meet only where the angle between their pivots, less their radii, leaves the threshold possible. No pair is written:
+a task returns the rows of its left block that have an answer in its right one.
 """
 
 from __future__ import annotations
@@ -19,8 +21,10 @@ from pyspark.sql import functions as F
 from ..functions import vectors as vx
 from ..session import stored
 
-# Vectors settled per round, and so the size of what is sent to every executor.
+# Rows of a block, and so of what one task holds of either side; also the questions of one scan of `nearest_known`.
 BATCH = 4096
+# Pivots, and so the cells that rows are dealt into.
+PIVOTS = 64
 
 
 def first_of_each(df: DataFrame, keys: list[str], order: str) -> DataFrame:
@@ -56,49 +60,98 @@ def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return a[:, :width] @ b[:, :width].T
 
 
-def heads_seen(known: DataFrame, heads: np.ndarray, threshold: float) -> DataFrame:
-    """Positions of the heads that resemble some known vector (`embedding`)."""
-    shared = known.sparkSession.sparkContext.broadcast(heads)
+def _placed(rows: DataFrame, pivots: np.ndarray, batch: int) -> DataFrame:
+    """(`id`, `embedding`, `cell`, `angle`, `norm`, `block`): every row at its nearest pivot, in a block of a known number of rows."""
+    shared = rows.sparkSession.sparkContext.broadcast(pivots)  # PIVOTS vectors
+    key = rows.schema["id"].dataType.simpleString()
 
-    def scan(batches):
-        found = np.zeros(len(shared.value), dtype=bool)
-        for batch in batches:
-            vectors = _matrix(batch.column(0))
-            for i in range(0, len(vectors), 1024):
-                found |= (_products(vectors[i : i + 1024], shared.value) >= threshold).any(axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(found), pa.int64())], ["head"])
-
-    return known.select("embedding").mapInArrow(scan, "head bigint").distinct()
-
-
-def _without(rows: DataFrame, heads: np.ndarray, threshold: float) -> DataFrame:
-    """Rows resembling none of the heads."""
-    shared = rows.sparkSession.sparkContext.broadcast(heads)
-    at = rows.columns.index("embedding")
-
-    def scan(batches):
-        for batch in batches:
-            vectors = _matrix(batch.column(at))
-            if len(vectors) == 0:
+    def place(batches):
+        at = shared.value
+        length = np.maximum(np.linalg.norm(at, axis=1), 1e-300)
+        for b in batches:
+            vectors = _matrix(b.column(1))
+            if not len(vectors):
                 continue
-            near = np.zeros(len(vectors), dtype=bool)
-            for i in range(0, len(vectors), 1024):
-                near[i : i + 1024] = (_products(vectors[i : i + 1024], shared.value) >= threshold).any(axis=1)
-            yield batch.filter(pa.array(~near))
-
-    return rows.mapInArrow(scan, rows.schema)
+            norm = np.linalg.norm(vectors, axis=1)
+            cosine = _products(vectors, at) / np.maximum(norm, 1e-300)[:, None] / length
+            cell = cosine.argmax(axis=1)
+            angle = np.arccos(np.clip(cosine[np.arange(len(cell)), cell], -1, 1))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(cell.astype(np.int32)), pa.array(angle), pa.array(norm)], names=["id", "embedding", "cell", "angle", "norm"])
+
+    vector = rows.schema["embedding"].dataType.simpleString()
+    placed = rows.select("id", "embedding").mapInArrow(place, f"id {key}, embedding {vector}, cell int, angle double, norm double")
+    sizes = placed.groupBy("cell").agg(F.ceil(F.count("*") / F.lit(batch)).cast("int").alias("blocks"))
+    return stored(placed.join(sizes, "cell").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")))
+
+
+def _cells(placed: DataFrame) -> list:
+    """One row per cell: its blocks, radius and longest vector."""
+    return placed.groupBy("cell").agg(F.max("blocks").alias("blocks"), F.max("angle").alias("radius"), F.max("norm").alias("norm")).collect()
+
+
+def _meetings(left: list, right: list, pivots: np.ndarray, threshold: float) -> list[tuple[int, int, int, int]]:
+    """Cells that can hold a pair at the threshold, with their numbers of blocks; at most as many as pairs of pivots."""
+    length = np.maximum(np.linalg.norm(pivots, axis=1), 1e-300)
+    between = np.arccos(np.clip(_products(pivots, pivots) / length[:, None] / length, -1, 1))
+    out = []
+    for x in left:
+        for y in right:
+            least = max(0.0, between[x.cell, y.cell] - x.radius - y.radius - 1e-6)
+            bound = np.cos(min(least, np.pi)) * x.norm * y.norm
+            if bound + 1e-9 >= threshold or (bound < 0 and threshold <= 0):
+                out.append((x.cell, y.cell, x.blocks, y.blocks))
+    return out
 
 
-def _settle(heads: np.ndarray, taken: np.ndarray, threshold: float) -> list[int]:
-    """First-wins within one batch, given which heads are already spoken for."""
-    kept: list[int] = []
-    for i in range(len(heads)):
-        if taken[i]:
-            continue
-        if kept and (heads[kept] @ heads[i] >= threshold).any():
-            continue
-        kept.append(i)
-    return kept
+def _near(left: DataFrame, right: DataFrame, pivots: np.ndarray, threshold: float, earlier: bool) -> DataFrame:
+    """`id` of the placed rows on the left that a placed row on the right resembles; with `earlier` only one with a smaller id counts."""
+    spark = left.sparkSession
+    key = left.schema["id"].dataType.simpleString()
+    meetings = _meetings(_cells(left), _cells(right), pivots, threshold)
+    if not meetings:
+        return spark.createDataFrame([], f"id {key}")
+    table = F.broadcast(spark.createDataFrame(meetings, "lc int, rc int, lb int, rb int"))  # pairs of pivots
+
+    def side(rows: DataFrame, mine: str, other: str, number: int) -> DataFrame:
+        met = rows.join(table, F.col("cell") == F.col(f"{mine}c")).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col(f"{other}b") - 1)))
+        blocks = {mine: F.col("block"), other: F.col("_other")}
+        return met.select("lc", "rc", blocks["l"].alias("li"), blocks["r"].alias("ri"), F.lit(number).alias("side"), "id", "embedding")
+
+    group = ["lc", "rc", "li", "ri"]
+    rows = side(left, "l", "r", 0).unionByName(side(right, "r", "l", 1)).repartition(*group).sortWithinPartitions(*group)
+
+    def told(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(parts)
+        mine = np.asarray(table["side"]) == 0
+        vectors, ids = _matrix(table["embedding"]), table["id"].to_pylist()
+        asked, answers = np.flatnonzero(mine), np.flatnonzero(~mine)
+        rank = np.unique(np.asarray(ids), return_inverse=True)[1]  # a row on both sides has one rank
+        found = np.zeros(len(asked), bool)
+        for k in range(0, len(asked), 1024):
+            some = asked[k : k + 1024]
+            near = _products(vectors[some], vectors[answers]) >= threshold
+            if earlier:
+                near &= rank[answers][None, :] < rank[some][:, None]
+            found[k : k + 1024] = near.any(axis=1)
+        return pa.RecordBatch.from_arrays([table["id"].combine_chunks().take(pa.array(asked[found]))], names=["id"])
+
+    def run(batches):
+        waiting, now = [], None
+        for batch in batches:
+            keys = np.stack([np.asarray(batch.column(k)) for k in range(4)], axis=1)
+            first = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
+            for a, b in zip((0, *first), (*first, len(keys))):
+                if a == b:
+                    continue
+                if waiting and tuple(keys[a]) != now:
+                    yield told(waiting)
+                    waiting = []
+                now = tuple(keys[a])
+                waiting.append(batch.slice(a, b - a))
+        if waiting:
+            yield told(waiting)
+
+    return rows.mapInArrow(run, f"id {key}").distinct()
 
 
 def keep_first_wins(
@@ -113,27 +166,22 @@ def keep_first_wins(
     rest = incoming.filter(~comparable)
     # Exact copies collapse first: only the earliest of them can survive.
     waiting = first_of_each(incoming.filter(comparable).select(order, "embedding"), ["embedding"], order)
-    waiting = stored(waiting.select(order, "embedding"))
-    seen = known.filter("embedding is not null") if known is not None else None
-    chosen: DataFrame | None = None
-    while True:
-        # At most `batch` rows reach the driver, whatever the table holds.
-        rows = waiting.orderBy(order).limit(batch).toArrow()
-        if rows.num_rows == 0:
-            break
-        heads = _matrix(rows.column("embedding"))
-        taken = np.zeros(len(heads), dtype=bool)
-        if seen is not None:
-            taken[[r.head for r in heads_seen(seen, heads, threshold).collect()]] = True
-        kept = _settle(heads, taken, threshold)
-        picked = incoming.sparkSession.createDataFrame(rows.select([order]).take(pa.array(kept, pa.int64())))
-        chosen = picked if chosen is None else chosen.unionByName(picked)
-        last = rows.column(order)[-1].as_py()
-        later = waiting.filter(F.col(order) > F.lit(last))
-        waiting = stored(_without(later, heads[kept], threshold) if kept else later)
-    if chosen is None:
+    waiting = stored(waiting.select(F.col(order).alias("id"), "embedding"))
+    pivots = _matrix(waiting.orderBy(F.xxhash64("id")).limit(PIVOTS).toArrow().column("embedding"))
+    if not len(pivots):
         return rest
-    return incoming.join(chosen, order, "left_semi").select(*incoming.columns).unionByName(rest)
+    left = _placed(waiting, pivots, batch)
+    if known is not None:
+        seen = _placed(known.filter("embedding is not null").select(F.lit(0).alias("id"), "embedding").withColumn("id", F.monotonically_increasing_id()), pivots, batch)
+        left = stored(left.join(_near(left, seen, pivots, threshold, False), "id", "left_anti"))
+    chosen = waiting.select("id").limit(0)
+    while not left.isEmpty():
+        held = stored(_near(left, left, pivots, threshold, True))
+        fresh = stored(left.join(held, "id", "left_anti"))
+        chosen = chosen.unionByName(fresh.select("id"))
+        undecided = stored(left.join(held, "id", "left_semi"))
+        left = stored(undecided.join(_near(undecided, fresh, pivots, threshold, False), "id", "left_anti"))
+    return incoming.join(chosen.withColumnRenamed("id", order), order, "left_semi").select(*incoming.columns).unionByName(rest)
 
 
 def nearest_known(

@@ -255,12 +255,68 @@ def proposals_new(spark, path):
     return out.select("id", "session_id")
 
 
-@query()
+def _first_wins(threshold: float) -> str:
+    """The walk itself over `fresh` (id, e), with `mine` (e) known: a list of kept ids goes along, and each row asks its earlier likes."""
+    alike = f"list_dot_product(x.e, y.e) >= {threshold}"
+    return f"""
+        stays AS (SELECT id FROM fresh WHERE e IS NULL OR list_dot_product(e, e) < {threshold}),
+        asked AS (SELECT id, e, row_number() OVER (ORDER BY id) AS n FROM fresh x WHERE id NOT IN (FROM stays) AND NOT EXISTS (SELECT 1 FROM mine y WHERE {alike})),
+        likes AS (SELECT x.n, list(y.id) AS earlier FROM asked x JOIN asked y ON y.n < x.n AND {alike} GROUP BY x.n),
+        walk(n, kept) AS (
+            SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[])
+            UNION ALL SELECT a.n, CASE WHEN list_has_any(kept, coalesce(earlier, [])) THEN kept ELSE list_append(kept, id) END
+            FROM walk JOIN asked a ON a.n = walk.n + 1 LEFT JOIN likes l ON l.n = a.n),
+        chosen AS (SELECT unnest(kept) AS id FROM walk WHERE n = (SELECT max(n) FROM walk) UNION ALL FROM stays)"""
+
+
+@query(
+    "vectors",
+    f"""RECURSIVE , fresh AS (SELECT id, CAST(embedding AS DOUBLE[]) AS e FROM vectors), mine AS (SELECT e FROM fresh WHERE false), {_first_wins(0.35)}
+        SELECT id, label FROM vectors WHERE id IN (FROM chosen)""",
+)
 def vectors_first_wins(spark, path):
-    """Vectors resembling no earlier kept one; sequential by nature, so checked by brute force in the tests."""
+    """Vectors resembling no earlier kept one."""
     return keep_first_wins(v.vectors(spark, path), None, 0.35).select("id", "label")
 
 
+def _embedded(rows, spark, path):
+    """Texts with the vectors of their ids; those beyond the vectors have none."""
+    return rows.join(v.vectors(spark, path).select("id", "embedding"), "id", "left")
+
+
+_ALIKE = 0.3  # the vectors of the tables are further apart than those of texts
+
+
+@query(
+    "facts vectors",
+    f"""RECURSIVE , live AS (SELECT f.id, kind, {_FLAT.format('content')} AS flat, CAST(embedding AS DOUBLE[]) AS e
+                 FROM facts f LEFT JOIN vectors v ON v.id = f.id WHERE superseded_by IS NULL),
+        mine AS (SELECT flat, e FROM live WHERE kind = 'en'),
+        fresh AS (SELECT id, e FROM live WHERE id IN (SELECT min(id) FROM live WHERE kind <> 'en' AND flat NOT IN (SELECT flat FROM mine) GROUP BY flat)), {_first_wins(_ALIKE)}
+        SELECT id FROM chosen""",
+)
+def facts_merge_vectors(spark, path):
+    """The facts in other languages merged into a store of the English ones, by text and by meaning."""
+    facts = _embedded(v.facts(spark, path), spark, path)
+    return memory.merge_facts(facts.filter("kind = 'en'"), facts.filter("kind <> 'en'"), _ALIKE).select("id")
+
+
+@query(
+    "pending facts vectors",
+    f"""RECURSIVE , waiting AS (SELECT p.id, p.session_id, p.state, {_FLAT.format('content')} AS flat, CAST(embedding AS DOUBLE[]) AS e
+                 FROM pending p LEFT JOIN vectors v ON v.id = p.id // 1000 * 7 + p.id % 7),
+        live AS (SELECT {_FLAT.format('content')} AS flat, CAST(embedding AS DOUBLE[]) AS e FROM facts f LEFT JOIN vectors v ON v.id = f.id WHERE superseded_by IS NULL),
+        mine AS (SELECT flat, e FROM live UNION ALL SELECT flat, e FROM waiting WHERE state = 'pending'),
+        fresh AS (SELECT id, e FROM waiting WHERE id IN (SELECT min(id) FROM waiting WHERE flat NOT IN (SELECT flat FROM mine) GROUP BY flat)), {_first_wins(_ALIKE)}
+        SELECT id, session_id FROM waiting WHERE id IN (FROM chosen)""",
+)
+def proposals_vectors(spark, path):
+    """Proposals that neither a waiting one nor a fact says already, by text and by meaning."""
+    vector = v.vectors(spark, path).select(F.col("id").alias("_v"), "embedding")
+    waiting = v.pending(spark, path).withColumn("_v", F.expr("id div 1000 * 7 + id % 7")).join(vector, "_v", "left").drop("_v")
+    return memory.new_proposals(waiting, waiting, _embedded(v.facts(spark, path), spark, path), _ALIKE).select("id", "session_id")
+
+
 @query(
     "facts",
     r"""SELECT id, regexp_replace(content,
