@@ -51,6 +51,10 @@ def matched_postings(docs: DataFrame, asked: DataFrame, key: str, fields: list[s
     )
 
 
+# Weights of asked terms that are sent to every task: some megabytes. More are joined by term.
+SENT_WEIGHTS = 100_000
+
+
 def bm25(docs: DataFrame, questions: DataFrame, key: str, fields: list[str]) -> DataFrame:
     """(qid, key, score) for every document sharing a word with a question.
 
@@ -73,6 +77,10 @@ def _scores(docs: DataFrame, asked: DataFrame, key: str, fields: list[str]) -> D
         .join(asked, "term")
         .select("qid", "term", "_t", (F.col("qtf") * F.greatest(idf, F.lit(fixed.BM25_MIN_IDF))).alias("_weight"))
     )
+    # A document's postings stand in one task, and where the weights come to it its scores are summed and ranked there:
+    # no (question, document) pair is shuffled.
+    if asked.count() <= SENT_WEIGHTS:
+        weights, hits = F.broadcast(weights), hits.repartition(key)
     k1, b = fixed.BM25_K1, fixed.BM25_B
     saturated = (F.col("tf") * (k1 + 1)) / (F.col("tf") + k1 * (1 - b + b * F.col("doc_len") / F.col("_t.mean_len")))
     return (

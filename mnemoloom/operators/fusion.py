@@ -37,6 +37,62 @@ def reciprocal_rank(
     )
 
 
+def _counted_ranks(scored: DataFrame, key: str, asked: list) -> dict:
+    """Ranks of a few rows (score, key) of a list: each row of the list says how many of them stand before it, and these are counted."""
+    if not asked:
+        return {}
+    best_first = sorted(asked, key=lambda r: (-r[0], r[1]))
+    kind = scored.schema[key].dataType.simpleString()
+    given = scored.sparkSession.createDataFrame([(best_first,)], f"_asked array<struct<score:double,key:{kind}>>")
+    before = F.size(F.filter("_asked", lambda c: (c.score > F.col("score")) | ((c.score == F.col("score")) & (c.key < F.col(key)))))
+    # One row with at most as many entries as there are candidates.
+    placed = scored.join(F.broadcast(given.withColumn("_one", F.lit(1))), F.lit(1) == F.col("_one")).groupBy(before.alias("at")).count()
+    counts = {r["at"]: r["count"] for r in placed.collect()}
+    out, rank = {}, 0
+    for at, (_, name) in enumerate(best_first):
+        rank += counts.get(at, 0)
+        out[name] = rank
+    return out
+
+
+def fused_top(semantic: DataFrame | None, lexical: DataFrame, limit: int, key: str = "node_id", k: int = fixed.RRF_K) -> DataFrame:
+    """`reciprocal_rank` of two scored lists (key, score) that nobody has ranked, without sorting either.
+
+    The first rows of both are the candidates; the rank of one in the other list is counted. What was not among the first `m` of
+    either is below the sum of two parts at m + 1, so once the last of the answer is above that, the answer stands; else
+    `m` doubles. Scores must not be NaN.
+    """
+    lists = [(semantic, 1.0), (lexical, 0.7)] if semantic is not None else [(lexical, 1.0)]
+    lists = [(d.select(key, F.col("score").cast("double").alias("score")), w) for d, w in lists]
+    best, m = [F.col("score").desc(), F.col(key)], 2 * limit
+    while True:
+        firsts = [[(r["score"], r[key]) for r in d.orderBy(*best).limit(m).collect()] for d, _ in lists]  # m rows each
+        names = {name for rows in firsts for _, name in rows}
+        parts: dict = {n: [] for n in names}
+        cosine: dict = {}
+        for at, ((d, weight), rows) in enumerate(zip(lists, firsts)):
+            ranks = {name: i + 1 for i, (_, name) in enumerate(rows)}
+            missing = sorted(names - ranks.keys())
+            found = [(r["score"], r[key]) for r in d.join(_keys(d, key, missing), key).collect()] if missing and len(rows) == m else []
+            ranks |= _counted_ranks(d, key, found)
+            for name, rank in ranks.items():
+                parts[name].append(weight / (k + rank))
+            if at == 0 and semantic is not None:
+                cosine = {name: score for score, name in [*rows, *found]}
+        answer = sorted(((sum(p), n) for n, p in parts.items()), key=lambda r: (-r[0], r[1]))[:limit]
+        unseen = sum(w / (k + m + 1) for _, w in lists)
+        if all(len(rows) < m for rows in firsts) or (len(answer) == limit and answer[-1][0] > unseen):
+            break
+        m *= 2
+    kind = lexical.schema[key].dataType.simpleString()
+    return lexical.sparkSession.createDataFrame([(n, s, cosine.get(n)) for s, n in answer], f"{key} {kind}, score double, cosine double")
+
+
+def _keys(df: DataFrame, key: str, names: list) -> DataFrame:
+    kind = df.schema[key].dataType.simpleString()
+    return F.broadcast(df.sparkSession.createDataFrame([(n,) for n in names], f"{key} {kind}"))  # at most the candidates
+
+
 def federated(hits: DataFrame, limit: int, refuse: bool = False) -> DataFrame:
     """Merge hits of several services: scored ones best first, then the rest in their own order.
 

@@ -28,44 +28,45 @@ def semantic_scores(symbols: DataFrame, degrees: DataFrame, asked: Column) -> Da
 def vouched(scored: DataFrame, edges: DataFrame, symbols: DataFrame, seeds: int = 6) -> DataFrame:
     """(node_id, score, rank): semantic order in which each of the best seeds pulls in its best neighbour.
 
-    A seed's choice depends on what earlier seeds placed, so a seed can only ever
-    need as many of its neighbours as there are places: the best `2 * seeds` per
-    seed. That is the only thing brought together, a few dozen rows.
+    With a `qid` in `scored` that is done for every question (qid, node_id, score, rank). A seed's choice depends on what
+    earlier seeds placed, so a seed can only ever need as many of its neighbours as there are places: the best
+    `2 * seeds` per seed. A question's seeds and these are one small array, and the placing is a fold over it.
     """
     from .ordering import dense_index, top_per
 
+    by = [c for c in ("qid",) if c in scored.columns]
     best = [F.col("score").desc(), F.col("node_id")]
-    top = scored.select("node_id", "score").orderBy(*best).limit(seeds)
+    one = scored.select(*by, "node_id", "score") if by else scored.select(F.lit(0).alias("qid"), "node_id", "score")
+    top = top_per(one, ["qid"], best, seeds, "_at")
     both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
     can_call = symbols.filter("callable").select(F.col("node_id").alias("dst"))
     near = (
-        both.join(top.select(F.col("node_id").alias("src")), "src")
+        both.join(top.select("qid", F.col("node_id").alias("src")), "src")
         .distinct()
         .join(can_call, "dst", "left_semi")
-        .join(scored.select(F.col("node_id").alias("dst"), "score"), "dst", "left")
-        .select("src", F.col("dst").alias("node_id"), F.coalesce("score", F.lit(0.0)).alias("score"))
-    )
-    near = top_per(near, ["src"], best, 2 * seeds)
-    order = [r.node_id for r in sorted(top.collect(), key=lambda r: (-r.score, r.node_id))]
-    options: dict = {}
-    for r in sorted(near.collect(), key=lambda r: r.rank):
-        options.setdefault(r.src, []).append(r.node_id)
-    placed: list = []
-    for seed in order:
-        if seed not in placed:
-            placed.append(seed)
-        pick = next((n for n in options.get(seed, []) if n not in placed), None)
-        if pick is not None:
-            placed.append(pick)
-    key_type = scored.schema["node_id"].dataType.simpleString()
-    front = scored.sparkSession.createDataFrame(
-        [(n, i + 1) for i, n in enumerate(placed)], f"node_id {key_type}, place int"
+        .join(one.withColumnRenamed("node_id", "dst"), ["qid", "dst"], "left")
+        .select("qid", "src", F.col("dst").alias("node_id"), F.coalesce("score", F.lit(0.0)).alias("score"))
     )
+    near = top_per(near, ["qid", "src"], best, 2 * seeds)
+    options = near.groupBy("qid", F.col("src").alias("node_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "node_id"))), lambda o: o["node_id"]).alias("options"))
+    rows = top.join(options, ["qid", "node_id"], "left").groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("_at", "node_id", "options"))).alias("seeds"))
+    key = scored.schema["node_id"].dataType.simpleString()
+    none = F.array().cast(f"array<{key}>")
+
+    def place(placed: Column, seed: Column) -> Column:
+        own = F.when(F.array_contains(placed, seed["node_id"]), placed).otherwise(F.concat(placed, F.array(seed["node_id"])))
+        pick = lambda p: F.slice(F.filter(F.coalesce(seed["options"], none), lambda o: ~F.array_contains(p, o)), 1, 1)
+        return F.concat(own, pick(own))
+
+    front = rows.select("qid", F.posexplode(F.aggregate("seeds", none, place)).alias("place", "node_id"))
     # A neighbour without a vector has no semantic score of its own; it ranks with zero.
-    pool = scored.select("node_id", "score").join(front, "node_id", "full").withColumn(
-        "score", F.coalesce("score", F.lit(0.0))
-    )
-    return dense_index(pool, [F.col("place").asc_nulls_last(), *best], "rank").drop("place")
+    pool = one.join(front, ["qid", "node_id"], "full").withColumn("score", F.coalesce("score", F.lit(0.0)))
+    order = [F.col("place").asc_nulls_last(), *best]
+    if by:
+        numbered = dense_index(pool, [F.col("qid"), *order], "_number")
+        first = numbered.groupBy("qid").agg(F.min("_number").alias("_first"))
+        return numbered.join(first, "qid").select("qid", "node_id", "score", (F.col("_number") - F.col("_first") + 1).alias("rank"))
+    return dense_index(pool, order, "rank").drop("place", "qid")
 
 
 def search(

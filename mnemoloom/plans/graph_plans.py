@@ -9,6 +9,7 @@ from ..operators import explore, graph, spans, symbols as sym, traversal
 from ..session import stored
 from ..sources import views as v
 from .registry import query
+from .retrieval_plans import _DEGREES, _SEMANTIC
 
 
 def _graph(spark, path):
@@ -366,9 +367,24 @@ def service_status(spark, path):
     return explore.service_status(services, repos).drop("imported_at")
 
 
-@query()
+_VOUCHED = f"""RECURSIVE , {_DEGREES}, {_SEMANTIC},
+        seeds AS (SELECT node_id, row_number() OVER (ORDER BY score DESC, node_id) AS n FROM sem QUALIFY n <= 6),
+        near AS (SELECT DISTINCT n, b AS node_id, coalesce(score, 0) AS score
+                 FROM seeds JOIN (SELECT src AS a, dst AS b FROM edges UNION ALL SELECT dst, src FROM edges) ON a = seeds.node_id
+                 JOIN symbols s ON s.node_id = b AND s.callable LEFT JOIN sem ON sem.node_id = b),
+        options AS (SELECT n, list(node_id ORDER BY score DESC, node_id) AS o FROM near GROUP BY n),
+        walk(n, placed) AS (
+            SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[])
+            UNION ALL SELECT n, list_concat(own, list_filter(o, lambda x: NOT list_contains(own, x))[1:1]) FROM (
+                SELECT s.n, CASE WHEN list_contains(placed, node_id) THEN placed ELSE list_append(placed, node_id) END AS own, coalesce(o, []) AS o
+                FROM walk w JOIN seeds s ON s.n = w.n + 1 LEFT JOIN options p ON p.n = s.n)),
+        front AS (SELECT unnest(placed) AS node_id, unnest(range(len(placed))) AS place FROM walk WHERE n = (SELECT max(n) FROM walk))
+        SELECT node_id, row_number() OVER (ORDER BY place NULLS LAST, coalesce(score, 0) DESC, node_id) AS rank FROM sem FULL JOIN front USING (node_id)"""
+
+
+@query("symbols edges vectors", _VOUCHED)
 def symbol_vouched(spark, path):
-    """Semantic order with neighbours vouched for; sequential, so checked on a fixture."""
+    """Semantic order with neighbours vouched for."""
     from .retrieval_plans import _semantic
 
     symbols, edges = _graph(spark, path)

@@ -8,7 +8,7 @@ from ..functions import text as tx
 from ..functions import vectors as vx
 from ..operators import evaluate, fulltext, fusion, lexical, memory, recall
 from ..operators.ordering import top_per
-from ..session import spread
+from ..session import spread, stored
 from ..sources import views as v
 from .dialect import sql_bm25, sql_index_tokens, sql_keyword_terms, sql_stem, sql_tokens, sql_words
 from .registry import query
@@ -277,9 +277,7 @@ def rrf_fusion(spark, path):
     """Symbols for one question: semantic and lexical lists merged by position."""
     asked = _asked(spark).filter("qid = 0")
     words = lexical.with_reach(lexical.with_guesses(v.symbols(spark, path), asked), _degrees(spark, path))
-    fused = fusion.reciprocal_rank(
-        fusion.ranked(_semantic(spark, path)), fusion.ranked(words.select("node_id", "score")), 20
-    )
+    fused = fusion.fused_top(stored(_semantic(spark, path)), stored(words.select("node_id", "score")), 20)
     return fused.select("node_id", F.round("score", 6).alias("score"), F.round("cosine", 6).alias("cosine"))
 
 
