@@ -17,6 +17,10 @@ from .session import tune
 from .sources import schemas, snapshots
 
 
+# Tables that are asked for one repository at a time lie apart by it.
+PARTITIONS = {"symbols": "repo", "edges": "repo"}
+
+
 class Store:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = tune(spark), root.rstrip("/")
@@ -29,9 +33,14 @@ class Store:
             return self.spark.createDataFrame([], getattr(schemas, name.upper()))
         return snapshots.current(self.spark, f"{self.root}/{name}")
 
-    def publish(self, name: str, df: DataFrame) -> None:
+    def publish(self, name: str, df: DataFrame) -> int:
         """Make `df` the table: readers see the old snapshot until the new one is complete."""
-        snapshots.publish(df, f"{self.root}/{name}")
+        return snapshots.publish(df, f"{self.root}/{name}", partition_by=PARTITIONS.get(name))
+
+    def update(self, name: str, change: Callable[[DataFrame], DataFrame]) -> int:
+        """Publish what `change` makes of the table. If another writer comes first, its table is what is changed."""
+        empty = lambda df: self.spark.createDataFrame([], getattr(schemas, name.upper())) if df is None else df
+        return snapshots.update(self.spark, f"{self.root}/{name}", lambda df: change(empty(df)), PARTITIONS.get(name))
 
     # Memory ---------------------------------------------------------------
     def memory_recall(self, query: str, vec: list[float] | None = None, limit: int = 8, budget: int = 6000, include_raw: bool = False, include_superseded: bool = False) -> DataFrame:
@@ -47,21 +56,24 @@ class Store:
         return recall.lines(facts, scenarios, turns).join(keys, "key").select("position", "key", "line").orderBy("position")
 
     def memory_save_fact(self, new: DataFrame, paths: DataFrame) -> None:
-        self.publish("facts", verify.save_facts(self.read("facts"), new, paths))
+        self.update("facts", lambda facts: verify.save_facts(facts, new, paths))
 
     def memory_supersede(self, new_id: int, old_ids: list[int]) -> None:
         old = self.spark.createDataFrame([(i,) for i in old_ids], "id bigint")
-        self.publish("facts", memory.supersede(self.read("facts"), new_id, old))
+        self.update("facts", lambda facts: memory.supersede(facts, new_id, old))
 
     def memory_log(self, turns: DataFrame) -> None:
-        self.publish("turns", self.read("turns").unionByName(memory.capture(turns), allowMissingColumns=True))
+        self.update("turns", lambda have: have.unionByName(memory.capture(turns), allowMissingColumns=True))
 
     def memory_context_write(self, writes: DataFrame) -> None:
         """Upsert scenarios (path, content, summary); a path written again goes up one version."""
-        have = self.read("scenarios")
-        fresh = writes.join(have.select("path", F.col("version").alias("_v")), "path", "left")
-        fresh = fresh.withColumn("version", F.coalesce(F.col("_v") + 1, F.lit(1))).drop("_v").withColumn("updated_at", F.current_timestamp())
-        self.publish("scenarios", have.join(writes.select("path"), "path", "left_anti").unionByName(fresh, allowMissingColumns=True))
+
+        def written(have: DataFrame) -> DataFrame:
+            fresh = writes.join(have.select("path", F.col("version").alias("_v")), "path", "left")
+            fresh = fresh.withColumn("version", F.coalesce(F.col("_v") + 1, F.lit(1))).drop("_v").withColumn("updated_at", F.current_timestamp())
+            return have.join(writes.select("path"), "path", "left_anti").unionByName(fresh, allowMissingColumns=True)
+
+        self.update("scenarios", written)
 
     def memory_context_read(self, path: str) -> DataFrame:
         return self.read("scenarios").filter(F.col("path") == path)
@@ -70,10 +82,10 @@ class Store:
         return memory.list_prefix(self.read("scenarios"), prefix).select("path", "summary", F.to_date("updated_at").alias("updated"))
 
     def memory_verify(self, paths: DataFrame) -> None:
-        self.publish("facts", verify.reverify(self.read("facts"), paths))
+        self.update("facts", lambda facts: verify.reverify(facts, paths))
 
     def memory_prune(self, now: str, days: int = 30, max_rows: int = 5000) -> None:
-        self.publish("turns", memory.prune(self.read("turns"), F.lit(now).cast("timestamp"), days, max_rows))
+        self.update("turns", lambda turns: memory.prune(turns, F.lit(now).cast("timestamp"), days, max_rows))
 
     def stats(self) -> DataFrame:
         return usage.report(self.read("usage"))
@@ -88,9 +100,8 @@ class Store:
 
     def task_note(self, events: DataFrame) -> None:
         """Append events (task_id, at, kind, detail); tasks follow their latest event."""
-        log = tasks.add_event(self.read("task_events"), events)
-        self.publish("task_events", log)
-        self.publish("tasks", tasks.touched(self.read("tasks"), self.read("task_events")))
+        self.update("task_events", lambda log: tasks.add_event(log, events))
+        self.update("tasks", lambda have: tasks.touched(have, self.read("task_events")))
 
     # Code -----------------------------------------------------------------
     def code_context(self, repo: str, task: str, source_lines: DataFrame, vec: list[float] | None = None, limit: int = 5, lines: int = 14, expander: Callable | None = None, reranker: Callable | None = None) -> DataFrame:

@@ -1,7 +1,8 @@
 """Writing tables: appends, per-project replacement, snapshots and transfer bundles.
 
 Everything is parquet. A replacement is written beside what it replaces and becomes
-current by moving one small pointer, so a reader sees the old table or the new one.
+current by claiming the next version number, so a reader sees the old table or the new one
+and of two writers that started from one version the second is told.
 """
 
 from __future__ import annotations
@@ -9,9 +10,11 @@ from __future__ import annotations
 import json
 import time
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators.memory import merge_facts
 
@@ -48,25 +51,87 @@ def _fs(spark: SparkSession, path: str):
     return hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
 
 
-def publish(df: DataFrame, root: str) -> str:
-    """Write a new snapshot below `root`, then make it current."""
-    spark = df.sparkSession
-    name = f"snapshot-{int(time.time() * 1000)}-{uuid.uuid4().hex[:8]}"
-    df.write.parquet(f"{root}/{name}")
-    # A pointer is a one-line text folder; the newest complete one is current.
-    pointer = spark.createDataFrame([(name,)], "value string").coalesce(1)
-    pointer.write.text(f"{root}/_pointers/{name}")
-    return name
+class Conflict(RuntimeError):
+    """Somebody else has published since the version that an update was made from."""
+
+
+def _pointer(version: int) -> str:
+    return f"v{version:012d}"
+
+
+def version(spark: SparkSession, root: str) -> int:
+    """Number of the current snapshot; 0 before the first."""
+    fs, path_of = _fs(spark, root)
+    folder = path_of(f"{root}/_versions")
+    if not fs.exists(folder):
+        return 0
+    names = [f.getPath().getName() for f in fs.listStatus(folder)]
+    return max((int(n[1:]) for n in names if n.startswith("v")), default=0)
 
 
-def current(spark: SparkSession, root: str) -> DataFrame:
-    """The latest published snapshot."""
+def _claim(spark: SparkSession, root: str, number: int, text: str) -> bool:
+    """Make `text` the pointer of a version, unless there is one. A rename that does not overwrite decides between writers."""
+    jvm = spark.sparkContext._jvm
     fs, path_of = _fs(spark, root)
-    names = [
-        s.getPath().getName() for s in fs.listStatus(path_of(f"{root}/_pointers"))
-        if fs.exists(path_of(f"{root}/_pointers/{s.getPath().getName()}/_SUCCESS"))
-    ]
-    return spark.read.parquet(f"{root}/{max(names)}")
+    draft, final = path_of(f"{root}/_versions/.draft-{uuid.uuid4().hex}"), path_of(f"{root}/_versions/{_pointer(number)}")
+    out = fs.create(draft, False)
+    out.write(bytearray(text.encode()))
+    out.close()
+    files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    try:
+        files.rename(draft, final, spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0))
+        return True
+    except Exception as e:  # py4j wraps what the file system throws
+        if not fs.exists(final):
+            raise
+        fs.delete(draft, False)
+        if "Exists" not in str(e) and "exists" not in str(e):
+            raise
+        return False
+
+
+def publish(df: DataFrame, root: str, expected: int | None = None, partition_by: str | None = None) -> int:
+    """Write a new snapshot below `root`, make it current and return its version.
+
+    With `expected`, the version that `df` was made from, a snapshot published in between is a `Conflict` and nothing
+    changes; without, this one comes after whatever is current. `partition_by` lays the files out by a column, so
+    that a filter on it reads only its part.
+    """
+    spark = df.sparkSession
+    name = f"snapshot-{int(time.time() * 1000)}-{uuid.uuid4().hex[:8]}"
+    writer = df.write.partitionBy(partition_by) if partition_by else df.write
+    writer.parquet(f"{root}/{name}")
+    text = json.dumps({"name": name, "schema": df.schema.jsonValue()})
+    while True:
+        base = version(spark, root) if expected is None else expected
+        if _claim(spark, root, base + 1, text):
+            return base + 1
+        if expected is not None:
+            raise Conflict(f"{root}: version {expected} is no longer current")
+
+
+def current(spark: SparkSession, root: str, number: int | None = None) -> DataFrame:
+    """The latest published snapshot, or that of a version."""
+    fs, path_of = _fs(spark, root)
+    at = path_of(f"{root}/_versions/{_pointer(number or version(spark, root))}")
+    stream = fs.open(at)
+    try:
+        pointer = json.loads(bytes(stream.readAllBytes()).decode())
+    finally:
+        stream.close()
+    schema = T.StructType.fromJson(pointer["schema"])
+    return spark.read.schema(schema).parquet(f"{root}/{pointer['name']}").select(schema.names)
+
+
+def update(spark: SparkSession, root: str, change: Callable[[DataFrame | None], DataFrame], partition_by: str | None = None, tries: int = 8) -> int:
+    """Publish what `change` makes of the current snapshot (none before the first), again from the new one if somebody else was faster."""
+    for _ in range(tries):
+        base = version(spark, root)
+        try:
+            return publish(change(current(spark, root, base) if base else None), root, base, partition_by)
+        except Conflict:
+            continue
+    raise Conflict(f"{root}: gave up after {tries} tries")
 
 
 # Graph import ---------------------------------------------------------------
