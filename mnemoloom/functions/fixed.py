@@ -201,3 +201,44 @@ PROPOSALS, PROPOSAL_LEAST = 4, 16
 # ---------------------------------------------------------------------------
 # Fixed value: what an agent says when nobody is signed in (Java regex).
 NEEDS_SIGN_IN = r"(?i)failed to authenticate|oauth (?:token|session)|not logged in|please run .?claude login|invalid api key|authentication_error"
+
+# The field of a tool's input that says what a call is doing, the fields that are paths, the tool whose place is
+# told as well, and what is said when an agent stops.
+TOOL_FIELDS = {
+    "Bash": "command", "Read": "file_path", "Write": "file_path", "Edit": "file_path", "Glob": "pattern", "Grep": "pattern",
+    "Task": "description", "Skill": "skill",
+}
+TOOL_PATHS = ("file_path",)
+TOOL_PLACED, TOOL_PLACE = "Grep", "path"
+STOPPED = "The agent stopped: "
+
+# What is decided about a work stream and the sentence that says why, by circumstance, first match first.
+STREAM_RULES = (
+    ("gone", "forget", "worktree directory is gone"),
+    ("dirty", "keep", "uncommitted changes — never auto-removed"),
+    ("pinned", "keep", "pinned (persistent worktree)"),
+    ("empty", "remove", "nothing has been committed to it"),
+    ("merged", "remove", "merged into {base}"),
+    ("evaluated", "remove", "marked done {day}"),
+    ("reclaimable", "builds", "no commits in {age}d, {unmerged} unmerged commit(s) kept"),
+    ("old", "keep", "stale ({age}d) but nothing to reclaim"),
+    ("any", "keep", "active"),
+)
+STREAM_NOTHING = "builds-only: nothing to reclaim"
+
+# Lines of source that import, declare or take a name; what stands before, between and behind the name.
+IMPORTS = r"(?:import\s*\{|=\s*require\()"
+DECLARES = r"\b(?:const|let|var|function|class)\s"
+TAKES = r"=>|function"
+RENAMED = (r"\b", r"\s+as\s+(\w+)|\b", r"\s*:\s*(\w+)")
+CALLED_BARE = (r"(^|[^.\w$])(?:", r")\s*\(")
+CALLED_MEMBER = (r"[\w$)\]]\s*\.\s*(?:", r")\s*\(")
+DECLARED = (r"\b(?:const|let|var|function|class)\s+", r"\b")
+TAKEN = (r"\(\s*(?:\w+\s*,\s*)*", r"\s*(?:,\s*\w+\s*)*\)\s*=>|function\s*\w*\s*\([^)]*\b", r"\b")
+
+# How a document states its status, and a skill its description.
+STATUS_LINE = r"(?m)^\s*(?:status|Status)\s*[:=]\s*[\"']?([A-Za-z][\w \-]{0,24})"
+STATUS_BOLD = r"\*\*Status:?\*\*\s*:?\s*([A-Za-z][\w \-]{0,24})"
+STATUS_HEAD, SKILL_HEAD, SKILL_LENGTH = 1500, 4000, 400
+FRONT_MATTER = r"^---\r?\n([\s\S]*?)\r?\n---"
+FRONT_DESCRIPTION = r"(?m)^description:\s*(.*(?:\r?\n(?![a-zA-Z_-]+:)[^\r\n]*)*)"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -79,41 +81,37 @@ def routing_enabled(env: str | None, saved: dict | None) -> bool:
     return bool(isinstance(saved, dict) and saved.get("enabled") is True)
 
 
+def _sentence(template: str, parts: dict[str, Column]) -> Column:
+    """A sentence with its gaps filled; what follows a part that is empty is trimmed."""
+    pieces = [parts[p] if k % 2 else F.lit(p) for k, p in enumerate(re.split(r"\{(\w+)\}", template)) if p]
+    return F.trim(F.concat(*pieces))
+
+
 def stream_verdict(max_age_days: int = 14, builds_only: bool = False) -> Column:
     """struct(action, why) for a work stream with columns exists, dirty, pinned, merged, untouched,
-    evaluated, evaluated_at, age_days, build_bytes, unmerged_commits, base."""
+    evaluated, evaluated_at, age_days, build_bytes, unmerged_commits, base.
 
-    def verdict(action: str, why: Column | str) -> Column:
-        return F.struct(F.lit(action).alias("action"), (F.lit(why) if isinstance(why, str) else why).alias("why"))
-
-    age = F.col("age_days").cast("string")
+    With `builds_only` a removal becomes the freeing of build output, or nothing.
+    """
     old = F.coalesce(F.col("age_days") >= max_age_days, F.lit(False))
-    decided = (
-        F.when(~F.col("exists"), verdict("forget", "worktree directory is gone"))
-        .when(F.col("dirty"), verdict("keep", "uncommitted changes — never auto-removed"))
-        .when(F.col("pinned"), verdict("keep", "pinned (persistent worktree)"))
-        .when(F.col("merged") & F.col("untouched"), verdict("remove", "nothing has been committed to it"))
-        .when(F.col("merged"), verdict("remove", F.concat(F.lit("merged into "), "base")))
-        .when(
-            F.col("evaluated"),
-            verdict("remove", F.trim(F.concat(F.lit("marked done "), F.substring(F.coalesce("evaluated_at", F.lit("")), 1, 10)))),
-        )
-        .when(
-            old & (F.col("build_bytes") > 0),
-            verdict("builds", F.concat(F.lit("no commits in "), age, F.lit("d, "), F.col("unmerged_commits").cast("string"), F.lit(" unmerged commit(s) kept"))),
-        )
-        .when(old, verdict("keep", F.concat(F.lit("stale ("), age, F.lit("d) but nothing to reclaim"))))
-        .otherwise(verdict("keep", "active"))
-    )
-    if not builds_only:
-        return decided
-    # Only build output is freed: a removal becomes that, or nothing.
-    return F.when(
-        decided["action"] == "remove",
-        F.when(F.col("build_bytes") > 0, F.struct(F.lit("builds").alias("action"), decided["why"].alias("why"))).otherwise(
-            verdict("keep", "builds-only: nothing to reclaim")
-        ),
-    ).otherwise(decided)
+    built = F.col("build_bytes") > 0
+    met = {
+        "gone": ~F.col("exists"), "dirty": F.col("dirty"), "pinned": F.col("pinned"), "empty": F.col("merged") & F.col("untouched"), "merged": F.col("merged"),
+        "evaluated": F.col("evaluated"), "reclaimable": old & built, "old": old, "any": F.lit(True),
+    }
+    parts = {
+        "base": F.col("base"), "day": F.substring(F.coalesce("evaluated_at", F.lit("")), 1, 10), "age": F.col("age_days").cast("string"),
+        "unmerged": F.col("unmerged_commits").cast("string"),
+    }
+    verdict = lambda action, why: F.struct(F.lit(action).alias("action"), why.alias("why"))
+    out = None
+    for name, action, template in reversed(fixed.STREAM_RULES):
+        why = _sentence(template, parts)
+        told = verdict(action, why)
+        if builds_only and action == "remove":
+            told = F.when(built, verdict("builds", why)).otherwise(verdict("keep", F.lit(fixed.STREAM_NOTHING)))
+        out = told if out is None else F.when(met[name], told).otherwise(out)
+    return out
 
 
 def dirty_streams(status: DataFrame, build_dir: str = fixed.BUILD_DIR) -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import fixed
 from ..functions import text as tx
 from ..operators import memory
 
@@ -42,16 +43,14 @@ def input_summary(name: Column, payload: Column) -> Column:
     """What a tool call is doing, in one line."""
     field = lambda k: F.coalesce(F.get_json_object(payload, f"$.{k}"), F.lit(""))
     slashed = lambda c: F.translate(c, "\\", "/")
-    where = F.when(field("path") != "", F.concat(F.lit(" in "), slashed(field("path")))).otherwise("")
-    return (
-        F.when(name == "Bash", field("command"))
-        .when(name.isin("Read", "Write", "Edit"), slashed(field("file_path")))
-        .when(name == "Glob", field("pattern"))
-        .when(name == "Grep", F.concat(field("pattern"), where))
-        .when(name == "Task", field("description"))
-        .when(name == "Skill", field("skill"))
-        .otherwise(tx.ellipsis(F.coalesce(payload, F.lit("")), 200))
-    )
+    out = tx.ellipsis(F.coalesce(payload, F.lit("")), 200)
+    for tool, key in fixed.TOOL_FIELDS.items():
+        told = slashed(field(key)) if key in fixed.TOOL_PATHS else field(key)
+        if tool == fixed.TOOL_PLACED:
+            place = field(fixed.TOOL_PLACE)
+            told = F.concat(told, F.when(place != "", F.concat(F.lit(" in "), slashed(place))).otherwise(""))
+        out = F.when(name == tool, told).otherwise(out)
+    return out
 
 
 def _result_text(content: Column) -> Column:
@@ -90,7 +89,7 @@ def turns(events: DataFrame, session: str = "session") -> DataFrame:
     notice = F.array(
         F.struct(
             F.lit("notice").alias("role"), empty.alias("call_id"), empty.alias("name"),
-            F.concat(F.lit("The agent stopped: "), F.col("_sub")).alias("text"), F.lit(False).alias("failed"),
+            F.concat(F.lit(fixed.STOPPED), F.col("_sub")).alias("text"), F.lit(False).alias("failed"),
         )
     )
     rows = F.when(stopped, notice).otherwise(blocks)
