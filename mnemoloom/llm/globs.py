@@ -76,7 +76,8 @@ class Automaton:
                 if states[-1][1] is not always:
                     states[-1][1] = inside
             elif data[i : i + 1] == b"?":
-                states.append([inside, never])
+                # One character: its first byte, and those that continue it.
+                states.append([lambda b: b != 0x2F and not 0x80 <= b < 0xC0, lambda b: 0x80 <= b < 0xC0])
             else:
                 states.append([lambda b, c=data[i]: b == c, never])
             i += 1
