@@ -103,6 +103,16 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that `stored` wrote and nothing will read again."""
+    for df in tables:
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if not folder.rsplit("/", 1)[1].startswith("stored-"):
+                raise ValueError(f"{folder} was not written by stored()")
+            path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 # Inputs beyond this size are spread well enough by their own splits, however many cores there are.
 SMALL_BYTES = 4 << 30
 BYTES_PER_CORE = 16 << 20
