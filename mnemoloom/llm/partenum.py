@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..session import stored
+from ..session import discard, stored
 from .common import SLICE_BYTES, derive, slices, utf8, word_spans
 from .components import components
 
@@ -447,11 +447,14 @@ def _placed_rows(docs: DataFrame, key: str, text: str, n_words: int, num: int, d
     best = best.join(about.select(F.col("cls").alias("a"), F.col("set").alias("x")), "a").join(about.select(F.col("cls").alias("b"), F.col("set").alias("y")), "b")
     first = check(best.filter(_may_be_similar("x", "y", num, den)).select("a", "b"), texts, n_words, num, den)
     found = stored(components(first))
+    discard(shared)
 
     # Then, under every signature that several components share, one set of each with one that stands for all;
     # after some such rounds whatever is left, pair by pair.
     for turn in range(STAR_ROUNDS + 1):
-        left = stored(_apart(members, found).join(about, "cls"))
+        placed = stored(_placed(members, found))  # read twice
+        left = stored(_apart(placed).join(about, "cls"))
+        discard(placed)
         if turn < STAR_ROUNDS:
             draw = F.xxhash64("cls", F.lit(turn))
             x = left.groupBy("sig").agg(F.min_by(F.struct("set", "component"), draw).alias("lead")).select("sig", "lead.*")
@@ -463,11 +466,14 @@ def _placed_rows(docs: DataFrame, key: str, text: str, n_words: int, num: int, d
         near = _may_be_similar("x.set", "y.set", num, den)
         pairs = x.alias("x").join(y.alias("y"), (F.col("x.sig") == F.col("y.sig")) & (F.col("x.component") != F.col("y.component")) & order & near)
         pairs = stored(pairs.select(F.col("x.set.cls").alias("a"), F.col("y.set.cls").alias("b")).distinct())
+        discard(left)
         new = stored(check(pairs, texts, n_words, num, den))
+        discard(pairs)
         if new.isEmpty():
             continue  # nothing has moved
         found = stored(components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(new)))
 
+    discard(members, *([] if links else [texts]))
     small = found.withColumnRenamed("node", "cls").join(classes, "cls").groupBy("component").agg(F.min("rep").alias("component_id"))
     of_class = found.withColumnRenamed("node", "cls").join(small, "component").select("cls", "component_id", "component")
     known = classes.join(of_class, "cls", "left").select("cls", F.coalesce("component_id", "rep").alias("component_id"), F.coalesce("component", "cls").alias("component"), "copies")
@@ -496,9 +502,13 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", n_words:
     return one.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
-def _apart(members: DataFrame, found: DataFrame) -> DataFrame:
-    """`sig`, `cls`, `component` of the members of every signature that more than one component shares."""
-    placed = members.join(found.select(F.col("node").alias("cls"), "component"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-    placed = stored(placed)  # read twice
+def _placed(members: DataFrame, found: DataFrame) -> DataFrame:
+    """`sig`, `cls`, `component` of every member of a signature; a set that is in no component is its own."""
+    placed = members.join(found.select(F.col("node").alias("cls"), "component"), "cls", "left")
+    return placed.withColumn("component", F.coalesce("component", "cls"))
+
+
+def _apart(placed: DataFrame) -> DataFrame:
+    """Those of the members of signatures that more than one component shares."""
     split = placed.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("sig")
     return placed.join(split, "sig")
