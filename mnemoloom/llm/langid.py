@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.ordering import top_per
 from .common import derive, utf8
 
 # Labelled documents that a model is fitted on, all languages together.
@@ -178,29 +179,34 @@ class Model:
 
 
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", sample: int = SAMPLE) -> Model | None:
-    """A model of the languages in `lang`, from about `sample` documents with a text, equally many of each where there are enough.
+    """A model of the languages in `lang`, from at most `sample` documents with a text, equally many of each where there are enough.
 
-    The sample is chosen by a hash of the key and of the text; its trigram frequencies are what reaches the driver.
+    However many languages there are, each may have `LEAST_HELD_OUT` documents, so that each can have a middle. The sample is
+    chosen by a hash of the key and of the text: equal rows count once, and rows without a key are told apart by their
+    texts. Trigram frequencies of the sample are what reaches the driver.
     """
     named = docs.filter(F.col(lang).isNotNull() & (F.octet_length(text) > 0))
-    sizes = {r[0]: r[1] for r in named.groupBy(lang).count().collect()}  # one row per language
+    drawn = named.select(F.col(lang).alias("lang"), F.xxhash64(F.col(key).cast("string"), F.col(text), F.lit("sample")).alias("draw"), F.col(text).alias("text"))
+    sizes = {r[0]: r[1] for r in drawn.groupBy("lang").agg(F.approx_count_distinct("draw")).collect()}  # one row per language
     if not sizes:
         return None
-    share = max(1, sample // len(sizes))
-    chosen = F.lit(False)
-    draw = F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit("sample")), F.lit(1 << 30))
+    share = max(LEAST_HELD_OUT, sample // len(sizes))
+    # Twice the share and forty more are drawn, so that as good as never too few are; the first of them in order of the draw are taken.
+    part = F.lit(0)
     for code, n in sorted(sizes.items()):
-        chosen = chosen | ((F.col(lang) == code) & (draw < int(min(1.0, share / n) * (1 << 30))))
+        part = F.when(F.col("lang") == code, int(min(1.0, (2 * share + 40) / n) * (1 << 30))).otherwise(part) if n > 2 * share + 40 else part
+    rare = [code for code, n in sizes.items() if n <= 2 * share + 40]
+    chosen = (F.pmod("draw", F.lit(1 << 30)) < part) | F.col("lang").isin(rare)
+    once = drawn.filter(chosen).groupBy("lang", "draw").agg(F.first("text").alias("text"))
+    top = top_per(once, ["lang"], [F.col("draw")], share)
 
     def make():
         return lambda column: [pa.array([row.tobytes() for row in frequencies(column)], pa.binary())]
 
-    rows = derive(named.filter(chosen), [F.col(text)], [F.col(lang).alias("lang"), F.octet_length(text).alias("size")], "x binary", make).toArrow()
-    if rows.num_rows == 0:
-        return None
+    rows = derive(top, [F.col("text")], [F.col("lang"), F.col("draw"), F.octet_length("text").alias("size")], "x binary", make).toArrow()
+    rows = rows.sort_by([("lang", "ascending"), ("draw", "ascending")])
     x = np.frombuffer(b"".join(rows["x"].to_pylist()), np.float32).reshape(-1, BUCKETS)
-    order = np.lexsort((x[:, ::97].sum(axis=1), np.array(rows["lang"].to_pylist())))
-    return Model(x[order], np.array(rows["lang"].to_pylist(), object)[order], np.array(rows["size"].to_pylist())[order])
+    return Model(x, np.array(rows["lang"].to_pylist(), object), np.array(rows["size"].to_pylist()))
 
 
 def predict(docs: DataFrame, model: Model | None, text: str = "text", keep: list[str | Column] | None = None, known: bool = False) -> DataFrame:

@@ -91,3 +91,63 @@ def test_the_language_stage_rejects_what_is_no_labelled_language(spark, tables):
     kept = {x.doc_id for x in C.language(spark, docs.union(spark.createDataFrame(rows, docs.schema)), SMALL).collect()}
     # All labelled documents with letters stay; before, so did the odd ones.
     assert not kept & odd.keys() and kept == {x.doc_id for x in docs.filter(r"text rlike '\\p{L}'").collect()}
+
+
+def scalar_frequencies(text):
+    """Trigram buckets by a dictionary, one byte at a time."""
+    seen = [c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c > 127 else 32 for c in text.encode()]
+    count = {}
+    for k in range(len(seen)):
+        a, b, c = (seen[k + i] if k + i < len(seen) else 32 for i in range(3))
+        h = (a * 0x9E3779B1 ^ b * 0x85EBCA77 ^ c * 0xC2B2AE3D) & 0xFFFFFFFF
+        h = ((h ^ h >> 15) * 0x27D4EB2F & 0xFFFFFFFF) >> 21
+        count[h] = count.get(h, 0) + 1
+    return {h: n / len(seen) for h, n in count.items()}
+
+
+def scalar_decision(votes, freq):
+    """Votes and summed chances pair by pair."""
+    import math
+
+    won, chance = [0] * len(votes.classes), [0.0] * len(votes.classes)
+    if not votes.pairs:
+        return 0, 1.0
+    for k, (a, b) in enumerate(votes.pairs):
+        margin = sum(votes.weights[k][h] * f for h, f in freq.items()) + votes.bias[k]
+        p = 1 / (1 + math.exp(-max(-40, min(40, votes.slope[k] * margin))))
+        won[a if p >= 0.5 else b] += 1
+        chance[a] += p
+        chance[b] += 1 - p
+    best = max(range(len(won)), key=lambda c: (won[c], chance[c]))
+    return best, chance[best] / (len(won) - 1)
+
+
+def test_languages_by_scalar_loops(spark, tables):
+    docs, _ = tables
+    model = langid.fit(docs)
+    got = {x.doc_id: (x.lang_pred, x.score) for x in langid.predict(docs, model, keep=["doc_id"]).collect()}
+    for row in docs.filter("doc_id % 5 = 0").collect():
+        if not row.text or not any(c.isalpha() for c in row.text):
+            assert got[row.doc_id] == ("und", 0.0)
+            continue
+        freq = scalar_frequencies(row.text)
+        family, chance = scalar_decision(model.families, freq)
+        best, inner = scalar_decision(model.within[family], freq)
+        assert got[row.doc_id][0] == model.within[family].classes[best]
+        assert abs(got[row.doc_id][1] - chance * inner) < 1e-4
+
+
+def test_sixty_languages_and_one_key_have_a_level_each(spark):
+    """A word of its own per language; all rows under one key, some of them many times."""
+    import itertools
+
+    words = ["".join(w) for w in itertools.product("bdfgk", "aeiou", "lmnrs")][:60]
+    codes = [code for family in langid.FAMILIES.values() for code in family.split()][:60]
+    codes += [f"x{k}" for k in range(60 - len(codes))]
+    rows = [(7, f"{w} {w}{k % 10} {w}{'o' * (k // 10)} {k}", c) for w, c in zip(words, codes) for k in range(30)]
+    df = spark.createDataFrame(rows + rows[:30] * 20, "doc_id long, text string, lang string")
+    model = langid.fit(df, sample=100)
+    assert model.middle.keys() == set(codes) and model.level < float("inf")
+    empty = df.select(df.doc_id.cast("string").alias("doc_id"), "text", "lang").filter("doc_id is null")
+    assert langid.fit(empty) is None
+    assert langid.fit(df.selectExpr("cast(null as long) doc_id", "text", "lang"), sample=100).middle.keys() == set(codes)
