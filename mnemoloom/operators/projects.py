@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from . import history, memory, tasks, trace
 from .explore import project_of
-from .freshness import named_files
+from .freshness import is_current, named_files
+from .ordering import top_per
 
 
 def cards(projects: DataFrame, streams: DataFrame, open_tasks: DataFrame, indexed: DataFrame, checks: DataFrame) -> DataFrame:
@@ -28,6 +29,27 @@ def cards(projects: DataFrame, streams: DataFrame, open_tasks: DataFrame, indexe
     return out.join(tally(checks, "checks"), "path", "left").fillna(0, ["streams", "tasks", "symbols", "checks"])
 
 
+def brief(projects: DataFrame, indexed: DataFrame, streams: DataFrame, open_tasks: DataFrame, shown: int = 3) -> DataFrame:
+    """(path, symbols, current, streams, removable, open_tasks, newest) per registered project (path).
+
+    `indexed` is (repo, symbols, built, head); `current` is null where a commit is not known. `streams` is (repo, action) with
+    the verdicts of `rules.stream_verdict`, `newest` the (id, title) of the open tasks (repo, id, title, state, updated_at) touched last.
+    """
+    known = indexed.select(F.col("repo").alias("path"), "symbols", is_current("built", "head").alias("current"))
+    kept = streams.groupBy(F.col("repo").alias("path")).agg(
+        F.count(F.lit(1)).alias("streams"), F.count_if(F.col("action").isin("remove", "forget")).alias("removable")
+    )
+    waiting = open_tasks.filter("state = 'open'")
+    counted = waiting.groupBy(F.col("repo").alias("path")).agg(F.count(F.lit(1)).alias("open_tasks"))
+    last = top_per(waiting, ["repo"], [F.col("updated_at").desc(), F.col("id").desc()], shown).groupBy(F.col("repo").alias("path")).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("rank", "id", "title"))), lambda t: F.struct(t["id"].alias("id"), t["title"].alias("title"))).alias("newest")
+    )
+    out = projects.select("path").distinct()
+    for side in (known, kept, counted, last):
+        out = out.join(side, "path", "left")
+    return out.fillna(0, ["symbols", "streams", "removable", "open_tasks"])
+
+
 def sessions_of(sessions: DataFrame, root: str, streams: DataFrame) -> DataFrame:
     """Sessions (id, cwd, state, started) inside a project or in one of its streams, running ones first.
 

@@ -126,6 +126,8 @@ def detect_checks(files: DataFrame, configured: str = "checks") -> DataFrame:
 
     An explicit list in package.json wins, then its scripts, then the first ecosystem present.
     """
+    # Only marker files are looked at, so a repository of any size is a handful of names.
+    files = files.filter(F.col("name").isin("package.json", "Makefile", "makefile", *[m for m, _ in fixed.ECOSYSTEM_CHECKS]))
     pkg = files.filter("name = 'package.json'").groupBy("repo").agg(F.max("text").alias("_pkg"))
     names = files.groupBy("repo").agg(F.collect_set("name").alias("_names"))
     make = files.filter("name in ('Makefile', 'makefile')").groupBy("repo").agg(F.min_by("text", "name").alias("_make"))
