@@ -188,8 +188,9 @@ def _search(steps: DataFrame, symbols: DataFrame, from_id, to_id, max_hops: int)
     return levels
 
 
-def path_steps(edges: DataFrame, symbols: DataFrame, from_id, to_id, max_hops: int = 64) -> DataFrame:
-    """(step, node_id, via_contract, reversed, directed) along the shortest way, calls first, else ignoring direction; no rows where there is none.
+def path_steps(edges: DataFrame, symbols: DataFrame, from_id, to_id, max_hops: int = 64, undirected: bool = True) -> DataFrame:
+    """(step, node_id, via_contract, reversed, directed) along the shortest way, calls first, else (unless not `undirected`)
+    ignoring direction; no rows where there is none.
 
     Equally short ways are told apart, from the target back, by the smallest predecessor, then a
     call before its reverse and a call before a contract. The way back is one join per hop of a single row, in one job.
@@ -198,7 +199,7 @@ def path_steps(edges: DataFrame, symbols: DataFrame, from_id, to_id, max_hops: i
         edges = edges.withColumn("via_contract", F.lit(False))
     key = symbols.schema["node_id"].dataType.simpleString()
     shape = f"struct<node_id:{key},via_contract:boolean,reversed:boolean>"
-    for directed in (True, False):
+    for directed in (True, False) if undirected else (True,):
         levels = _search(_steps(edges, "forward" if directed else "both", ["via_contract"]), symbols, from_id, to_id, max_hops)
         if levels is None:
             continue
@@ -215,9 +216,9 @@ def path_steps(edges: DataFrame, symbols: DataFrame, from_id, to_id, max_hops: i
     return spark.createDataFrame([], f"step int, node_id {key}, via_contract boolean, reversed boolean, directed boolean")
 
 
-def shortest_path(edges: DataFrame, symbols: DataFrame, from_id, to_id, max_hops: int = 64) -> dict:
+def shortest_path(edges: DataFrame, symbols: DataFrame, from_id, to_id, max_hops: int = 64, undirected: bool = True) -> dict:
     """The answer of `path_steps` (a row per hop) as one value: found, directed, hops, crossings, steps of (node_id, via_contract, reversed)."""
-    rows = sorted(path_steps(edges, symbols, from_id, to_id, max_hops).collect(), key=lambda r: r.step)
+    rows = sorted(path_steps(edges, symbols, from_id, to_id, max_hops, undirected).collect(), key=lambda r: r.step)
     if not rows:
         return {"found": False, "directed": None, "hops": None, "crossings": None, "steps": []}
     steps = [(r.node_id, r.via_contract, r.reversed) for r in rows]
