@@ -28,7 +28,7 @@ def tables(request, tmp_path):
     return con, str(tmp_path)
 
 
-@pytest.mark.parametrize("name", ["shortest_path_len"])
+@pytest.mark.parametrize("name", ["shortest_path_len", "shortest_path_steps"])
 def test_paths_as_in_sql(spark, tables, name):
     con, path = tables
     assert difference(spark, con, CATALOGUE[name], path) is None
