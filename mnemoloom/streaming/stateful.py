@@ -13,7 +13,7 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -63,33 +63,37 @@ class Keyed(StatefulProcessor):
         self.handle = handle
         self.value = handle.getValueState("state", self.state)
 
-    def absorb(self, s: dict, rows: pd.DataFrame) -> None:
+    def absorb(self, s: dict, row: Row) -> None:
         raise NotImplementedError
 
-    def told(self, key: tuple, s: dict, ended: bool) -> pd.DataFrame:
+    def told(self, key: tuple, s: dict, ended: bool) -> Iterator[Row]:
         raise NotImplementedError
 
     def _names(self) -> list[str]:
         return [field.split()[0] for field in self.state.split(", ")]
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        names = self._names()
-        s = dict(zip(names, self.value.get() if self.value.exists() else self.start))
-        for part in rows:
-            if len(part):
-                self.absorb(s, part)
-                s["last_at"] = max(s["last_at"], int(part["at"].max().timestamp() * 1000))
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        # Every call on state or timers is a message to the engine and back, so there are no more than needed.
+        names, held = self._names(), self.value.get()
+        s = dict(zip(names, self.start if held is None else held))
+        before = s["last_at"]
+        for row in rows:
+            self.absorb(s, row)
+            if row["ms"] is not None:
+                s["last_at"] = max(s["last_at"], row["ms"])
         self.value.update(tuple(s[n] for n in names))
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        self.handle.registerTimer(s["last_at"] + self.quiet)
-        yield self.told(key, s, False)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.value.exists():
-            s = dict(zip(self._names(), self.value.get()))
+        if held is None or s["last_at"] != before:
+            if held is not None:
+                self.handle.deleteTimer(before + self.quiet)
+            self.handle.registerTimer(s["last_at"] + self.quiet)
+        yield from self.told(key, s, False)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        held = self.value.get()
+        if held is not None:
+            s = dict(zip(self._names(), held))
             self.value.clear()
-            yield self.told(key, s, True)
+            yield from self.told(key, s, True)
 
     def close(self) -> None:
         pass
@@ -99,22 +103,17 @@ class Sessions(Keyed):
     state = "agent string, agent_seq bigint, tools string, tools_seq bigint, sign_in boolean, kind string, kind_seq bigint, cost double, cost_seq bigint, events bigint, last_at bigint"
     start = (None, -1, "[]", -1, False, "", -1, None, -1, 0, 0)
 
-    def absorb(self, s, rows):
-        s["events"] += len(rows)
-        s["sign_in"] = bool(s["sign_in"] or rows["sign_in"].any())
+    def absorb(self, s, row):
+        s["events"] += 1
+        s["sign_in"] = bool(s["sign_in"] or row["sign_in"])
         for name in ("agent", "tools", "kind", "cost"):
-            some = rows[rows[name].notna()]
-            if len(some):
-                last = some.loc[some["seq"].idxmax()]
-                if last["seq"] > s[f"{name}_seq"]:
-                    s[name], s[f"{name}_seq"] = last[name] if name != "cost" else float(last[name]), int(last["seq"])
+            if row[name] is not None and row["seq"] > s[f"{name}_seq"]:
+                s[name], s[f"{name}_seq"] = row[name], row["seq"]
 
     def told(self, key, s, ended):
-        return pd.DataFrame(
-            {
-                "session": [key[0]], "agent_session": [s["agent"]], "tools": [s["tools"]], "needs_sign_in": [s["sign_in"]], "busy": [s["kind"] != "result"],
-                "cost": pd.Series([s["cost"]], dtype="float64"), "events": [s["events"]], "ended": [ended],
-            }
+        yield Row(
+            session=key[0], agent_session=s["agent"], tools=s["tools"], needs_sign_in=s["sign_in"], busy=s["kind"] != "result",
+            cost=s["cost"], events=s["events"], ended=ended,
         )
 
 
@@ -123,7 +122,7 @@ def stream_sessions(events: DataFrame, session: str = "session", order: str = "s
     facts = session_facts(events.withWatermark(at, lateness), session, order, at).filter(F.col("session").isNotNull() | F.col("at").isNull())
     key = facts.schema["session"].dataType.simpleString()
     out = f"session {key}, agent_session string, tools string, needs_sign_in boolean, busy boolean, cost double, events bigint, ended boolean"
-    told = facts.groupBy("session").transformWithStateInPandas(Sessions(quiet), out, "Update", "EventTime")
+    told = facts.withColumn("ms", F.unix_millis("at")).groupBy("session").transformWithState(Sessions(quiet), out, "Update", "EventTime")
     return told.withColumn("tools", F.from_json("tools", "array<string>"))
 
 
@@ -133,16 +132,16 @@ class Jobs(Keyed):
     state = "steps string, last_at bigint"
     start = ("{}", 0)
 
-    def absorb(self, s, rows):
+    def absorb(self, s, row):
         steps = json.loads(s["steps"])
-        for step, seq, state in zip(rows["step"], rows["seq"], rows["state"]):
-            known = steps.get(step)
-            steps[step] = [max(int(seq), known[0]) if known else int(seq), state if not known or seq > known[0] else known[1], (known[2] if known else 0) + 1]
+        step, seq, state = row["step"], row["seq"], row["state"]
+        known = steps.get(step)
+        steps[step] = [max(seq, known[0]) if known else seq, state if not known or seq > known[0] else known[1], (known[2] if known else 0) + 1]
         s["steps"] = json.dumps(steps)
 
     def told(self, key, s, ended):
-        steps = json.loads(s["steps"])
-        return pd.DataFrame({"job": [key[0]] * len(steps), "step": list(steps), "state": [v[1] for v in steps.values()], "updates": [v[2] for v in steps.values()], "ended": [ended] * len(steps)})
+        for step, (_, state, updates) in json.loads(s["steps"]).items():
+            yield Row(job=key[0], step=step, state=state, updates=updates, ended=ended)
 
 
 def stream_jobs(steps: DataFrame, at: str = "at", lateness: str = LATENESS, quiet: str = QUIET) -> DataFrame:
@@ -150,7 +149,7 @@ def stream_jobs(steps: DataFrame, at: str = "at", lateness: str = LATENESS, quie
     watched = steps.withWatermark(at, lateness).select("job", F.col("step").cast("string").alias("step"), F.col("seq").cast("bigint").alias("seq"), "state", F.col(at).alias("at"))
     watched = watched.filter(F.col("job").isNotNull() | F.col("at").isNull())
     key = watched.schema["job"].dataType.simpleString()
-    return watched.groupBy("job").transformWithStateInPandas(Jobs(quiet), f"job {key}, step string, state string, updates bigint, ended boolean", "Update", "EventTime")
+    return watched.withColumn("ms", F.unix_millis("at")).groupBy("job").transformWithState(Jobs(quiet), f"job {key}, step string, state string, updates bigint, ended boolean", "Update", "EventTime")
 
 
 def replay_lateness(times: DataFrame, at: str = "at") -> str:
