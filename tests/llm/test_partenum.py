@@ -148,3 +148,26 @@ def test_links_are_those_of_all_pairs(spark, monkeypatch):
         monkeypatch.setattr(P, "BLOCK_SETS", size)
         got = [(x.id or -1, x.n_links) for x in P.similar_components(df, n_words=4, num=85, den=100, links=True).collect()]
         assert sorted(got) == sorted((i or -1, n) for (i, _), n in zip(rows, want)) and max(want) > 20
+
+
+def _tasks(spark, group, run):
+    """Result of a function, and how many tasks its jobs had."""
+    sc = spark.sparkContext
+    sc.setJobGroup(group, group)
+    try:
+        out = run()
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    tracker = sc.statusTracker()
+    stages = {s for j in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(j).stageIds}
+    return out, sum(info.numCompletedTasks for info in map(tracker.getStageInfo, stages) if info)
+
+
+def test_rounds_of_components_take_few_tasks(spark):
+    star = spark.createDataFrame([(0, k) for k in range(1, 40)] + [(100, k) for k in range(101, 140)], "a long, b long").repartition(4)
+    rows, tasks = _tasks(spark, "stars", lambda: components(star).collect())
+    assert {tuple(r) for r in rows} == {(k, 0) for k in range(40)} | {(k, 100) for k in range(100, 140)}
+    assert tasks <= 25
+    chain = spark.createDataFrame([(k * 37 % 64, (k + 1) * 37 % 64) for k in range(63)], "a long, b long").repartition(4)
+    rows, _ = _tasks(spark, "chain", lambda: components(chain).collect())
+    assert {tuple(r) for r in rows} == {(k, 0) for k in range(64)}
