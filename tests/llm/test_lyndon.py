@@ -28,6 +28,31 @@ def test_windows_of_a_shard():
         assert [x.tolist() for x in lyndon.repeated_windows(texts, window)] == want
 
 
+def test_windows_told_by_blocks(monkeypatch):
+    """With places, few symbols are sorted, and equal windows are those that are equal around their places."""
+    sorted_ = []
+    order = lyndon.suffix_order
+    monkeypatch.setattr(lyndon, "suffix_order", lambda codes: sorted_.append(len(codes)) or order(codes))
+    for seed in range(200):
+        r = random.Random(seed)
+        window, mark = r.randint(16, 60), bytes(r.choice(b"ab\0") for _ in range(r.randint(1, 6)))
+        sides = [bytes(r.choice(b"ab\0") for _ in range(r.randint(0, 90))) for _ in range(3)]
+        texts, places = [], []
+        for _ in range(r.randint(2, 8)):
+            left, right = r.choice(sides)[r.randint(0, 20) :][-(window - len(mark)) :], r.choice(sides)[: r.randint(0, window - len(mark))]
+            texts.append(left + mark + right)
+            places.append(len(left))
+        starts = [[(t[i : i + window], i - p) for i in range(len(t) - window + 1)] for t, p in zip(texts, places)]
+        seen = collections.Counter(w for ws in starts for w in ws)
+        assert [x.tolist() for x in lyndon.repeated_windows(texts, window, places)] == [[seen[w] > 1 for w in ws] for ws in starts]
+    r = random.Random(1)
+    base = bytes(r.choice(b"abcdefgh ") for _ in range(760))
+    texts = [base[:k] + b"x" + base[k + 1 :] for k in range(0, 760, 19)]
+    told = lyndon.repeated_windows(texts, 400, [360] * len(texts))
+    assert sorted_[-1] * 7 < sum(map(len, texts))
+    assert [x.tolist() for x in told] == [x.tolist() for x in lyndon.repeated_windows(texts, 400)]
+
+
 def brute(texts, window):
     raw = [(t or "").encode() for t in texts]
     seen = collections.Counter(t[i : i + window] for t in raw for i in range(len(t) - window + 1))
