@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.feature import NGram
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,10 +34,10 @@ def containing(docs: DataFrame, items: DataFrame, key: str = "id", text: str = "
     anchors = asked.filter(long_enough).select("qid", "text", F.array_max(inner)["run"].alias("_run"))
     short = asked.filter(~long_enough)
     body = docs.select(key, F.col(text).alias("_body"))
-    doc_tokens = body.select(key, F.regexp_extract_all("_body", F.lit(_TOKEN), F.lit(0)).alias("_t"))
+    doc_tokens = body.select(key, F.coalesce(F.regexp_extract_all("_body", F.lit(_TOKEN), F.lit(0)), F.array().cast("array<string>")).alias("_t"))
+    doc_runs = NGram(n=ANCHOR, inputCol="_t", outputCol="_runs").transform(doc_tokens)
     seen = (
-        doc_tokens.select(key, F.explode(runs(F.col("_t"), F.lit(1), F.size("_t") - F.lit(ANCHOR - 1))).alias("_r"))
-        .select(key, F.col("_r.run").alias("_run"))
+        doc_runs.select(key, F.explode("_runs").alias("_run"))
         .join(anchors, "_run")
         .select(key, "qid", "text")
         .distinct()
