@@ -16,8 +16,11 @@ def _tokens_of(fields: list[str]) -> Column:
 
 
 def postings(docs: DataFrame, key: str, fields: list[str]) -> DataFrame:
-    """(key, doc_len, term, tf): the inverted index of `docs`, ready to be stored."""
-    tokens = docs.select(key, _tokens_of(fields).alias("_tokens"))
+    """(key, doc_len, term, tf): the inverted index of `docs`, ready to be stored.
+
+    The texts are dealt by key and their words counted where they arrive: a text is smaller than its words with their keys.
+    """
+    tokens = docs.select(key, *fields).repartition(key).select(key, _tokens_of(fields).alias("_tokens"))
     return (
         tokens.select(key, F.size("_tokens").alias("doc_len"), F.explode("_tokens").alias("term"))
         .groupBy(key, "doc_len", "term")
