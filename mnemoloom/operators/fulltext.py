@@ -45,6 +45,8 @@ def matched_postings(docs: DataFrame, asked: DataFrame, key: str, fields: list[s
     """
     terms = F.concat(F.array(F.lit("")), F.col("_tokens"))
     wanted = asked.select("term").distinct().unionByName(asked.sparkSession.createDataFrame([("",)], "term string"))
+    if asked.count() <= SENT_WEIGHTS:
+        wanted = F.broadcast(wanted)  # words that nobody asks for are not shuffled
     return (
         docs.select(key, _tokens_of(fields).alias("_tokens"))
         .select(key, F.size("_tokens").alias("doc_len"), F.explode(terms).alias("term"))
@@ -56,6 +58,8 @@ def matched_postings(docs: DataFrame, asked: DataFrame, key: str, fields: list[s
 
 # Weights of asked terms that are sent to every task: some megabytes. More are joined by term.
 SENT_WEIGHTS = 100_000
+# Pairs of a question's word and a document holding it that one task sums: some hundred bytes each.
+TASK_PAIRS = 1 << 20
 
 
 def bm25(docs: DataFrame, questions: DataFrame, key: str, fields: list[str]) -> DataFrame:
@@ -78,12 +82,15 @@ def _scores(docs: DataFrame, asked: DataFrame, key: str, fields: list[str]) -> D
         hits.groupBy("term").agg(F.count(F.lit(1)).alias("_df"))
         .withColumn("_t", totals)
         .join(asked, "term")
-        .select("qid", "term", "_t", (F.col("qtf") * F.greatest(idf, F.lit(fixed.BM25_MIN_IDF))).alias("_weight"))
+        .select("qid", "term", "_t", "_df", (F.col("qtf") * F.greatest(idf, F.lit(fixed.BM25_MIN_IDF))).alias("_weight"))
     )
     # A document's postings stand in one task, and where the weights come to it its scores are summed and ranked there:
     # no (question, document) pair is shuffled.
     if asked.count() <= SENT_WEIGHTS:
-        weights, hits = F.broadcast(weights), hits.repartition(key)
+        weights = stored(weights)
+        pairs = weights.agg(F.sum("_df")).first()[0] or 0
+        least = int(hits.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        weights, hits = F.broadcast(weights), hits.repartition(max(least, -(-pairs // TASK_PAIRS)), key)
     k1, b = fixed.BM25_K1, fixed.BM25_B
     saturated = (F.col("tf") * (k1 + 1)) / (F.col("tf") + k1 * (1 - b + b * F.col("doc_len") / F.col("_t.mean_len")))
     return (
