@@ -128,7 +128,7 @@ class Store:
 
     def stream_collisions(self, repo: str, ranges: DataFrame) -> DataFrame:
         nodes, links = (self.read(t).filter(F.col("repo") == repo) for t in ("symbols", "edges"))
-        return collide.compare(*collide.stream_changes(ranges, nodes), links)
+        return collide.Streams.of_masks(collide.stream_masks(ranges), nodes).compare(links)
 
     # Documents ------------------------------------------------------------
     def trace_stories(self, files: DataFrame, paths: DataFrame, sprint: DataFrame | None = None) -> DataFrame:
