@@ -5,6 +5,7 @@ import hashlib
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from mnemoloom.llm import lyndon
 
@@ -98,5 +99,45 @@ def test_large_shards_are_dealt_by_offset(spark):
         assert got == {k: b[1:] for k, b in enumerate(brute(texts, window))}, window
 
 
+def keyed(spark, texts, parts):
+    rows = [(hashlib.sha256(t.encode()).digest()[:16], t) for t in texts]
+    return spark.createDataFrame(rows, "id binary, text string").withColumn("t", F.xxhash64("text")).repartition(parts)
+
+
+def test_copies_of_a_text_are_cut_once(spark):
+    """Rows of pieces follow the different texts of a slice and not their copies, whose number they carry."""
+    r = random.Random(3)
+    text = "".join(r.choice("abcdefgh ") for _ in range(800))
+    docs = keyed(spark, ["x" * 450, *[text] * 200, "y" * 450], 1)
+    known = lyndon._samples(docs, 400).groupBy("t").agg(F.collect_set("h").alias("known"))
+    rows = [x for x in lyndon._pieces(docs.join(known, "t", "left"), 400).collect() if bytes(x.id) == hashlib.sha256(text.encode()).digest()[:16]]
+    assert rows and len(rows) == len({x.start for x in rows})
+    assert {x.docs for x in rows} == {200}
+    out = lyndon.report(spark.createDataFrame([(k, t) for k, t in enumerate([text] * 200 + [text[:500], "z" * 600])], "doc_id long, text string"))
+    assert {(x.n_bytes, x.n_removed, x.n_spans) for x in out.collect()} == {(800, 800, 1), (500, 500, 1), (600, 600, 1)}
+
+
+def test_a_crowd_of_copies_is_split(spark):
+    """The join that fetches the texts of pieces deals the copies of one text to several tasks."""
+    r = random.Random(4)
+    texts = ["".join(r.choice("abcdefgh ") for _ in range(600)) for _ in range(60)]
+    docs = keyed(spark, texts + texts[:1] * 4000, 8)
+    wanted = docs.select("id", F.lit(0).cast("bigint").alias("start"), F.lit(450).cast("bigint").alias("size"), F.col("id").alias("piece")).distinct()
+    conf = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "4k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.2",
+    }
+    before = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        out = lyndon._texts(docs, wanted)
+        assert sorted(bytes(x.text) for x in out.collect()) == sorted(t[:450].encode() for t in texts)
+        assert "skew=true" in out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def test_empty_table(spark):
     assert lyndon.report(spark.createDataFrame([], "doc_id long, text string")).collect() == []
