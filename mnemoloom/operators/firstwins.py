@@ -1,17 +1,22 @@
 """First-wins removal of repeats: by key, and by vector similarity. Both are exact.
 
 The vector form is the answer of a walk over the rows in order: a row stays if it resembles nothing known and no row
-kept before it. It is found in rounds: a row that no undecided earlier row resembles stays, and what resembles one that
-stays goes. A crowd of near-copies therefore disappears behind its first member in one round, and the number of rounds is
-that of links in the longest chain of rows each waiting for the one before, not of rows.
+kept before it. It is found in passes over a stretch at the front of what is undecided. A stretch of one block is walked
+by one task. A longer one is decided by a round: a row that no undecided earlier row resembles stays. Either way all that
+resembles a row that stays goes, wherever it stands, and the rest is the input of the next pass. Stretches double while
+most of their rows stay, else they are a block again: rows that resemble many cost a few passes, rows that resemble
+nothing a number of passes that grows with their logarithm, and chains of likes two passes a block at most.
 
-Who resembles whom is asked block against block in tasks. Rows are dealt to the nearest of a few pivots; two cells
+Who resembles whom is asked block against rows in tasks. Rows are dealt to the nearest of a few pivots; two cells
 meet only where the angle between their pivots, less their radii, leaves the threshold possible. No pair is written:
-a task returns the rows of its left block that have an answer in its right one.
+a task returns the rows of its block that have an answer. The rows asked lie in one block each, only the answers are
+copied, to each block they may meet, and so few at a time that the copies stay within a small multiple of all rows.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -19,12 +24,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors as vx
-from ..session import stored
+from ..session import discard, stored
 
-# Rows of a block, and so of what one task holds of either side; also the questions of one scan of `nearest_known`.
+# Questions of one scan of `nearest_known`.
 BATCH = 4096
-# Pivots, and so the cells that rows are dealt into.
+# Rows of a block, and so of what one task holds of the rows asked; also those of the longest stretch that one task walks.
+BLOCK = 16384
+# Blocks of wide vectors have fewer rows: as many as are this large as doubles.
+BLOCK_BYTES = 32 << 20
+# Answers dealt at a time, in blocks.
+SCAN = 2
+# Pivots at most, and so the cells that rows are dealt into; there are no more than blocks, as every cell is a block at least.
 PIVOTS = 64
+# Shares of a block that rows are cut into by order; stretches are made of them.
+CUTS = 4
 
 
 def first_of_each(df: DataFrame, keys: list[str], order: str) -> DataFrame:
@@ -60,8 +73,8 @@ def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return a[:, :width] @ b[:, :width].T
 
 
-def _placed(rows: DataFrame, pivots: np.ndarray, batch: int) -> DataFrame:
-    """(`id`, `embedding`, `cell`, `angle`, `norm`, `block`): every row at its nearest pivot, in a block of a known number of rows."""
+def _placed(rows: DataFrame, pivots: np.ndarray) -> DataFrame:
+    """(`id`, `embedding`, `cell`, `angle`, `norm`): every row at its nearest pivot."""
     shared = rows.sparkSession.sparkContext.broadcast(pivots)  # PIVOTS vectors
     key = rows.schema["id"].dataType.simpleString()
 
@@ -79,18 +92,16 @@ def _placed(rows: DataFrame, pivots: np.ndarray, batch: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(cell.astype(np.int32)), pa.array(angle), pa.array(norm)], names=["id", "embedding", "cell", "angle", "norm"])
 
     vector = rows.schema["embedding"].dataType.simpleString()
-    placed = rows.select("id", "embedding").mapInArrow(place, f"id {key}, embedding {vector}, cell int, angle double, norm double")
-    sizes = placed.groupBy("cell").agg(F.ceil(F.count("*") / F.lit(batch)).cast("int").alias("blocks"))
-    return stored(placed.join(sizes, "cell").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")))
+    return rows.select("id", "embedding").mapInArrow(place, f"id {key}, embedding {vector}, cell int, angle double, norm double")
 
 
 def _cells(placed: DataFrame) -> list:
-    """One row per cell: its blocks, radius and longest vector."""
-    return placed.groupBy("cell").agg(F.max("blocks").alias("blocks"), F.max("angle").alias("radius"), F.max("norm").alias("norm")).collect()
+    """One row per cell: its rows, radius and longest vector."""
+    return placed.groupBy("cell").agg(F.count("*").alias("rows"), F.max("angle").alias("radius"), F.max("norm").alias("norm")).collect()
 
 
-def _meetings(left: list, right: list, pivots: np.ndarray, threshold: float) -> list[tuple[int, int, int, int]]:
-    """Cells that can hold a pair at the threshold, with their numbers of blocks; at most as many as pairs of pivots."""
+def _meetings(left: list, right: list, pivots: np.ndarray, threshold: float, batch: int) -> list[tuple[int, int, int]]:
+    """Cells that can hold a pair at the threshold, with the left one's number of blocks; at most as many as pairs of pivots."""
     length = np.maximum(np.linalg.norm(pivots, axis=1), 1e-300)
     between = np.arccos(np.clip(_products(pivots, pivots) / length[:, None] / length, -1, 1))
     out = []
@@ -99,46 +110,49 @@ def _meetings(left: list, right: list, pivots: np.ndarray, threshold: float) ->
             least = max(0.0, between[x.cell, y.cell] - x.radius - y.radius - 1e-6)
             bound = np.cos(min(least, np.pi)) * x.norm * y.norm
             if bound + 1e-9 >= threshold or (bound < 0 and threshold <= 0):
-                out.append((x.cell, y.cell, x.blocks, y.blocks))
+                out.append((x.cell, y.cell, -(-x.rows // batch)))
     return out
 
 
-def _near(left: DataFrame, right: DataFrame, pivots: np.ndarray, threshold: float, earlier: bool) -> DataFrame:
-    """`id` of the placed rows on the left that a placed row on the right resembles; with `earlier` only one with a smaller id counts."""
+def _near(left: DataFrame, right: DataFrame, pivots: np.ndarray, threshold: float, batch: int, earlier: bool = False) -> DataFrame:
+    """`id` of the placed rows on the left that a placed row on the right resembles, stored, some of them more than once.
+
+    With `earlier` only a row with a smaller id counts.
+    """
     spark = left.sparkSession
     key = left.schema["id"].dataType.simpleString()
-    meetings = _meetings(_cells(left), _cells(right), pivots, threshold)
+    theirs = _cells(right)
+    meetings = _meetings(_cells(left), theirs, pivots, threshold, batch)
     if not meetings:
         return spark.createDataFrame([], f"id {key}")
-    table = F.broadcast(spark.createDataFrame(meetings, "lc int, rc int, lb int, rb int"))  # pairs of pivots
-
-    def side(rows: DataFrame, mine: str, other: str, number: int) -> DataFrame:
-        met = rows.join(table, F.col("cell") == F.col(f"{mine}c")).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col(f"{other}b") - 1)))
-        blocks = {mine: F.col("block"), other: F.col("_other")}
-        return met.select("lc", "rc", blocks["l"].alias("li"), blocks["r"].alias("ri"), F.lit(number).alias("side"), "id", "embedding")
-
-    group = ["lc", "rc", "li", "ri"]
-    rows = side(left, "l", "r", 0).unionByName(side(right, "r", "l", 1)).repartition(*group).sortWithinPartitions(*group)
+    met = F.broadcast(spark.createDataFrame(meetings, "lc int, rc int, blocks int"))  # pairs of pivots
+    own = F.broadcast(spark.createDataFrame(sorted({(c, blocks) for c, _, blocks in meetings}), "lc int, blocks int"))  # pivots
+    digest = F.xxhash64("id", "embedding")
+    asked = left.join(own, F.col("cell") == F.col("lc")).select("lc", F.pmod(digest, F.col("blocks")).cast("int").alias("li"), F.lit(0).alias("side"), "id", "embedding")
 
     def told(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
         table = pa.Table.from_batches(parts)
         mine = np.asarray(table["side"]) == 0
-        vectors, ids = _matrix(table["embedding"]), table["id"].to_pylist()
+        vectors = _matrix(table["embedding"])
         asked, answers = np.flatnonzero(mine), np.flatnonzero(~mine)
-        rank = np.unique(np.asarray(ids), return_inverse=True)[1]  # a row on both sides has one rank
+        if earlier:
+            rank = np.unique(table["id"].to_numpy(), return_inverse=True)[1]  # a row on both sides has one rank
         found = np.zeros(len(asked), bool)
-        for k in range(0, len(asked), 1024):
-            some = asked[k : k + 1024]
-            near = _products(vectors[some], vectors[answers]) >= threshold
-            if earlier:
-                near &= rank[answers][None, :] < rank[some][:, None]
-            found[k : k + 1024] = near.any(axis=1)
+        for a in range(0, len(answers), 1024):
+            some, still = answers[a : a + 1024], np.flatnonzero(~found)
+            told = vectors[some]
+            for k in range(0, len(still), 4096):
+                at = still[k : k + 4096]
+                near = _products(vectors[asked[at]], told) >= threshold
+                if earlier:
+                    near &= rank[some][None, :] < rank[asked[at]][:, None]
+                found[at] = near.any(axis=1)
         return pa.RecordBatch.from_arrays([table["id"].combine_chunks().take(pa.array(asked[found]))], names=["id"])
 
     def run(batches):
         waiting, now = [], None
         for batch in batches:
-            keys = np.stack([np.asarray(batch.column(k)) for k in range(4)], axis=1)
+            keys = np.stack([np.asarray(batch.column(k)) for k in range(2)], axis=1)
             first = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
             for a, b in zip((0, *first), (*first, len(keys))):
                 if a == b:
@@ -151,37 +165,112 @@ def _near(left: DataFrame, right: DataFrame, pivots: np.ndarray, threshold: floa
         if waiting:
             yield told(waiting)
 
-    return rows.mapInArrow(run, f"id {key}").distinct()
+    scans = -(-sum(x.rows for x in theirs) // (SCAN * batch))
+    found = None
+    for k in range(scans):
+        some = right.filter(F.pmod(digest, F.lit(scans)) == k).join(met, F.col("cell") == F.col("rc"))
+        some = some.select("lc", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("li"), F.lit(1).alias("side"), "id", "embedding")
+        rows = asked.unionByName(some).repartition("lc", "li").sortWithinPartitions("lc", "li")
+        part = stored(rows.mapInArrow(run, f"id {key}"))
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
+def _walked(rows: DataFrame, threshold: float) -> DataFrame:
+    """The placed rows that a walk over them by id keeps, in one task. Rows with one id stay or go together."""
+
+    def walk(batches):
+        parts = [b for b in batches if b.num_rows]
+        if not parts:
+            return
+        table = pa.Table.from_batches(parts)
+        ids, vectors = table["id"].combine_chunks(), _matrix(table["embedding"])
+        new = np.asarray(pc.not_equal(ids.slice(1), ids.slice(0, len(ids) - 1)).to_numpy(zero_copy_only=False), bool)
+        owner = np.concatenate(([0], np.cumsum(new)))  # the number of a row's id
+        first = np.flatnonzero(np.concatenate(([True], new, [True])))  # where each begins, and the end
+        gone = np.zeros(len(first) - 1, bool)
+        a = 0
+        while a < len(gone):
+            b = max(a + 1, int(np.searchsorted(first, first[a] + 1024, "right")) - 1)  # ids of up to 1,024 rows, or one
+            rows = np.arange(first[a], first[b])
+            rows = rows[~gone[owner[rows]]]
+            if b > a + 1:
+                mine = owner[rows]
+                near = _products(vectors[rows], vectors[rows]) >= threshold
+                for j, x in enumerate(mine):
+                    if not gone[x]:
+                        gone[mine[near[j] & (mine > x)]] = True
+                rows = rows[~gone[mine]]
+            later = np.arange(first[b], len(owner))
+            for k in range(0, len(rows), 1024):
+                told = vectors[rows[k : k + 1024]]
+                later = later[~gone[owner[later]]]
+                for n in range(0, len(later), 4096):
+                    at = later[n : n + 4096]
+                    gone[owner[at[(_products(vectors[at], told) >= threshold).any(axis=1)]]] = True
+            a = b
+        yield from table.filter(pa.array(~gone[owner])).combine_chunks().to_batches()
+
+    return rows.repartition(1).sortWithinPartitions("id").mapInArrow(walk, rows.schema)
 
 
 def keep_first_wins(
-    incoming: DataFrame, known: DataFrame | None, threshold: float, order: str = "id", batch: int = BATCH
+    incoming: DataFrame, known: DataFrame | None, threshold: float, order: str = "id", batch: int = BLOCK
 ) -> DataFrame:
     """Drop incoming rows similar to a known one or to an incoming one kept before it.
 
     `embedding` holds unit vectors; rows without one, or with a zero vector,
-    resemble nothing and stay.
+    resemble nothing and stay. Blocks have about `batch` rows, fewer of wide vectors.
     """
     comparable = F.coalesce(vx.dot("embedding", "embedding") >= threshold, F.lit(False))
     rest = incoming.filter(~comparable)
-    # Exact copies collapse first: only the earliest of them can survive.
-    waiting = first_of_each(incoming.filter(comparable).select(order, "embedding"), ["embedding"], order)
+    # Exact copies collapse first: only the earliest of them can survive. Rows without an id are nobody's first.
+    waiting = first_of_each(incoming.filter(comparable & F.col(order).isNotNull()).select(order, "embedding"), ["embedding"], order)
     waiting = stored(waiting.select(F.col(order).alias("id"), "embedding"))
-    pivots = _matrix(waiting.orderBy(F.xxhash64("id")).limit(PIVOTS).toArrow().column("embedding"))
-    if not len(pivots):
+    rows, width = waiting.agg(F.count("*"), F.max(F.size("embedding"))).first()
+    if not rows:
         return rest
-    left = _placed(waiting, pivots, batch)
+    batch = max(1, min(batch, BLOCK_BYTES // (8 * width)))
+    pivots = _matrix(waiting.orderBy(F.xxhash64("id")).limit(max(1, min(PIVOTS, rows // batch))).toArrow().column("embedding"))
+    # Rows with one id are in one cut.
+    left = stored(_placed(waiting.repartitionByRange(-(-CUTS * rows // batch), "id"), pivots).withColumn("cut", F.spark_partition_id()))
+    discard(waiting)
+
+    def without(df: DataFrame, others: DataFrame) -> DataFrame:
+        found = _near(df, others, pivots, threshold, batch)
+        out = stored(df.join(found, "id", "left_anti"))
+        discard(found)
+        return out
+
     if known is not None:
-        seen = _placed(known.filter("embedding is not null").select(F.lit(0).alias("id"), "embedding").withColumn("id", F.monotonically_increasing_id()), pivots, batch)
-        left = stored(left.join(_near(left, seen, pivots, threshold, False), "id", "left_anti"))
-    chosen = waiting.select("id").limit(0)
-    while not left.isEmpty():
-        held = stored(_near(left, left, pivots, threshold, True))
-        fresh = stored(left.join(held, "id", "left_anti"))
-        chosen = chosen.unionByName(fresh.select("id"))
-        undecided = stored(left.join(held, "id", "left_semi"))
-        left = stored(undecided.join(_near(undecided, fresh, pivots, threshold, False), "id", "left_anti"))
-    return incoming.join(chosen.withColumnRenamed("id", order), order, "left_semi").select(*incoming.columns).unionByName(rest)
+        nameless = F.lit(None).cast(left.schema["id"].dataType).alias("id")
+        seen = stored(_placed(known.filter("embedding is not null").select(nameless, "embedding"), pivots))
+        before, left = left, without(left, seen)
+        discard(before, seen)
+    chosen, most = [], batch
+    while cuts := sorted(map(tuple, left.groupBy("cut").count().collect())):  # CUTS numbers for a block of rows
+        ends = np.cumsum([n for _, n in cuts])
+        last = max(0, int(np.searchsorted(ends, most, "right")) - 1)
+        head, later = (left.filter(F.col("cut") <= cuts[last][0]), left.filter(F.col("cut") > cuts[last][0]))
+        used = [left]
+        if ends[last] <= batch:
+            kept, over = stored(_walked(head, threshold)), last + 1 == len(cuts)
+        else:
+            held = _near(head, head, pivots, threshold, batch, earlier=True)
+            kept, undecided = (stored(head.join(held, "id", how)) for how in ("left_anti", "left_semi"))
+            later, over = later.unionByName(undecided), False
+            used += [held, undecided]
+        chosen.append(kept.select("id"))
+        if over:
+            discard(*used)
+            break
+        most = 2 * most if 2 * kept.count() >= ends[last] else batch
+        left = without(later, kept)
+        discard(*used)
+    if not chosen:
+        return rest
+    chosen = reduce(DataFrame.unionByName, chosen).withColumnRenamed("id", order)
+    return incoming.join(chosen, order, "left_semi").select(*incoming.columns).unionByName(rest)
 
 
 def nearest_known(

@@ -54,6 +54,34 @@ def test_first_wins_keeps_what_cannot_be_compared(spark):
     assert sorted(r.id for r in got.collect()) == [1, 2, 3, 4]
 
 
+@pytest.mark.parametrize("threshold", [0.6, 0.97])
+def test_first_wins_ships_few_copies(spark, monkeypatch, threshold):
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in unit(rng)]) for i in range(300)]
+    known = [(i, [float(x) for x in unit(rng)]) for i in range(100)]
+    shipped, frame = [], type(spark.range(0))
+    dealt = frame.repartition
+    monkeypatch.setattr(frame, "repartition", lambda self, *by: shipped.append(self.count()) or dealt(self, *by))
+    got = keep_first_wins(spark.createDataFrame(rows, VEC), spark.createDataFrame(known, VEC), threshold, batch=100)
+    assert sorted(r.id for r in got.collect()) == greedy(rows, known, threshold)
+    assert max(shipped) <= 5 * len(rows)
+
+
+def test_first_wins_takes_an_id_as_a_whole(spark):
+    rows = [(1, [1.0, 0.0, 0.0]), (2, [0.0, 1.0, 0.0]), (2, [0.8, 0.6, 0.0]), (3, [0.0, 1.0, 0.0]), (4, [0.0, 0.0, 1.0]), (4, [0.0, 0.0, 1.0])]
+    rows.append((None, [0.6, 0.0, 0.8]))
+    for batch in (1, 4096):
+        got = keep_first_wins(spark.createDataFrame(rows, VEC), None, 0.7, batch=batch)
+        assert sorted(r.id for r in got.collect()) == [1, 4, 4]
+
+
+@pytest.mark.parametrize("step", [0.05, 0.3])
+def test_first_wins_over_long_chains(spark, step):
+    rows = [(i, [float(np.cos(step * i / 4)), float(np.sin(step * i / 4))]) for i in range(60)]
+    got = keep_first_wins(spark.createDataFrame(rows, VEC), None, 0.995, batch=10)
+    assert sorted(r.id for r in got.collect()) == greedy(rows, [], 0.995)
+
+
 def test_nearest_known_ranks_ties_by_id(spark):
     known = [(i, [1.0, 0.0]) for i in (5, 3, 9, 1)] + [(7, [0.0, 1.0])]
     got = nearest_known(spark.createDataFrame([(3, [1.0, 0.0])], VEC), spark.createDataFrame(known, VEC), 0.5, 2)
