@@ -140,10 +140,10 @@ def _near(left: DataFrame, right: DataFrame, pivots: np.ndarray, threshold: floa
         found = np.zeros(len(asked), bool)
         for a in range(0, len(answers), 1024):
             some, still = answers[a : a + 1024], np.flatnonzero(~found)
-            told = vectors[some]
+            against = vectors[some]
             for k in range(0, len(still), 4096):
                 at = still[k : k + 4096]
-                near = _products(vectors[asked[at]], told) >= threshold
+                near = _products(vectors[asked[at]], against) >= threshold
                 if earlier:
                     near &= rank[some][None, :] < rank[asked[at]][:, None]
                 found[at] = near.any(axis=1)
@@ -203,11 +203,11 @@ def _walked(rows: DataFrame, threshold: float) -> DataFrame:
                 rows = rows[~gone[mine]]
             later = np.arange(first[b], len(owner))
             for k in range(0, len(rows), 1024):
-                told = vectors[rows[k : k + 1024]]
+                against = vectors[rows[k : k + 1024]]
                 later = later[~gone[owner[later]]]
                 for n in range(0, len(later), 4096):
                     at = later[n : n + 4096]
-                    gone[owner[at[(_products(vectors[at], told) >= threshold).any(axis=1)]]] = True
+                    gone[owner[at[(_products(vectors[at], against) >= threshold).any(axis=1)]]] = True
             a = b
         yield from table.filter(pa.array(~gone[owner])).combine_chunks().to_batches()
 
@@ -230,7 +230,7 @@ def keep_first_wins(
     rows, width = waiting.agg(F.count("*"), F.max(F.size("embedding"))).first()
     if not rows:
         return rest
-    batch = max(1, min(batch, BLOCK_BYTES // (8 * width)))
+    batch = max(1, min(batch, BLOCK_BYTES // max(8, 8 * width)))
     pivots = _matrix(waiting.orderBy(F.xxhash64("id")).limit(max(1, min(PIVOTS, rows // batch))).toArrow().column("embedding"))
     # Rows with one id are in one cut.
     left = stored(_placed(waiting.repartitionByRange(-(-CUTS * rows // batch), "id"), pivots).withColumn("cut", F.spark_partition_id()))
@@ -244,7 +244,8 @@ def keep_first_wins(
 
     if known is not None:
         nameless = F.lit(None).cast(left.schema["id"].dataType).alias("id")
-        seen = stored(_placed(known.filter("embedding is not null").select(nameless, "embedding"), pivots))
+        # Copies of a vector would all lie in one share.
+        seen = stored(_placed(known.filter("embedding is not null").select("embedding").distinct().select(nameless, "embedding"), pivots))
         before, left = left, without(left, seen)
         discard(before, seen)
     chosen, most = [], batch

@@ -67,6 +67,18 @@ def test_first_wins_ships_few_copies(spark, monkeypatch, threshold):
     assert max(shipped) <= 5 * len(rows)
 
 
+def test_first_wins_ships_copies_of_a_known_vector_once(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(x) for x in unit(rng)]) for i in range(200)]
+    known = [(i, rows[7][1]) for i in range(2000)]
+    shipped, frame = [], type(spark.range(0))
+    dealt = frame.repartition
+    monkeypatch.setattr(frame, "repartition", lambda self, *by: shipped.append(self.count()) or dealt(self, *by))
+    got = keep_first_wins(spark.createDataFrame(rows, VEC), spark.createDataFrame(known, VEC), 0.6, batch=100)
+    assert sorted(r.id for r in got.collect()) == greedy(rows, known[:1], 0.6)
+    assert max(shipped) <= 5 * len(rows)
+
+
 def test_first_wins_takes_an_id_as_a_whole(spark):
     rows = [(1, [1.0, 0.0, 0.0]), (2, [0.0, 1.0, 0.0]), (2, [0.8, 0.6, 0.0]), (3, [0.0, 1.0, 0.0]), (4, [0.0, 0.0, 1.0]), (4, [0.0, 0.0, 1.0])]
     rows.append((None, [0.6, 0.0, 0.8]))
@@ -75,6 +87,11 @@ def test_first_wins_takes_an_id_as_a_whole(spark):
         assert sorted(r.id for r in got.collect()) == [1, 4, 4]
 
 
+def test_first_wins_over_empty_vectors(spark):
+    got = keep_first_wins(spark.createDataFrame([(1, []), (2, []), (3, None)], VEC), None, 0.0)
+    assert sorted(r.id for r in got.collect()) == [1, 3]
+
+
 @pytest.mark.parametrize("step", [0.05, 0.3])
 def test_first_wins_over_long_chains(spark, step):
     rows = [(i, [float(np.cos(step * i / 4)), float(np.sin(step * i / 4))]) for i in range(60)]
